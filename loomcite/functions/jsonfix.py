@@ -26,12 +26,23 @@ def outermost(value: Column) -> Column:
     return F.when((start > 0) & (last > start), F.substr(value, start, last - start + 1))
 
 
+def is_json(value: Column) -> Column:
+    """Whether a whole text is one JSON value.
+
+    The parser stops after the first value, so the text is placed in an array before
+    an end mark: the mark is the second item only when nothing else follows the value.
+    """
+    wrapped = F.concat(F.lit("["), value, F.lit(', "end-of-text"]'))
+    mark = F.try_variant_get(F.try_parse_json(wrapped), "$[1]", "string")
+    return F.coalesce(mark == "end-of-text", F.lit(False))
+
+
 def clean_json(df: DataFrame, column: str) -> DataFrame:
     """Add ``json`` (clean text) and ``repair_step``; rows that stay broken get step ``error``.
 
     Steps are separate columns, each tried only when the ones before it failed.
     """
-    valid = lambda c: F.try_parse_json(c).isNotNull()
+    valid = is_json
     rows = df.withColumn("_raw", F.trim(text_of(column)))
     fence = r"(?is)```(?:json)?\s*(.*?)```"
     fenced = F.when(F.col("_raw").rlike(fence), F.trim(F.regexp_extract("_raw", fence, 1)))

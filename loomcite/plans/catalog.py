@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_plans  # noqa: F401
+from . import concept_plans, text_plans  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_text
-from .registry import spread_table
+from ..functions.ids import json_string
+from ..functions.payload import canonical_key, label, quality, resolved_confidence, summary
+from ..functions.text import compact_text, sentences
+from ..operators.concepts import concept_events, fold_concepts
+from ..operators.evidence import with_evidence_id
+from ..operators.ranking import first_per_key
+from .registry import spread_table, table
 
 TYPES = ["existed_idea", "principle", "takeaway_message", "benchmark", "baseline"]
 
@@ -20,3 +25,76 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
         compact_text(first, 320).alias("title"),
         F.substr("text", F.length(first) + F.lit(2)).alias("abstract"),
     )
+
+
+def sentence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of a document is an extracted concept event."""
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars")
+    labels = table(spark, sf_dir, "labels")
+    rows = docs.select("doc_id", "lang", "n_chars", F.posexplode(sentences("text")).alias("_p", "sentence")).join(labels, "doc_id", "left")
+    kinds = F.array(*map(F.lit, TYPES))
+    payload = {"title": F.col("sentence")}
+    rows = rows.withColumn("concept_type", F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")))
+    rows = rows.withColumn("label", label(F.col("concept_type"), payload))
+    n_evidence = F.when(F.col("quality").isNull(), 0).otherwise(1)
+    said = summary(payload)
+    rows = rows.select(
+        "doc_id", "lang", "quality", "toxic", "sentence", "concept_type", "label",
+        (F.col("doc_id") * 1000000 + F.col("_p") + 1).alias("seq"),
+        canonical_key(F.col("label"), said).alias("canonical_key"),
+        F.lit("project_private").alias("scope"),
+        F.concat(F.lit('{"title": '), json_string("sentence"), F.lit("}")).alias("payload_json"),
+        F.when(F.col("quality").isNull(), "extracted_unverified").otherwise(F.concat(F.lit("L"), F.col("quality"))).alias("validation_level"),
+        resolved_confidence(F.col("n_chars") % 10 / 10, quality(said, n_evidence, [])).alias("confidence"),
+        F.lit("").alias("run_id"), F.col("lang").alias("model_mode"), F.lit("").alias("model"), F.lit(False).alias("is_manual"),
+    )
+    return concept_events(rows)
+
+
+def concepts(events: DataFrame) -> DataFrame:
+    return fold_concepts(events)
+
+
+def links(events: DataFrame) -> DataFrame:
+    """Labelled sentences as evidence links; toxic documents stand for unknown works."""
+    rows = events.filter("quality is not null").select(
+        "concept_id", F.col("version_id").alias("concept_version_id"),
+        F.when(F.col("toxic") == 0, F.concat(F.lit("D"), F.col("doc_id"))).alias("work_id"),
+        F.col("sentence").alias("evidence_span"), "seq",
+    )
+    return first_per_key(with_evidence_id(rows), ["evidence_id"], [F.asc("seq")])
+
+
+def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as memberships: the user is the project, the event type the record type."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("project_id"), F.col("event_type").alias("record_type"), F.col("event_id").alias("record_id"),
+        (F.col("value") < 5).alias("hidden"), F.lit(0).alias("display_order"), F.col("ts").alias("created_at"),
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as run updates: the user is the run, the event type gives the status."""
+    status = (
+        F.when(F.col("event_type") == "signup", "queued")
+        .when(F.col("event_type") == "purchase", "complete")
+        .when(F.col("event_type") == "error", "error")
+        .otherwise("running")
+    )
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"), status.alias("status"), F.col("ts").alias("updated_at"), F.col("event_id").alias("seq"),
+        "event_type", "value",
+    )
+
+
+def derivation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as derivation nodes; turn 0 is the source."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(F.col("conv_id").alias("derivation_id"), F.col("turn").alias("node_id"), "role", "text")
+
+
+def derivation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each later turn rests on the turn before it and on the turn at half its number."""
+    turns = table(spark, sf_dir, "conversations").filter("turn > 0").select(F.col("conv_id").alias("derivation_id"), F.col("turn").alias("target"))
+    sources = F.array_distinct(F.array(F.col("target") - 1, F.floor(F.col("target") / 2).cast("bigint")))
+    return turns.select("derivation_id", F.explode(sources).alias("source"), "target")

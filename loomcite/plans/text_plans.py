@@ -8,20 +8,22 @@ from ..functions.ids import content_signature, stable_id
 from ..functions.query import expansions, query_terms
 from ..functions.text import (
     canonical_text,
-    compact_text,
     estimate_tokens,
     html_to_text,
+    inverted_index_text,
     peer_reviewed_venue,
-    price_per_million,
     repair_hyphens,
     sentences,
     slugify,
+    squeeze,
     summary_key,
-    text_hash,
     tokenize,
+    validation_number,
     venue_rank,
 )
-from ..functions.vocab import VENUE_NAMES
+from ..functions.jsonfix import clean_json
+from ..functions.vocab import QUERY_EXPANSIONS, TOP_VENUES, VENUE_NAMES, WHOLE_WORD_TRIGGERS
+from ..operators.quality import domain_compatible
 from ..operators.ranking import top_per_group
 from ..operators.retrieval import list_items, postings, rank_feed, score_postings, search_works, stable_desc, with_lexical
 from . import duck
@@ -93,3 +95,208 @@ def lexical_topk_by_source(spark, sf_dir):
         scored.select("source", "doc_id", "lexical"), ["source"], [stable_desc("lexical"), F.asc("doc_id")], 20
     ).filter("lexical > 0")
     return top.select("source", "doc_id", F.bround("lexical", 4).alias("score"), "rn")
+
+
+# own parameter: domain -> terms, for the domain gate
+DOMAINS = {"fusion": ["ention", "thereon"], "agents": ["oneren", "hation"], "series": ["leaux", "ierre"]}
+
+
+@query(
+    "search_works",
+    f"""WITH {duck.WORKS}, items AS (SELECT w.doc_id, w.title || ' ' || w.abstract AS body, coalesce(l.quality = 1, false) AS highlighted,
+       w.n_chars % 30 AS usage_count FROM works w LEFT JOIN labels l USING (doc_id)),
+hits AS ({duck.lexical("items", "doc_id", "body", TERMS)}),
+scored AS (SELECT i.doc_id AS work_id, h.lexical + CASE WHEN highlighted THEN 0.08::DOUBLE ELSE 0 END + 0.01::DOUBLE * least(usage_count, 20) AS s
+           FROM hits h JOIN items i USING (doc_id))
+SELECT work_id, round_even(s, 4) AS score FROM scored ORDER BY round(s, 9) DESC, work_id LIMIT 50""",
+)
+def search_works_query(spark, sf_dir):
+    rows = works(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    items = rows.select(
+        F.col("doc_id").alias("work_id"),
+        F.concat_ws(" ", "title", "abstract").alias("body"),
+        F.coalesce(F.col("quality") == 1, F.lit(False)).alias("highlighted"),
+        (F.col("n_chars") % 30).alias("usage_count"),
+    )
+    return search_works(items, QUERY, 50).select("work_id", F.bround("score", 4).alias("score"))
+
+
+@query(
+    "list_items_query",
+    f"""WITH items AS (SELECT d.doc_id, d.text AS body, coalesce(l.quality = 1, false) AS highlighted, d.n_chars % 3 AS usage_count
+       FROM documents d LEFT JOIN labels l USING (doc_id)),
+hits AS ({duck.lexical("items", "doc_id", "body", TERMS)})
+SELECT doc_id, highlighted, usage_count, round_even(lexical, 4) AS score FROM hits JOIN items USING (doc_id)
+ORDER BY highlighted DESC, usage_count DESC, round(lexical, 9) DESC, doc_id DESC LIMIT 100""",
+)
+def list_items_query(spark, sf_dir):
+    out = list_items(_items(spark, sf_dir), 100, QUERY)
+    return out.select("doc_id", "highlighted", "usage_count", F.bround("score", 4).alias("score"))
+
+
+@query(
+    "list_items_order",
+    """SELECT d.doc_id, coalesce(l.quality = 1, false) AS highlighted, d.n_chars % 3 AS usage_count, d.n_chars AS recency
+FROM documents d LEFT JOIN labels l USING (doc_id)
+ORDER BY highlighted DESC, usage_count DESC, recency DESC, doc_id DESC LIMIT 100""",
+)
+def list_items_order(spark, sf_dir):
+    return list_items(_items(spark, sf_dir), 100).select("doc_id", "highlighted", "usage_count", "recency")
+
+
+def _items(spark, sf_dir):
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return docs.join(labels, "doc_id", "left").select(
+        "doc_id", F.col("doc_id").alias("id"), F.col("text").alias("body"),
+        F.coalesce(F.col("quality") == 1, F.lit(False)).alias("highlighted"),
+        (F.col("n_chars") % 3).alias("usage_count"), F.col("n_chars").alias("recency"), F.col("doc_id").alias("updated_at"),
+    )
+
+
+@query(
+    "feed_ranking",
+    f"""WITH {duck.WORKS}, hits AS ({duck.lexical("works", "doc_id", "title || ' ' || abstract", TERMS)}),
+rows AS (SELECT w.source, w.doc_id AS work_id, coalesce(h.lexical, 0) AS s, CAST(1990 + w.n_chars % 36 AS INTEGER) AS year, w.lang <> 'en' AS has_url
+         FROM works w LEFT JOIN hits h USING (doc_id))
+SELECT source, work_id, round_even(s, 4) AS score, year, CAST(row_number() OVER (PARTITION BY source ORDER BY round(s, 9) DESC, year DESC, has_url DESC, work_id) AS INTEGER) AS rn
+FROM rows QUALIFY rn <= 10""",
+)
+def feed_ranking(spark, sf_dir):
+    rows = works(spark, sf_dir).select(
+        "source", F.col("doc_id").alias("work_id"), "title", "abstract",
+        (F.lit(1990) + F.col("n_chars") % 36).cast("int").alias("year"),
+        F.when(F.col("lang") != "en", F.lit("link")).otherwise("").alias("url"),
+    )
+    return rank_feed(rows, QUERY, 10, ["source"]).select("source", "work_id", F.bround("lexical", 4).alias("score"), "year", "rn")
+
+
+@query(
+    "postings_search",
+    f"""WITH q AS (SELECT item_id, list_distinct({duck.tokens("text")}) AS ts FROM benchmark),
+qt AS (SELECT item_id, len(ts) AS nq, unnest(ts) AS tok FROM q),
+dt AS (SELECT doc_id, {duck.tokens("text")} AS ts FROM documents),
+idx AS (SELECT doc_id, tok, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS tok FROM dt) GROUP BY doc_id, tok),
+sc AS (SELECT item_id AS query_id, doc_id, sum(1 + ln(1 + tf)) / sqrt(any_value(nq) + any_value(n)) AS s FROM idx JOIN qt USING (tok) GROUP BY item_id, doc_id)
+SELECT query_id, doc_id, round_even(s, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS INTEGER) AS rn FROM sc QUALIFY rn <= 5""",
+)
+def postings_search(spark, sf_dir):
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    top = score_postings(postings(docs, "doc_id", "text"), asked, "doc_id", 5)
+    return top.select("query_id", "doc_id", F.bround("score", 4).alias("score"), "rn")
+
+
+@query(
+    "html_text",
+    f"""SELECT page_id, {duck.squeeze("regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?is)<noscript.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g')")} AS text
+FROM pages""",
+)
+def html_text(spark, sf_dir):
+    pages = spread_table(spark, sf_dir, "pages", "page_id", "html")
+    return pages.select("page_id", html_to_text("html").alias("text"))
+
+
+@query("inverted_index_roundtrip", f"SELECT doc_id, {duck.squeeze('text')} AS text FROM documents")
+def inverted_index_roundtrip(spark, sf_dir):
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    words = docs.select("doc_id", F.posexplode(F.split(squeeze("text"), " ")).alias("pos", "word"))
+    # an index entry and an index stay within one document
+    entries = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
+    index = entries.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
+    return index.select("doc_id", inverted_index_text("index").alias("text"))
+
+
+@query(
+    "text_keys",
+    f"""WITH {duck.WORKS}, s AS (SELECT doc_id, title, abstract, source, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS dashed FROM works)
+SELECT doc_id, CASE WHEN trim(substr(dashed, 1, 72), '-') = '' THEN 'item' ELSE trim(substr(dashed, 1, 72), '-') END AS slug,
+       array_to_string(list_slice(regexp_extract_all(lower(abstract), '[a-z0-9]+'), 1, 28), ' ') AS summary_key,
+       regexp_replace(abstract, '([a-z])- ([a-z])', '\\1\\2', 'g') AS unhyphenated,
+       greatest(1, length(title || abstract) // 4) AS tokens,
+       {duck.level("title")} AS level
+FROM s""",
+)
+def text_keys(spark, sf_dir):
+    return works(spark, sf_dir).select(
+        "doc_id",
+        slugify("title").alias("slug"),
+        summary_key("abstract", 28).alias("summary_key"),
+        repair_hyphens("abstract").alias("unhyphenated"),
+        estimate_tokens("title", "abstract").alias("tokens"),
+        validation_number("title").alias("level"),
+    )
+
+
+VENUE_CASE = " ".join(f"WHEN regexp_matches(text, '(?i)\\b{v}\\b') THEN '{v}'" for v in VENUE_NAMES)
+RANK_LIST = "|".join(TOP_VENUES)
+
+
+@query(
+    "venue_tags",
+    f"""WITH {duck.WORKS}, v AS (SELECT doc_id, {duck.squeeze("lower(title)")} AS t, CASE {VENUE_CASE} END AS name, regexp_extract(text, '\\b(20\\d{{2}})\\b', 1) AS y FROM works)
+SELECT doc_id, CASE WHEN t = '' THEN 0 WHEN regexp_matches(t, '{RANK_LIST}') THEN 4 WHEN t IN ('arxiv', 'openalex', 'crossref') THEN 1 ELSE 3 END AS venue_rank,
+       CASE WHEN name IS NULL THEN '' WHEN y = '' THEN name ELSE name || ' ' || y END AS venue FROM v""",
+)
+def venue_tags(spark, sf_dir):
+    return works(spark, sf_dir).select(
+        "doc_id", venue_rank("title").alias("venue_rank"), peer_reviewed_venue("text").alias("venue")
+    )
+
+
+def _domain_sql() -> str:
+    return ", ".join(f"CASE WHEN regexp_matches(lower(text), '{'|'.join(words)}') THEN '{d}' END" for d, words in DOMAINS.items())
+
+
+@query(
+    "domain_filter",
+    f"""WITH d AS (SELECT doc_id, list_filter([{_domain_sql()}], lambda x: x IS NOT NULL) AS ds FROM documents)
+SELECT doc_id, array_to_string(ds, ',') AS domains FROM d WHERE len(ds) = 0 OR list_has_any(ds, ['fusion'])""",
+)
+def domain_filter(spark, sf_dir):
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    kept = domain_compatible(docs, ["fusion"], DOMAINS, "text")
+    return kept.select("doc_id", F.array_join("domains", ",").alias("domains"))
+
+
+def _expansion_sql(text: str) -> str:
+    groups = []
+    for triggers, phrases in QUERY_EXPANSIONS:
+        tests = [
+            f"regexp_matches(t, '(^|[^a-z0-9]){x}($|[^a-z0-9])')" if x in WHOLE_WORD_TRIGGERS else f"contains(t, '{x}')" for x in triggers
+        ]
+        groups.append(f"CASE WHEN {' OR '.join(tests)} THEN '{'; '.join(phrases)}' END")
+    return f"SELECT doc_id, concat_ws('; ', {', '.join(groups)}) AS phrases FROM (SELECT doc_id, lower({text}) AS t FROM documents)"
+
+
+@query("query_expansion", _expansion_sql("text"))
+def query_expansion(spark, sf_dir):
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.select("doc_id", F.array_join(expansions("text"), "; ").alias("phrases"))
+
+
+# deliberate damage by event, and the step that should mend it
+DAMAGE = [
+    ("parsed", lambda p: p),
+    ("repaired", lambda p: F.regexp_replace(p, '"(k)"', "$1")),
+    ("repaired", lambda p: F.regexp_replace(p, r"\}", ",}")),
+    ("fenced", lambda p: F.concat(F.lit("Sure:\n```json\n"), p, F.lit("\n```"))),
+    ("outermost", lambda p: F.concat(F.lit("the answer is "), p, F.lit(" as asked"))),
+    ("outermost_repaired", lambda p: F.concat(F.lit("so “k”: "), F.regexp_replace(p, '"', "“"), F.lit(" ok"))),
+    ("error", lambda p: F.regexp_replace(p, r"[{}]", "")),
+]
+
+
+@query(
+    "json_cleanup",
+    "SELECT event_id, CASE event_id % 7 "
+    + " ".join(f"WHEN {i} THEN '{step}'" for i, (step, _) in enumerate(DAMAGE))
+    + " END AS repair_step, CASE WHEN event_id % 7 = 6 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events",
+)
+def json_cleanup(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    damaged = F.lit(None).cast("string")
+    for i, (_, damage) in enumerate(DAMAGE):
+        damaged = F.when(F.col("event_id") % len(DAMAGE) == i, damage(F.col("props"))).otherwise(damaged)
+    cleaned = clean_json(events.select("event_id", damaged.alias("answer")), "answer")
+    return cleaned.select("event_id", "repair_step", F.get_json_object("json", "$.k").cast("bigint").alias("k"))
