@@ -29,9 +29,12 @@ def guard(calls: DataFrame, limit: int, fold_rows: int = FOLD_ROWS) -> DataFrame
     a run together.
     """
     sizes = calls.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = calls.join(sizes, "run_id")
-    short = sized.filter(F.col("_n") <= fold_rows).drop("_n")
-    long = sized.filter(F.col("_n") > fold_rows).drop("_n")
+    large = durable(sizes.filter(F.col("_n") > fold_rows).select("run_id"))
+    if large.isEmpty():
+        return guard_short(calls, limit)
+    # long runs are at most calls / fold_rows
+    short = calls.join(large, "run_id", "left_anti")
+    long = calls.join(large, "run_id", "left_semi")
     return guard_short(short, limit).unionByName(guard_long(long, limit))
 
 

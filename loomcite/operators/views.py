@@ -125,29 +125,39 @@ def work_badges(works: DataFrame, facts: DataFrame, benchmarks: DataFrame) -> Da
     return joined.fillna(False, ["has_core_idea", "has_insight"]).fillna(0, ["n_benchmarks"])
 
 
-def export_bundle(ideas: DataFrame, principles: DataFrame, works: DataFrame, evidence: DataFrame, estimates: DataFrame, plans: DataFrame) -> DataFrame:
-    """Flat export rows (idea_id, section, pos, payload): one section per kind of record.
+FEEDBACK_SCHEMA = (
+    '{"outcome_label":["supported","contradicted","implementation_failed"],'
+    '"metric_delta_observed":"string","notes":"string","failure_modes":["string"]}'
+)
+
+
+def export_bundle(
+    ideas: DataFrame, idea_principles: DataFrame, principles: DataFrame, idea_works: DataFrame, works: DataFrame,
+    evidence: DataFrame, estimates: DataFrame, plans: DataFrame,
+) -> DataFrame:
+    """Export rows (idea_id, section, payload): idea, principles, works, evidence, estimate, plan, feedback schema.
 
     A bundle is the rows of one idea, so an idea with very many sources stays many
     rows; ``df.write.partitionBy("section").json`` is the sink.
     """
-    links = ideas.select("idea_id", F.explode("principle_ids").alias("principle_id"))
-    used = links.join(principles, "principle_id")
-    sources = used.select("idea_id", F.explode("source_works").alias("work_id")).distinct().join(works, "work_id")
+    sources = idea_works.select("idea_id", "work_id")
     parts = {
-        "idea": ideas.drop("principle_ids"),
-        "principles": used.drop("source_works"),
-        "works": sources,
-        "benchmark_evidence": sources.select("idea_id", "work_id").join(evidence, "work_id"),
+        "idea": ideas,
+        "principles": idea_principles.select("idea_id", "principle_id").join(principles, "principle_id"),
+        "works": sources.join(works, "work_id"),
+        "benchmark_evidence": sources.join(evidence, "work_id"),
         "estimate": estimates,
         "plan": plans,
     }
-    out = None
+    out = ideas.select("idea_id", F.lit("feedback_schema").alias("section"), F.lit(FEEDBACK_SCHEMA).alias("payload"))
     for section, df in parts.items():
-        rows = df.select("idea_id", F.lit(section).alias("section"), F.to_json(F.struct(*[c for c in df.columns if c != "idea_id"])).alias("payload"))
-        out = rows if out is None else out.unionByName(rows)
-    schema = '{"outcome_label":["supported","contradicted","implementation_failed"],"metric_delta_observed":"string","notes":"string","failure_modes":["string"]}'
-    return out.unionByName(ideas.select("idea_id", F.lit("feedback_schema").alias("section"), F.lit(schema).alias("payload")))
+        payload = F.to_json(F.struct(*[c for c in df.columns if c != "idea_id"]))
+        out = out.unionByName(df.select("idea_id", F.lit(section).alias("section"), payload.alias("payload")))
+    return out
+
+
+def bundle_counts(bundle: DataFrame) -> DataFrame:
+    return bundle.groupBy("idea_id", "section").agg(F.count(F.lit(1)).alias("n"))
 
 
 def report_sections(ideas: DataFrame, sections: list[str]) -> DataFrame:

@@ -33,13 +33,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the copy.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local-mode session without that setting gets a folder of its own.
+    Only a local-mode session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,4 +46,10 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the copy."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
