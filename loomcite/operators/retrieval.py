@@ -11,6 +11,7 @@ from ..functions.query import enriched, hit_count, query_terms, score_from_count
 from ..functions.text import tokenize, validation_number
 from ..functions.vocab import LONG_QUERY_TERMS, MIN_LEXICAL_LONG, MIN_LEXICAL_SHORT
 from .ranking import first_per_key, top_per_group
+from .sides import small_side
 
 
 def counted(df: DataFrame, body: Column | str, terms: list[str]) -> DataFrame:
@@ -182,7 +183,7 @@ def score_postings(index: DataFrame, queries: DataFrame, key: str, k: int) -> Da
     """Top ``k`` per query from the index; ``queries`` holds (query_id, query)."""
     terms = queries.select("query_id", F.array_distinct(tokenize(enriched("query"))).alias("_q"))
     terms = terms.withColumn("n_terms", F.size("_q")).select("query_id", "n_terms", F.explode("_q").alias("token"))
-    hits = index.join(terms, "token").groupBy("query_id", key).agg(
+    hits = index.join(small_side(terms), "token").groupBy("query_id", key).agg(
         F.sum(1 + F.log(1 + F.col("tf"))).alias("_gain"),
         F.first("doc_len").alias("doc_len"),
         F.first("n_terms").alias("n_terms"),
@@ -191,10 +192,6 @@ def score_postings(index: DataFrame, queries: DataFrame, key: str, k: int) -> Da
     return top_per_group(scored, ["query_id"], [stable_desc("score"), F.asc(key)], k)
 
 
-def token_postings(df: DataFrame, key: str, body: Column | str, max_df: int | None = None) -> DataFrame:
-    return df.select(key, F.explode(F.array_distinct(tokenize(body))).alias("token"))
-
-
 def related_top_k(left: DataFrame, right: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
     """For each left item the ``k`` right items with the best lexical score.
 
@@ -206,7 +203,7 @@ def related_top_k(left: DataFrame, right: DataFrame, k: int, min_score: float =
     terms = queries.select("query_id", F.array_distinct(tokenize("query")).alias("_q"))
     terms = terms.withColumn("n_terms", F.size("_q")).select("query_id", "n_terms", F.explode("_q").alias("token"))
     hits = (
-        index.join(terms, "token")
+        index.join(small_side(terms), "token")
         .filter(F.col("query_id") != F.col("item_id"))
         .groupBy("query_id", "item_id")
         .agg(F.sum(1 + F.log(1 + F.col("tf"))).alias("_gain"), F.first("doc_len").alias("_d"), F.first("n_terms").alias("_n"))

@@ -32,6 +32,7 @@ from ..operators.works import (
     version_decisions,
     versions_of,
 )
+from ..session import durable
 from . import duck
 from .duck_concepts import CONCEPTS, EVENTS, LINKS, SYMBOL_CASE
 from .registry import query, spread_table, table
@@ -261,7 +262,7 @@ def concept_upsert(spark, sf_dir):
 SELECT version_id, concept_id, l.seq, version_id = active_version_id AS is_active FROM last l JOIN concepts USING (concept_id)""",
 )
 def concept_versions(spark, sf_dir):
-    events = sentence_events(spark, sf_dir).select("concept_id", "version_id", "concept_type", "canonical_key", "scope", "label", "validation_level", "confidence", "seq")
+    events = durable(sentence_events(spark, sf_dir).select("concept_id", "version_id", "concept_type", "canonical_key", "scope", "label", "validation_level", "confidence", "seq"))
     return fold_versions(events, concepts(events)).select("version_id", "concept_id", "seq", "is_active")
 
 
@@ -366,7 +367,7 @@ SELECT c.concept_id, c.active_version_id AS shown_version_id, vc.n AS version_co
 FROM concepts c JOIN vc USING (concept_id) LEFT JOIN lc USING (concept_id)""",
 )
 def concept_detail_query(spark, sf_dir):
-    events = sentence_events(spark, sf_dir)
+    events = durable(sentence_events(spark, sf_dir))
     cards = concepts(events)
     versions = fold_versions(events, cards).select("concept_id", "version_id", "seq", F.col("sentence").alias("summary"))
     symbols = cards.select("concept_id", F.lit("x").alias("short_code"), F.lit("none").alias("status"), F.lit(0).alias("seq"), F.lit("").alias("symbol_id"))
@@ -394,7 +395,8 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY concept_type ORDER BY
 
 
 def _hybrid(spark, sf_dir):
-    events = sentence_events(spark, sf_dir)
+    # the stored event table, written once and read by the four branches below
+    events = durable(sentence_events(spark, sf_dir))
     cards = concepts(events)
     link_rows = links(events)
     counted = cards.join(evidence_counts(link_rows), "concept_id", "left").fillna(0, ["evidence_count"])

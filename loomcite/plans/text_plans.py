@@ -294,7 +294,7 @@ DAMAGE = [
     + " END AS repair_step, CASE WHEN event_id % 7 = 6 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events",
 )
 def json_cleanup(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "props")
+    events = spread_table(spark, sf_dir, "events", "event_id", "props")
     damaged = F.lit(None).cast("string")
     for i, (_, damage) in enumerate(DAMAGE):
         damaged = F.when(F.col("event_id") % len(DAMAGE) == i, damage(F.col("props"))).otherwise(damaged)

@@ -38,6 +38,7 @@ from ..operators.views import (
     with_defaults,
     work_badges,
 )
+from ..session import durable
 from ..sources.importer import import_buckets, import_counts
 from . import duck
 from .duck_concepts import EVENTS, TYPE_CASE
@@ -102,7 +103,7 @@ def benchmark_extraction(spark, sf_dir):
 SELECT work_id, method_name, metric, CAST(value AS DOUBLE) AS value, '%' AS unit FROM r""",
 )
 def result_extraction(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    lines = spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
     rows = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     metric = F.when(F.col("l_linenumber") % 2 == 0, "exact match").otherwise("accuracy")
     said = F.concat(F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit(" reports "), metric, F.lit(" "), F.col("l_quantity").cast("string"), F.lit("%. It ends."))
@@ -148,7 +149,8 @@ def grounding_gate(spark, sf_dir):
     "SELECT l_orderkey, l_linenumber, 'Cuts cost by ' || CASE WHEN l_quantity = l_suppkey THEN CAST(l_suppkey AS VARCHAR) || '%' ELSE 'an amount to be set by a measured validation protocol' END || ' in all.' AS text FROM lineitem",
 )
 def number_scrub(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("bigint").alias("q"))
+    lines = spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    rows = lines.withColumn("q", F.col("l_quantity").cast("bigint"))
     said = F.concat(F.lit("Cuts cost by "), F.col("l_suppkey").cast("string"), F.lit("% in all."))
     known = F.concat(F.lit("We saw "), F.col("q").cast("string"), F.lit("% less."))
     return rows.select("l_orderkey", "l_linenumber", scrub_numbers(said, known).alias("text"))
@@ -448,4 +450,4 @@ def bucket_import(spark, sf_dir):
         F.element_at(names, F.col("concept_type")).alias("bucket"), F.col("seq").cast("string").alias("id"),
         F.to_json(F.struct(F.col("sentence").alias("title"), F.array(old).alias("source_work_ids"))).alias("payload"), "seq",
     )
-    return import_counts(import_buckets(records.unionByName(cards)))
+    return import_counts(import_buckets(durable(records.unionByName(cards))))
