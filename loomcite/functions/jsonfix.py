@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import text_of
+from .text import strip
 
 
 def repair(value: Column) -> Column:
@@ -43,9 +43,9 @@ def clean_json(df: DataFrame, column: str) -> DataFrame:
     Steps are separate columns, each tried only when the ones before it failed.
     """
     valid = is_json
-    rows = df.withColumn("_raw", F.trim(text_of(column)))
+    rows = df.withColumn("_raw", strip(column))
     fence = r"(?is)```(?:json)?\s*(.*?)```"
-    fenced = F.when(F.col("_raw").rlike(fence), F.trim(F.regexp_extract("_raw", fence, 1)))
+    fenced = F.when(F.col("_raw").rlike(fence), strip(F.regexp_extract("_raw", fence, 1)))
     inner = F.coalesce(fenced, outermost(F.col("_raw")))
     where = F.when(fenced.isNotNull(), F.lit("fenced")).otherwise(F.lit("outermost"))
     step = (

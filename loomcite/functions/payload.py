@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import canonical_text, text_of
+from .text import canonical_text, strip, text_of
 from .vocab import LABEL_FIELDS, SUMMARY_FIELDS, SUMMARY_LISTS
 
 Payload = Mapping[str, Column]
@@ -16,21 +16,24 @@ Payload = Mapping[str, Column]
 
 def summary(payload: Payload) -> Column:
     """Twelve scalar fields in order, then the first four items of five list fields."""
-    scalars = [F.nullif(F.trim(text_of(payload[f])), F.lit("")) for f in SUMMARY_FIELDS if f in payload]
+    scalars = [F.nullif(strip(payload[f]), F.lit("")) for f in SUMMARY_FIELDS if f in payload]
     lists = [F.array_join(F.filter(F.slice(payload[f], 1, 4), lambda v: v != ""), " ") for f in SUMMARY_LISTS if f in payload]
     return F.trim(F.concat_ws(" ", *scalars, *[F.nullif(v, F.lit("")) for v in lists]))
 
 
-def label(concept_type: Column, payload: Payload, key_text: Column | None = None) -> Column:
-    """First non-empty of six fields, then fallbacks by type; 180 characters."""
+def label(concept_type: Column, payload: Payload, key_text: Column | None = None, said: Column | None = None) -> Column:
+    """First non-empty of six fields, then fallbacks by type; 180 characters.
+
+    ``said`` is the payload's summary when it is already a column.
+    """
     key = F.nullif(text_of(key_text if key_text is not None else F.lit("")), F.lit(""))
-    field = lambda name: F.nullif(F.trim(text_of(payload[name])), F.lit("")) if name in payload else F.lit(None).cast("string")
+    field = lambda name: F.nullif(strip(payload[name]), F.lit("")) if name in payload else F.lit(None).cast("string")
     named = [field(f) for f in LABEL_FIELDS]
     by_type = (
         F.when(concept_type == "takeaway_message", F.coalesce(field("message_text"), key, F.lit("Takeaway message")))
         .when(concept_type == "existed_idea", F.coalesce(field("idea_text"), key, F.lit("Existed idea")))
         .otherwise(
-            F.coalesce(key, F.nullif(summary(payload), F.lit("")), F.initcap(F.replace(concept_type, F.lit("_"), F.lit(" "))))
+            F.coalesce(key, F.nullif(said if said is not None else summary(payload), F.lit("")), F.initcap(F.replace(concept_type, F.lit("_"), F.lit(" "))))
         )
     )
     return F.substring(F.coalesce(*named, by_type), 1, 180)

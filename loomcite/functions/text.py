@@ -29,6 +29,11 @@ def text_of(value: Column | str) -> Column:
     return F.coalesce(col_of(value).cast("string"), F.lit(""))
 
 
+def strip(value: Column | str) -> Column:
+    """White space of any kind removed at both ends."""
+    return F.regexp_replace(text_of(value), f"^{SPACES}|{SPACES}$", "")
+
+
 def squeeze(value: Column | str) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
     return F.trim(F.regexp_replace(text_of(value), SPACES, " "))
@@ -106,7 +111,7 @@ def venue_rank(value: Column | str) -> Column:
 
 
 def clean_external_id(value: Column | str) -> Column:
-    no_doi = F.regexp_replace(F.trim(text_of(value)), r"^https://doi\.org/", "")
+    no_doi = F.regexp_replace(strip(value), r"^https://doi\.org/", "")
     return F.trim(F.regexp_replace(no_doi, r"^http://dx\.doi\.org/", ""))
 
 
@@ -166,7 +171,7 @@ def ordered_union(*lists: Column) -> Column:
     """Trimmed, non-empty values in first-seen order."""
     empty = F.array().cast("array<string>")
     joined = F.concat(*[F.coalesce(item, empty) for item in lists])
-    trimmed = F.transform(joined, lambda v: F.trim(F.coalesce(v, F.lit(""))))
+    trimmed = F.transform(joined, strip)
     return F.array_distinct(F.filter(trimmed, lambda v: v != ""))
 
 

@@ -141,7 +141,9 @@ UNION ALL SELECT 'derivation_node', count(*) FROM conversations WHERE conv_id <
 UNION ALL SELECT 'work', count(*) FROM wk UNION ALL SELECT 'work_version', count(*) FROM wk UNION ALL SELECT 'extraction_run', count(*) FROM labels WHERE doc_id IN (SELECT id FROM wk)""",
 )
 def project_delete_deep(spark, sf_dir):
-    gone = table(spark, sf_dir, "events").select(F.col("user_id").alias("project_id")).distinct().filter("project_id < 100")
+    projects = table(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"))
+    projects = projects.unionByName(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("project_id")))
+    gone = projects.filter("project_id < 100").distinct()
     return deleted_counts(delete_deep(_delete_tables(spark, sf_dir), gone))
 
 

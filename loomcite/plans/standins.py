@@ -35,9 +35,10 @@ def sentence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, TYPES))
     payload = {"title": F.col("sentence")}
     rows = rows.withColumn("concept_type", F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")))
-    rows = rows.withColumn("label", label(F.col("concept_type"), payload))
+    rows = rows.withColumn("said", summary(payload))
+    said = F.col("said")
+    rows = rows.withColumn("label", label(F.col("concept_type"), payload, said=said))
     n_evidence = F.when(F.col("quality").isNull(), 0).otherwise(1)
-    said = summary(payload)
     rows = rows.select(
         "doc_id", "lang", "quality", "toxic", "sentence", "concept_type", "label",
         (F.col("doc_id") * 1000000 + F.col("_p") + 1).alias("seq"),

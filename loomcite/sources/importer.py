@@ -12,6 +12,7 @@ from ..functions.text import canonical_text, compact_text, text_of
 from ..functions.vocab import BUCKET_CONCEPT_TYPE, SUMMARY_FIELDS, SUMMARY_LISTS, USER_BUCKETS
 from ..operators.concepts import concept_events
 from ..operators.evidence import with_evidence_id
+from ..session import durable
 
 _TEXT = [
     *SUMMARY_FIELDS, "canonical_key", "text", "evidence", "work_id", "abstract", "venue_or_source", "url_or_doi",
@@ -52,13 +53,16 @@ def import_buckets(records: DataFrame, project_id: str = "default", source: str
     filled = lambda c: F.when(F.size(c) > 0, F.col(c))
     key_text = first_text("canonical_key", "title", "name", "idea_text", "message_text", "text")
     user = F.col("bucket").isin(USER_BUCKETS)
-    said = summary(payload)
-    cards = cards.withColumn("label", label(F.col("concept_type"), payload, key_text))
+    said = F.col("said")
+    # each derived text is a column of its own, so that later steps refer to it instead of repeating it
+    cards = cards.withColumn("said", summary(payload)).withColumn("key_text", key_text)
+    cards = cards.withColumn("label", label(F.col("concept_type"), payload, F.col("key_text"), said))
     cards = cards.withColumn("hint", F.coalesce(filled("source_work_ids"), filled("source_works"), none))
     cards = cards.withColumn("sources", F.coalesce(filled("source_work_ids"), filled("source_works"), one, none))
     listed = [F.col(c) for c in _LISTS]
     cards = cards.withColumn("confidence", resolved_confidence(F.col("confidence_score"), quality(said, F.size("sources"), listed)))
-    events = concept_events(
+    # stored once: concepts, links and memberships are all read from it
+    cards = durable(
         cards.select(
             "seq", "concept_type", "label", "sources", "confidence", "payload_json", said.alias("summary"),
             canonical_key(F.col("label"), said, F.col("hint")).alias("canonical_key"), F.lit("project_private").alias("scope"),
@@ -70,6 +74,7 @@ def import_buckets(records: DataFrame, project_id: str = "default", source: str
             F.coalesce(F.nullif("confidence_score", F.lit(0.0)), F.lit(0.5)).alias("link_confidence"),
         )
     )
+    events = concept_events(cards)
 
     new_ids = works.groupBy("old_id").agg(F.max_by("work_id", "seq").alias("_new"))
     links = events.select("concept_id", F.col("version_id").alias("concept_version_id"), "evidence_span", "link_confidence", "seq", F.explode("sources").alias("old_id"))

@@ -1,0 +1,99 @@
+import random
+from difflib import SequenceMatcher
+
+from pyspark.sql import functions as F
+
+from loomcite.operators.identity import exact_matches, fuzzy_matches, resolve
+from loomcite.operators.works import append_versions, latest_versions, merge_feed_urls, merge_feeds, refresh_plan, version_decisions, versions_of
+from loomcite.plans.standins import works as document_works
+from loomcite.functions.text import canonical_text
+
+FEED = "seq int, title string, abstract string, url string, year int, venue string, citation_count int, source_urls array<string>"
+
+
+def feed(spark):
+    rows = [
+        (1, "A  Title", "", "u1", None, "arXiv", 3, ["s1"]),
+        (2, "a title!", "text", "u2", 2020, "ICML", 9, ["s1", "s2"]),
+        (3, "A title", "later", "", 2021, "NeurIPS", None, []),
+        (4, "Other", "x", "", None, "", None, None),
+    ]
+    random.Random(7).shuffle(rows)
+    return spark.createDataFrame(rows, FEED).repartition(3)
+
+
+def test_merge_feeds_folds_in_arrival_order(spark):
+    rows = {r.title_key: r for r in merge_feeds(feed(spark)).collect()}
+    merged = rows["a title"]
+    assert (merged.title, merged.abstract, merged.url, merged.year, merged.venue, merged.citation_count) == ("A  Title", "text", "u1", 2020, "ICML", 9)
+    assert merged.n_rows == 3 and len(rows) == 2
+
+
+def test_merge_feed_urls_keep_first_seen_order(spark):
+    rows = merge_feed_urls(feed(spark)).orderBy("seq", "pos").collect()
+    assert [r.url for r in rows] == ["s1", "s2", "u2"]
+
+
+def test_exact_identity_earliest_candidate_wins_by_any_rule(spark):
+    known = spark.createDataFrame(
+        [(1, "W1", "other", "d1", "t1"), (2, "W2", "same", "d2", "t2"), (3, "W3", "same", "d2", "t1")],
+        "seq int, work_id string, x string, doi string, title_hash string",
+    )
+    incoming = spark.createDataFrame([("i", "d2", "t1"), ("j", "d2", "zz"), ("k", "", "zz")], "in_id string, doi string, title_hash string")
+    got = {r.in_id: (r.work_id, r.reason, r.confidence) for r in exact_matches(incoming, known).collect()}
+    # the first known work matches by title although a later one has the same DOI
+    assert got == {"i": ("W1", "title_hash", 0.96), "j": ("W2", "doi_exact", 1.0)}
+
+
+def test_resolve_gives_every_incoming_work_one_answer(spark):
+    schema = "title string, doi string, arxiv_id string, year int, authors array<string>"
+    known = spark.createDataFrame([("sparse view prompt routing with gates", "d", "", 2020, ["Ann Lee"])], schema)
+    known = known.withColumn("work_id", F.lit("W1")).withColumn("seq", F.lit(1))
+    rows = [
+        ("sparse view prompt routing with gate", "", "", 2020, ["Ann Lee"]),
+        ("sparse view prompt routing for gates", "", "", None, []),
+        ("a wholly different thing", "", "", None, []),
+        ("Sparse View: prompt routing with gates", "", "", None, []),
+    ]
+    incoming = spark.createDataFrame(rows, schema).withColumn("in_id", F.col("title"))
+    got = {r.in_id: r for r in resolve(incoming, known).collect()}
+    assert len(got) == 4
+    assert got[rows[0][0]].reason == "fuzzy_title_author_year" and got[rows[0][0]].confidence == 0.99
+    assert got[rows[1][0]].status == "ambiguous_review" and got[rows[1][0]].confidence < 0.94
+    assert got[rows[2][0]].status == "new"
+    assert got[rows[3][0]].reason == "title_hash"
+
+
+def test_fuzzy_blocking_recall_against_brute_force(spark):
+    docs = document_works(spark, "/root/testdata/sf0.001")
+    titles = sorted({r.t for r in docs.select(canonical_text("title").alias("t")).collect() if r.t})
+    damaged = []
+    rng = random.Random(1)
+    for title in titles[::2]:
+        words = title.split()
+        words[rng.randrange(len(words))] = "zz" + words[0][:3]
+        damaged.append(" ".join(words))
+    best = {}
+    for a in damaged:
+        score, _, b = max((SequenceMatcher(None, a, b).ratio(), -i, b) for i, b in enumerate(titles))
+        if score >= 0.80 and a not in titles:
+            best[a] = (b, score)
+    schema = "title_norm string, year int, authors array<string>"
+    known = spark.createDataFrame([(x, None, []) for x in titles], schema).withColumn("work_id", F.col("title_norm"))
+    known = known.join(spark.createDataFrame(list(enumerate(titles)), "seq int, title_norm string"), "title_norm")
+    incoming = spark.createDataFrame([(x, None, []) for x in best], schema).withColumn("in_id", F.col("title_norm"))
+    found = {r.in_id: r.work_id for r in fuzzy_matches(incoming, known).collect()}
+    hits = sum(found.get(a) == b for a, (b, _) in best.items())
+    print(f"recall {hits}/{len(best)}")
+    assert hits / len(best) >= 0.95
+
+
+def test_versions_and_refresh(spark):
+    schema = "work_id string, title string, abstract string, source_updated_at string, seq int"
+    first = spark.createDataFrame([("W1", "T", "a", "d1", 1), ("W2", "T2", "b", "", 2)], schema)
+    again = spark.createDataFrame([("W1", "T", "a", "d2", 3), ("W2", "T2", "b", "", 4), ("W2", "T2", "new", "", 5), ("W3", "T3", "c", "", 6)], schema)
+    current = versions_of(first)
+    decisions = {(r.work_id, r.seq): r.decision for r in version_decisions(versions_of(again), latest_versions(current)).collect()}
+    assert decisions == {("W1", 3): "metadata_update", ("W2", 4): "unchanged", ("W2", 5): "new_version", ("W3", 6): "new_version"}
+    assert sorted(r.seq for r in append_versions(current, again).collect()) == [3, 5, 6]
+    assert sorted(r.seq for r in refresh_plan(versions_of(again), current).collect()) == [5, 6]
