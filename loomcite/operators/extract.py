@@ -24,7 +24,7 @@ FACT_FIELDS = {"work_principles": "principle", "work_insights": "insight", "work
 METRIC = r"(?:top-1 accuracy|top-5 accuracy|exact match|accuracy|f1|bleu|rouge|map|latency|auc)"
 RESULT = rf"(?i)([A-Za-z][A-Za-z0-9\-]*(?: [A-Z][A-Za-z0-9\-]*)*) reports ({METRIC}) (\d+(?:\.\d+)?)\s?(%|ms)?"
 SPLIT = r"(?i)\b(base-to-novel|test|validation|dev|train|zero-shot|few-shot)\b(?: split)?"
-ANCHOR_LENGTH = 12
+ANCHOR_LENGTH = 6
 
 
 def work_facts(works: DataFrame, body: str = "abstract") -> DataFrame:
@@ -43,8 +43,8 @@ def catalogue_matches(docs: DataFrame, key: str, body: str, catalogue: DataFrame
     """(key, name_key) for every catalogue name in a text, whole words of the canonical text.
 
     The catalogue of any size is joined by key, never scanned per text; one of counted
-    small size is broadcast and then no text run is shuffled. Names of n < 12
-    words meet the text's distinct n-word runs. Longer passages meet by their first 12
+    small size is broadcast and then no text run is shuffled. Names of n < 6
+    words meet the text's distinct n-word runs. Longer passages meet by their first 6
     words and are then compared whole.
     """
     names = durable(catalogue.select("name_key").filter("name_key <> ''").distinct())
@@ -53,7 +53,7 @@ def catalogue_matches(docs: DataFrame, key: str, body: str, catalogue: DataFrame
     run = lambda i, n: F.array_join(F.slice("_w", i, n), " ")
 
     short = names.filter(F.col("n_words") < ANCHOR_LENGTH)
-    lengths = sorted(r[0] for r in short.select("n_words").distinct().collect())  # at most 11 values
+    lengths = sorted(r[0] for r in short.select("n_words").distinct().collect())  # at most 5 values
     runs = [
         texts.filter(F.size("_w") >= n).select(
             key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: run(i, n)))).alias("name_key")

@@ -11,12 +11,19 @@ from pyspark.sql.window import Window
 from ..session import durable
 
 
+# Spark turns a rank filter into a group limit only up to this rank (its default threshold)
+GROUP_LIMIT = 1000
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rn") -> DataFrame:
     """First ``k`` rows of every group.
 
     The rank filter becomes a group limit that runs before the shuffle, so a hot
-    group sends at most ``k`` rows per map task.
+    group sends at most ``k`` rows per map task. Deeper ranks, where Spark would sort
+    whole groups, are taken from exact positions instead.
     """
+    if k > GROUP_LIMIT:
+        return ordinal(df, keys, order, rank).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("int"))
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
@@ -25,16 +32,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_per_group(df, keys, order, 1, "_first").drop("_first")
 
 
-def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", descending: bool = False) -> DataFrame:
+def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "rn") -> DataFrame:
     """Exact 1-based position of every row in its group, without a per-group task.
 
     Rows are range-partitioned by (keys, order), so a hot group spreads over many
     partitions. Each (group, partition) piece is counted, and a piece's start is the
     sum of the pieces before it; one group has at most one piece per partition.
-    ``order`` must name columns that order rows totally within a group.
+    ``order`` should order rows totally within a group.
     """
-    direction = F.desc if descending else F.asc
-    sort = [F.asc(k) for k in keys] + [direction(c) for c in order]
+    sort = [F.asc(k) for k in keys] + [F.asc(c) if isinstance(c, str) else c for c in order]
     placed = durable(
         df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id())
     )

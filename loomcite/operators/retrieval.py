@@ -160,10 +160,10 @@ def list_items(items: DataFrame, limit: int, query: str = "") -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str, body: Column | str) -> DataFrame:
-    """Inverted index rows (token, key, tf, doc_len), built without a shuffle by token.
+    """Inverted index rows (token, key, tf, doc_len).
 
-    A document's tokens are grouped next to the document, so the index is written
-    straight from the scan and can be partitioned by token on write.
+    Counts are folded on the map side, where all tokens of a document are, so one row
+    per document and distinct token is shuffled.
     """
     tokens = docs.select(key, tokenize(body).alias("_t")).withColumn("doc_len", F.size("_t"))
     return (

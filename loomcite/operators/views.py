@@ -70,11 +70,10 @@ def dashboard(counts: dict[str, DataFrame], **flags: tuple[DataFrame, Column]) -
 
 def coverage(works: DataFrame, facts: DataFrame, types: list[str]) -> DataFrame:
     """Share of works with at least one fact of each type, and the mean share as ``overall``."""
-    total = works.agg(F.count_distinct("work_id").alias("total"))
+    total = works.agg(F.count_distinct("work_id")).scalar()
     have = facts.groupBy("fact_type").agg(F.count_distinct("work_id").alias("n_works"))
     names = facts.sparkSession.createDataFrame([(t,) for t in types], "fact_type string")
-    # one-row side: the total
-    rows = names.join(have, "fact_type", "left").join(F.broadcast(total))
+    rows = names.join(have, "fact_type", "left").withColumn("total", total)
     share = F.when(F.col("total") > 0, F.coalesce("n_works", F.lit(0)) / F.col("total")).otherwise(F.lit(0.0))
     shares = rows.select("fact_type", share.alias("share"))
     return shares.unionByName(shares.agg(F.avg("share").alias("share")).select(F.lit("overall").alias("fact_type"), "share"))

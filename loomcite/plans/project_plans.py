@@ -370,9 +370,8 @@ SELECT run_id, status = 'running' AND epoch_us(updated_at) < epoch_us(now) - {ST
 )
 def stale_runs_query(spark, sf_dir):
     log = runs(spark, sf_dir).withColumn("updated_at", F.col("updated_at").cast("timestamp"))
-    now = log.agg(F.max("updated_at").alias("now"))
-    # one-row side: the clock
-    status = run_status(log).join(F.broadcast(now))
+    now = log.agg(F.max("updated_at")).scalar()
+    status = run_status(log).withColumn("now", now)
     return stale_runs(status, F.col("now"), STALE_SECONDS).select("run_id", "recovered", "status")
 
 

@@ -6,7 +6,7 @@ from loomcite.operators.concepts import canonical_method_name, fold_concepts, me
 from loomcite.operators.evidence import repair_links
 from loomcite.operators.feedback import failure_modes, idea_status, principle_state
 from loomcite.operators.folds import insert_if_absent
-from loomcite.operators.ranking import ordinal, page
+from loomcite.operators.ranking import ordinal, page, top_per_group
 from loomcite.operators.symbols import abbreviation, allocate
 
 
@@ -95,6 +95,14 @@ def test_ordinal_matches_row_number_on_a_skewed_key(spark):
     assert all(expected[key] == rn for key, rn in got.items()) and len(got) == 5000
 
 
+def test_deep_ranks_equal_shallow_ones(spark):
+    df = spark.range(4000).select((F.col("id") % 2).alias("k"), (F.col("id") * 31 % 4001).alias("v")).repartition(5)
+    deep = top_per_group(df, ["k"], [F.desc("v")], 1500)
+    assert deep.count() == 3000 and deep.schema["rn"].dataType.simpleString() == "int"
+    shallow = {(r.k, r.v, r.rn) for r in top_per_group(df, ["k"], [F.desc("v")], 40).collect()}
+    assert shallow == {(r.k, r.v, r.rn) for r in deep.filter("rn <= 40").collect()}
+
+
 def test_page(spark):
     df = spark.createDataFrame([("p", i) for i in range(7)] + [("q", 1)], "p string, v int")
     rows = page(df, ["p"], [F.asc("v")], 2, 3).collect()
