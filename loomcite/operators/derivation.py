@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_text, text_of
+from ..functions.text import compact_text, summary_key, text_of
 from ..functions.vocab import DERIVED_NODE_TYPES, EDGE_TYPES, NODE_TYPES, OPERATORS
 from .ranking import first_per_key
 
@@ -71,8 +71,6 @@ def normalize_nodes(nodes: DataFrame, known: DataFrame, defaults: DataFrame) ->
 
 def drop_repeated_summaries(nodes: DataFrame) -> DataFrame:
     """A repeated summary is rewritten once from the expression; a second repeat is dropped."""
-    from ..functions.text import summary_key
-
     keyed = nodes.withColumn("_sig", summary_key("summary", 28))
     first = keyed.groupBy("derivation_id", "_sig").agg(F.min("position").alias("_first"))
     rows = keyed.join(first, ["derivation_id", "_sig"])

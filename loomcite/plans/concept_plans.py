@@ -6,12 +6,21 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
 from ..functions.query import query_terms
-from ..functions.text import canonical_text, text_hash
-from ..operators.concepts import fold_versions, merge_near_duplicates, merge_principle_lists, merge_principles, presented_variant
+from ..functions.text import arxiv_id, canonical_text, clean_external_id, clean_title_prefix, text_hash
+from ..operators.concepts import (
+    fold_versions,
+    merge_aliases,
+    merge_near_duplicates,
+    merge_principle_lists,
+    merge_principles,
+    presented_variant,
+    typed_families,
+)
 from ..operators.evidence import concept_detail, evidence_counts, repair_links
+from ..operators.extract import choose_full_text
 from ..operators.folds import insert_if_absent, upsert_rows
 from ..operators.identity import exact_matches, resolve
-from ..operators.ranking import multi_get, recent_per_bucket
+from ..operators.ranking import multi_get, ordinal, recent_per_bucket
 from ..operators.retrieval import (
     default_evidence,
     hybrid_scores,
@@ -21,13 +30,14 @@ from ..operators.retrieval import (
     search_principles,
 )
 from ..operators.runs import complete_runs, extraction_run_id
-from ..operators.symbols import allocate, symbol_table
+from ..operators.symbols import allocate, base_code, expand, symbol_table
 from ..operators.works import (
     append_versions,
     latest_versions,
     merge_feed_urls,
     merge_feeds,
     refresh_plan,
+    replace_stale,
     upsert_works,
     version_decisions,
     versions_of,
@@ -84,8 +94,6 @@ rows AS (SELECT f.title_key, f.seq, 0 AS pos, 's/' || w.lang AS url FROM feed f
 SELECT {duck.stable_id("W", "title_key")} AS work_id, url, CAST(row_number() OVER (PARTITION BY title_key ORDER BY min(seq * 10 + pos)) AS BIGINT) AS rn FROM rows GROUP BY title_key, url""",
 )
 def work_merge_urls(spark, sf_dir):
-    from ..operators.ranking import ordinal
-
     rows = merge_feed_urls(_feed(spark, sf_dir)).withColumn("at", F.col("seq") * 10 + F.col("pos"))
     return ordinal(rows, ["work_id"], ["at"], "rn").select("work_id", "url", "rn")
 
@@ -487,11 +495,93 @@ c AS (SELECT p_partkey AS concept_id, p_type AS concept_type, p_name, regexp_ext
 SELECT concept_id, p_name AS label, {SYMBOL_CASE} || '.' || {INITIALS} AS short_code, coalesce(n, 0) AS n_evidence FROM c LEFT JOIN e USING (concept_id)""",
 )
 def symbol_table_query(spark, sf_dir):
-    from ..operators.symbols import base_code
-
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_type").alias("concept_type"), F.col("p_name").alias("label"))
     symbols = parts.select("concept_id", F.lit("global").alias("namespace"), base_code("concept_type", "label").alias("short_code"))
     evidence = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("concept_id"))
     return symbol_table(parts, symbols, evidence).select("concept_id", "label", "short_code", "n_evidence")
 
 
+
+
+# ---------------------------------------------------------------- smaller operators
+
+
+@query(
+    "external_ids",
+    f"""WITH {duck.WORKS} SELECT doc_id, '10.5/' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN '2305.' || (10000 + doc_id % 90000) ELSE '' END AS arxiv_id, title FROM works""",
+)
+def external_ids(spark, sf_dir):
+    rows = works(spark, sf_dir)
+    number = (F.lit(10000) + F.col("doc_id") % 90000).cast("string")
+    link = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://arxiv.org/pdf/2305."), number, F.lit("v2"))).otherwise("https://x.org")
+    return rows.select(
+        "doc_id", clean_external_id(F.concat(F.lit(" https://doi.org/10.5/"), "doc_id")).alias("doi"),
+        arxiv_id(F.lit(""), F.lit(None).cast("string"), F.array(F.lit("other"), link)).alias("arxiv_id"),
+        clean_title_prefix(F.concat(F.lit("GPT-5.5: "), "title")).alias("title"),
+    )
+
+
+@query(
+    "symbol_expand",
+    "SELECT p_type AS namespace, p_brand AS short_code, max(p_partkey) AS concept_id, arg_max(p_name, p_partkey) AS label FROM part GROUP BY 1, 2",
+)
+def symbol_expand(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    symbols = parts.select(
+        F.col("p_type").alias("namespace"), F.col("p_brand").alias("short_code"), F.col("p_partkey").alias("concept_id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("symbol_id")
+    )
+    cards = parts.select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("label"))
+    codes = symbols.select("namespace", "short_code").distinct()
+    return expand(codes, symbols, cards).select("namespace", "short_code", "concept_id", "label")
+
+
+@query(
+    "baseline_alias_merge",
+    "SELECT p_name AS baseline_name, max(p_size) / 50 AS confidence, count(*) AS n_merged FROM part GROUP BY p_name",
+)
+def baseline_alias_merge(spark, sf_dir):
+    even = F.col("p_partkey") % 2 == 0
+    name = F.when(even, F.concat_ws(": ", "p_name", "p_type")).otherwise(F.concat("p_name", F.lit(" (Proposed)")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), name.alias("baseline_name"), (F.col("p_size") / 50).alias("confidence"))
+    return merge_aliases(rows).select("baseline_name", "confidence", "n_merged")
+
+
+@query(
+    "full_text_choice",
+    """WITH l AS (SELECT doc_id // 4 AS work_id, doc_id % 4 + 1 AS rank, doc_id, text FROM documents WHERE doc_id % 4 + 1 <= 3 AND length(text) >= 500)
+SELECT work_id, min(rank) AS rank, arg_min(md5(text), rank) AS text_md5 FROM l GROUP BY work_id""",
+)
+def full_text_choice(spark, sf_dir):
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    landed = docs.select(F.floor(F.col("doc_id") / 4).alias("work_id"), (F.col("doc_id") % 4 + 1).alias("rank"), "text")
+    return choose_full_text(landed).select("work_id", "rank", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+
+
+@query(
+    "typed_families",
+    """SELECT 'principle' AS concept_type, 'C' || conv_id AS work_id, turn, CASE WHEN turn % 2 = 0 THEN 'S1,S2' ELSE 'C' || conv_id END AS sources FROM conversations
+UNION ALL SELECT 'baseline', 'C' || conv_id, turn, 'C' || conv_id FROM conversations""",
+)
+def typed_families_query(spark, sf_dir):
+    turn = F.col("turn").cast("string")
+    own = F.when(F.col("turn") % 2 == 0, F.lit("S1, S2"))
+    payload = F.map_filter(F.create_map(F.lit("turn"), turn, F.lit("source_works"), own), lambda k, v: v.isNotNull())
+    rows = table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("C"), "conv_id").alias("work_id"), F.col("role").alias("title"), F.array(payload, F.lit(None).cast("map<string,string>")).alias("principles"),
+        F.array(F.create_map(F.lit("turn"), turn)).alias("baselines"),
+    )
+    return typed_families(rows).select(
+        "concept_type", "work_id", F.element_at("payload", F.lit("turn")).cast("bigint").alias("turn"), F.array_join("source_work_ids", ",").alias("sources")
+    )
+
+
+@query(
+    "stale_replace",
+    f"""WITH {VERSIONS}, latest AS (SELECT work_id, title_hash AS lt, abstract_hash AS la FROM versions WHERE seq % 2 = 0 QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY seq DESC, version_id) = 1),
+changed AS (SELECT DISTINCT v.work_id FROM versions v LEFT JOIN latest USING (work_id) WHERE seq % 2 = 1 AND (lt IS NULL OR title_hash <> lt OR abstract_hash <> la))
+SELECT seq, work_id FROM versions WHERE seq % 2 = 0 AND work_id IN (SELECT work_id FROM changed)""",
+)
+def stale_replace(spark, sf_dir):
+    rows = versions_of(_versioned(spark, sf_dir))
+    old, new = rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1")
+    return replace_stale(version_decisions(new, latest_versions(old)), old.select("seq", "work_id")).select("seq", "work_id")
