@@ -92,11 +92,19 @@ class Words:
         longest = int(sizes.max()) if len(sizes) else 0
         powers = POWERS if longest <= len(POWERS) else _powers(longest)
         values = values * powers[place]
+        self.data, self.lower = data, lower
         self.hash = mix(np.add.reduceat(values, at) + sizes.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
 
     def __len__(self) -> int:
         return len(self.hash)
 
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash of its first ``size`` bytes) for the words of at least as many bytes."""
+        long = np.flatnonzero(self.end - self.start >= size)
+        letters = self.data[self.start[long][:, None] + np.arange(size)]
+        values = (BYTE_VALUES[LOWER] if self.lower else BYTE_VALUES)[letters] * POWERS[:size]
+        return long, mix(mix(values.sum(axis=1, dtype=np.uint64)) + U(size))
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -75,10 +75,11 @@ def summed(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndar
 
 
 def corpus_counts(blocks: DataFrame, columns: list[str], asked: Callable, bits: int, per_word: int = 1) -> DataFrame:
-    """Answers (block, p, counts) to what each block asks.
+    """Answers (block, p, counts, wide, fresh) to what each block asks.
 
     ``asked(row)`` gives a block's distinct keys of ``bits`` bits in order, and what the
     block adds to each (0 or more). ``answer`` puts a block's answers together again.
+    ``fresh`` counts the even keys with a positive sum, each at one of the blocks that ask.
     """
     total = (blocks.agg(F.sum("words")).first()[0] or 0) * per_word
     groups = max(4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // GROUP_KEYS)
@@ -106,12 +107,14 @@ def corpus_counts(blocks: DataFrame, columns: list[str], asked: Callable, bits:
         sums = np.add.reduceat(add[order], np.flatnonzero(fresh))
         out = np.empty(len(flat), np.int64)
         out[order] = sums[np.cumsum(fresh) - 1]
+        row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order[fresh]]
+        new = np.bincount(row[(sums > 0) & (near[fresh] & U(1) == 0)], minlength=len(keys))
         kind = np.uint32 if sums.max() < 2**32 else np.uint64
         parts = np.split(out.astype(kind), np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"block": table.column("block"), "p": table.column("p"), "counts": pa.array([planes(x) for x in parts], pa.binary()), "wide": pa.array([kind is np.uint64] * len(parts))})
+        return pa.table({"block": table.column("block"), "p": table.column("p"), "counts": pa.array([planes(x) for x in parts], pa.binary()), "wide": pa.array([kind is np.uint64] * len(parts)), "fresh": pa.array(new.astype(np.int64))})
 
     sent = blocks.select("block", *columns).mapInArrow(ask, "p int, block bigint, keys binary, add binary")
-    return sent.groupBy("p").applyInArrow(count, "block bigint, p int, counts binary, wide boolean")
+    return sent.groupBy("p").applyInArrow(count, "block bigint, p int, counts binary, wide boolean, fresh bigint")
 
 
 def answer(table: pa.Table) -> np.ndarray:
@@ -122,11 +125,12 @@ def answer(table: pa.Table) -> np.ndarray:
 
 
 def answered(blocks: DataFrame, answers: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """``make(row, counts)`` gives a table for each block and the counts that it asked for."""
+    """``make(row, counts, fresh)`` gives a table for each block, the counts that it asked for and the sum of ``fresh``."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         counts = answer(right)
-        parts = [make(row, counts) for row in left.to_pylist()]
+        fresh = int(np.sum(right.column("fresh").to_numpy(), dtype=np.int64))
+        parts = [make(row, counts, fresh) for row in left.to_pylist()]
         return pa.concat_tables(parts)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)

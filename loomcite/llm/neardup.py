@@ -119,7 +119,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, run: int = RUN
         _, runs, _ = word_runs(Words(*block_text(row["sizes"], row["body"])), run)
         return summed(top_bits(runs, bits))
 
-    def sign(row, counts):
+    def sign(row, counts, _):
         first, runs, times = word_runs(Words(*block_text(row["sizes"], row["body"])), run)
         short = top_bits(runs, bits)
         known = np.unique(short)

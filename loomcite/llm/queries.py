@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, packing, quality, toxicity
+from . import decontam, licences, lm, neardup, order, packing, quality, rules, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,12 +33,42 @@ def op1(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op2_training_order")
+def op2(spark, sf_dir):
+    """Where each sequence of all documents lies in the written shards."""
+    return order.materialised(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    """Base statistics and verdict of every document."""
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
 @query("op4_quality_classifier")
 def op4(spark, sf_dir):
     """Quality score of every document."""
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    """Licence family of every paragraph that has words of a licence."""
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_counts")
+def op6(spark, sf_dir):
+    """Bytes and tokens of every document."""
+    return tokencount.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op7_language_model")
+def op7(spark, sf_dir):
+    """Language-model score of every document."""
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 @query("op8_toxicity")
 def op8(spark, sf_dir):
     """Expected severity of every document."""
