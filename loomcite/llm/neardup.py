@@ -9,10 +9,11 @@ and a candidate is a link if its weighted Jaccard similarity, computed from both
 least ``SIMILARITY``. Classes are the connected components of the links.
 
 Equal sets are put together first and stand as one node, so groups of copies of any size
-cost one node. In a band's bucket every node is compared with the bucket's first node. Where
-that leaves a bucket with several classes, the nodes of different classes meet: all of them
-if the bucket is small; larger buckets are split by pairs of bands, and what is still large
-meets one changing centre per turn until a turn finds no link. No bucket is dropped or cut.
+cost one node. Every node is compared with its buckets' centres, the nodes that share their
+buckets with most others. A node that this leaves outside the class of a bucket's centre
+meets all nodes of other classes in that bucket if the bucket is small; in a large bucket two
+such nodes per turn meet all others, turn after turn until one finds no link. The work of a
+turn is linear in the buckets' sizes, and no bucket is dropped or cut.
 
 Rules for odd rows: words are blank-separated and compared in lower case (A-Z); a document
 of one to four words is one run; null, empty and blank texts have no run and are classes of
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -36,6 +37,7 @@ SIMILARITY = 0.8
 #: Samples of two sets at the threshold agree in 80 %; so few of them agree with a chance below 1e-6.
 LEAST_AGREEING = 15
 SMALL_BUCKET = 32
+CENTRES = 2
 CHUNK = 1 << 15
 
 
@@ -197,66 +199,59 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members (bucket, uid, top) of the buckets that hold nodes of several classes, with the bucket's size."""
-    known = members.join(classes, "uid", "left").select("bucket", "uid", F.coalesce("top", "uid").alias("top"))
-    many = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("top").alias("low"), F.max("top").alias("high")).filter("low <> high")
-    return durable(known.join(many.select("bucket", "size"), "bucket"))
+def _seated(bands: DataFrame) -> DataFrame:
+    """(bucket, uid, size, centre) for the nodes of every bucket with two or more, written.
 
+    The centre is the node that shares its buckets with most others, so that in a group of
+    variants of one text it is the variant that is nearest to all.
+    """
+    members = durable(bands.select("uid", F.explode("bands").alias("bucket")))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    seats = durable(members.join(sizes, "bucket"))
+    company = seats.groupBy("uid").agg(F.sum("size").alias("company"))
+    best = F.max(F.struct("company", (-F.col("uid")).alias("uid")))
+    centres = seats.join(company, "uid").groupBy("bucket").agg(best.alias("best")).select("bucket", (-F.col("best.uid")).alias("centre"))
+    return durable(seats.join(centres, "bucket"))
 
-def _cross(members: DataFrame) -> DataFrame:
-    """Pairs of different classes in buckets of at most SMALL_BUCKET nodes."""
-    small = members.filter(F.col("size") <= SMALL_BUCKET)
-    one = small.select("bucket", F.col("uid").alias("a"), F.col("top").alias("top_a"))
-    other = small.select("bucket", F.col("uid").alias("b"), F.col("top").alias("top_b"))
-    return one.join(other, "bucket").filter("a < b and top_a <> top_b").select("a", "b")
 
+def _unsettled(seated: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, uid, top, size) of the nodes that aren't in the class of their bucket's centre, written."""
+    known = seated.join(classes, "uid", "left").select("bucket", "uid", "size", "centre", F.coalesce("top", "uid").alias("top"))
+    theirs = classes.select(F.col("uid").alias("centre"), F.col("top").alias("top_centre"))
+    known = known.join(theirs, "centre", "left").filter(F.col("top") != F.coalesce("top_centre", "centre"))
+    return durable(known.select("bucket", "uid", "top", "size"))
 
-def _to_centre(members: DataFrame, turn: int) -> DataFrame:
-    """Every node with the bucket's centre of this turn, where they are of different classes."""
-    order = F.struct(F.xxhash64("uid", F.lit(turn)), "uid", "top")
-    centres = members.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.uid").alias("centre"), F.col("c.top").alias("top_c"))
-    met = members.join(centres, "bucket").filter("top <> top_c")
-    return met.select(F.least("uid", "centre").alias("a"), F.greatest("uid", "centre").alias("b"))
+
+def _meetings(seated: DataFrame, classes: DataFrame, open_nodes: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of different classes: every unsettled node with its bucket, or, in large buckets, two of them per turn."""
+    place = Window.partitionBy("bucket").orderBy(F.xxhash64("uid", F.lit(7)), "uid")
+    few = open_nodes.filter(F.col("size") > SMALL_BUCKET).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= CENTRES * (turn + 1))
+    few = few.filter(F.col("rank") > CENTRES * turn).drop("rank")
+    if turn == 0:
+        few = few.unionByName(open_nodes.filter(F.col("size") <= SMALL_BUCKET))
+    others = seated.select("bucket", F.col("uid").alias("other")).join(few.select("bucket", "uid", "top"), "bucket")
+    others = others.join(classes.select(F.col("uid").alias("other"), F.col("top").alias("top_other")), "other", "left")
+    met = others.filter(F.col("top") != F.coalesce("top_other", "other"))
+    return met.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()
 
 
 def linked(signs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes (uid, node), links (a, b) between them, and classes (uid, top) of the linked ones."""
     nodes = durable(signs.filter("node is not null").groupBy("node").agg(F.min("uid").alias("uid")))
-    ours = durable(signs.join(nodes.select("uid"), "uid", "left_semi").select("uid", "bands"))
-    members = durable(ours.select("uid", F.explode("bands").alias("bucket")))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("a")).filter("n > 1")
-    tried = durable(members.join(shared, "bucket").filter("uid <> a").select("a", F.col("uid").alias("b")).distinct())
+    seated = _seated(signs.join(nodes.select("uid"), "uid", "left_semi").select("uid", "bands"))
+    tried = seated.filter("uid <> centre").select(F.least("uid", "centre").alias("a"), F.greatest("uid", "centre").alias("b")).distinct()
+    tried = durable(tried)
     found = links(tried, signs, similarity)
     classes = components(found)
-
-    def extend(pairs: DataFrame):
-        nonlocal tried, found, classes
-        fresh = durable(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        more = links(fresh, signs, similarity)
-        if not more.limit(1).count():
-            return False
-        tried, found = tried.unionByName(fresh), durable(found.unionByName(more))
-        classes = components(found)
-        return True
-
-    left = _mixed(members.join(shared.select("bucket"), "bucket", "left_semi"), classes)
-    if not left.limit(1).count():
-        return nodes, found, classes
-    extend(_cross(left))
-    large = left.filter(F.col("size") > SMALL_BUCKET)
-    if not large.limit(1).count():
-        return nodes, found, classes
-    split = large.select("uid", "bucket").join(ours, "uid").select("uid", F.col("bucket").alias("one"), F.explode("bands").alias("two")).filter("one <> two")
-    split = durable(split.select("uid", F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("bucket")).distinct())
-    left = _mixed(split, classes)
-    extend(_cross(left))
     turn = 0
     while True:
-        large = _mixed(split, classes).filter(F.col("size") > SMALL_BUCKET)
-        if not large.limit(1).count() or not extend(_to_centre(large.drop("size"), turn)):
+        open_nodes = _unsettled(seated, classes)
+        fresh = durable(_meetings(seated, classes, open_nodes, turn).join(tried, ["a", "b"], "left_anti"))
+        more = links(fresh, signs, similarity)
+        if not more.limit(1).count():
             return nodes, found, classes
-        turn += 1
+        tried, found, turn = tried.unionByName(fresh), durable(found.unionByName(more)), turn + 1
+        classes = components(found)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
