@@ -30,6 +30,7 @@ UNKNOWN = "unknown"
 #: Bound of the corpus paragraphs that are learned from as unknown.
 NEGATIVES = 1500
 CONFIRM_FROM = 0.5
+HEATS = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8)
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 #: Shortest span of a template that is trained on, as a share of its words.
 SPAN_FROM = 0.5
@@ -122,11 +123,23 @@ class LicenceModel:
     def __init__(self, coefficients: list[list[float]], intercepts: list[float], temperature: float = 1.0):
         self.coefficients, self.intercepts, self.temperature = coefficients, intercepts, temperature
 
-    def probabilities(self, scores: list[Column]) -> list[Column]:
-        z = [s / self.temperature for s in scores]
-        most = F.greatest(*z)
-        e = [F.exp(x - most) for x in z]
-        return [x / sum(e[1:], e[0]) for x in e]
+    def probabilities(self, sums: Column, heat: float | None = None) -> Column:
+        """Array of class probabilities from the array of summed coefficients."""
+        z = F.zip_with(sums, F.array(*map(F.lit, self.intercepts)), lambda a, b: (a + b) / (heat or self.temperature))
+        return F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+
+    def weights(self, known: DataFrame) -> DataFrame:
+        """h, w (coefficients by class), templates: as many rows as the vocabulary."""
+        rows = [(r["h"], [c[r["place"]] for c in self.coefficients], r["templates"]) for r in known.collect()]
+        return known.sparkSession.createDataFrame(rows, "h bigint, w array<double>, templates array<int>")
+
+
+def _class_sums() -> list[Column]:
+    return [F.sum(F.coalesce(F.get("w", F.lit(f)), F.lit(0.0))).alias(f"w{f}") for f in range(len(FAMILIES))]
+
+
+def _share(weighted: Column, which: Column) -> Column:
+    return F.get(weighted, which) / F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
 
 
 def fit_licences(docs: DataFrame, known: DataFrame) -> LicenceModel:
@@ -136,22 +149,17 @@ def fit_licences(docs: DataFrame, known: DataFrame) -> LicenceModel:
     rows = rows.select("family", "body", (F.pmod(F.xxhash64("body"), F.lit(4)) == 0).alias("apart")).distinct()
     places = rows.select("body", F.explode(features("body")).alias("h")).join(F.broadcast(known.select("h", "place")), "h").groupBy("body").agg(F.collect_set("place").alias("places"))
     x = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.array_contains(F.coalesce("places", F.array().cast("array<int>")), k).cast("double"))
-    rows = durable(rows.join(places, "body", "left").select(F.col("family").cast("double").alias("label"), "apart", x.alias("x")))
+    rows = durable(rows.join(places, "body", "left").select(F.col("family").cast("double").alias("label"), "body", "apart", x.alias("x")))
     fitted = LogisticRegression(family="multinomial", regParam=2e-4, maxIter=60, featuresCol="features").fit(rows.filter(~F.col("apart")).select("label", array_to_vector("x").alias("features")))
-    n = len(FAMILIES)
-    matrix, shift = fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist()
-    model = LicenceModel(matrix, shift)
-    scores = [F.lit(shift[f]) + F.aggregate(F.zip_with("x", F.array(*map(F.lit, matrix[f])), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) for f in range(n)]
-    apart = durable(rows.filter("apart").select("label", *[s.alias(f"s{f}") for f, s in enumerate(scores)]))
-    heats = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8]
+    model = LicenceModel(fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist())
+    apart = rows.filter("apart").select(F.col("label").cast("int").alias("label"), "body", F.explode_outer(features("body")).alias("h"))
+    apart = apart.join(F.broadcast(model.weights(known)), "h", "left").groupBy("label", "body").agg(*_class_sums())
+    apart = durable(apart.select("label", F.array(*[f"w{f}" for f in range(len(FAMILIES))]).alias("sums")))
     losses = []
-    for heat in heats:
-        model.temperature = heat
-        p = model.probabilities([F.col(f"s{f}") for f in range(n)])
-        own = F.coalesce(*[F.when(F.col("label") == f, p[f]) for f in range(n)])
-        losses.append(-F.avg(F.log(F.greatest(own, F.lit(1e-12)))).alias(f"h{len(losses)}"))
-    found = apart.agg(*losses).first()
-    model.temperature = heats[min(range(len(heats)), key=lambda k: found[k] if found[k] is not None else math.inf)]
+    for heat in HEATS:
+        own = apart.select("label", model.probabilities(F.col("sums"), heat).alias("p")).select(F.avg(-F.log(F.greatest(_share(F.col("p"), F.col("label")), F.lit(1e-12)))))
+        losses.append(own.first()[0])
+    model.temperature = HEATS[min(range(len(HEATS)), key=lambda k: math.inf if losses[k] is None else losses[k])]
     return model
 
 
@@ -161,28 +169,25 @@ def scanned(docs: DataFrame) -> DataFrame:
     ``family`` is the likeliest class, "unknown" included; ``template`` is the closest one of
     the family (null if unknown), ``similarity`` its share of common features (Dice).
     """
-    spark = docs.sparkSession
-    known = vocabulary(spark)
+    known = vocabulary(docs.sparkSession)
     model = fit_licences(docs, known)
-    n, templates = len(FAMILIES), [(k, f, n_features) for k, f, n_features in _template_sizes(spark)]
-    places = {r["place"]: (r["h"], r["templates"]) for r in known.select("place", "h", "templates").collect()}
-    table = [(h, *[model.coefficients[f][place] for f in range(n)], *[int(k in ts) for k, _, _ in templates]) for place, (h, ts) in places.items()]
-    schema = "h bigint, " + ", ".join(f"w{f} double" for f in range(n)) + ", " + ", ".join(f"t{k} int" for k, _, _ in templates)
-    weights = F.broadcast(spark.createDataFrame(table, schema))
-    rows = docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
-    lines = rows.select("uid", F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "body")).filter(F.btrim("body") != "")
-    lines = lines.select("uid", "doc_id", "paragraph", features("body").alias("f"))
+    weights = F.broadcast(model.weights(known))
+    templates = _template_sizes(docs.sparkSession)
+    lines = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
+    lines = lines.filter(F.btrim("body") != "").select("uid", "doc_id", "paragraph", features("body").alias("f"))
     met = lines.select("uid", "doc_id", "paragraph", F.size("f").alias("n"), F.explode("f").alias("h")).join(weights, "h")
-    sums = met.groupBy("uid", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.sum(c).alias(c) for c in weights.columns if c != "h"])
-    p = model.probabilities([F.col(f"w{f}") + model.intercepts[f] for f in range(n)])
-    best = F.greatest(*p)
-    scored = sums.withColumn("probability", best).withColumn("class", F.coalesce(*[F.when(p[f] == best, f) for f in range(n)]))
-    like = F.greatest(*[F.when(F.col("class") == f, F.struct((2 * F.col(f"t{k}") / (F.col("n") + size)).alias("s"), F.lit(k).alias("k"))) for k, f, size in templates])
-    scored = scored.withColumn("like", like)
-    return scored.select(
-        "doc_id", "paragraph", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("class") + 1).alias("family"), "probability",
-        F.col("like.k").alias("template"), F.coalesce("like.s", F.lit(0.0)).alias("similarity"),
-        ((F.col("class") > 0) & (F.coalesce("like.s", F.lit(0.0)) >= CONFIRM_FROM)).alias("confirmed"),
+    common = [F.count_if(F.array_contains("templates", F.lit(k))).alias(f"t{k}") for k, _, _ in templates]
+    sums = met.groupBy("uid", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), *_class_sums(), *common)
+    alike = F.array(*[F.struct(F.lit(family).alias("family"), (2 * F.col(f"t{k}") / (F.col("n") + size)).alias("s"), F.lit(k).alias("k")) for k, family, size in templates])
+    rows = sums.select("doc_id", "paragraph", alike.alias("alike"), F.array(*[f"w{f}" for f in range(len(FAMILIES))]).alias("sums"))
+    rows = rows.select("doc_id", "paragraph", "alike", model.probabilities(F.col("sums")).alias("p"))
+    rows = rows.withColumn("class", (F.array_position("p", F.array_max("p")) - 1).cast("int"))
+    own = F.transform(F.filter("alike", lambda x: x["family"] == F.col("class")), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k")))
+    rows = rows.select("doc_id", "paragraph", "class", _share(F.col("p"), F.col("class")).alias("probability"), F.array_max(own).alias("best"))
+    similarity = F.coalesce("best.s", F.lit(0.0))
+    return rows.select(
+        "doc_id", "paragraph", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("class") + 1).alias("family"), "probability", F.col("best.k").alias("template"),
+        similarity.alias("similarity"), ((F.col("class") > 0) & (similarity >= CONFIRM_FROM)).alias("confirmed"),
     )
 
 
