@@ -66,9 +66,10 @@ def _spans(words: Words, lengths: list[int], window: int, gram: int, blank: int,
             met = keep(fp)
             fp, at = fp[met], at[met]
         if n or not len(at):
-            around = None
+            around = [b""] * len(at)
         else:
-            around = _around(words.hash, words.first[words.doc[at]], words.first[words.doc[at] + 1], at, reach, gram, blank)
+            rows = _around(words.hash, words.first[words.doc[at]], words.first[words.doc[at] + 1], at, reach, gram, blank)
+            around = [r.tobytes() for r in rows]
         yield n, fp, at, around
 
 
@@ -82,11 +83,12 @@ def benchmark_fingerprints(benchmark: DataFrame, window: int = WINDOW, gram: int
             short = sorted({int(n) for n in counts if 0 < n < window})
             for n, fp, at, around in _spans(words, short, window, gram, 1):
                 mine = counts[words.doc[at]] == n if n else np.ones(len(at), bool)
+                around = [r for r, m in zip(around, mine) if m]
                 fp, at = fp[mine], at[mine]
                 yield pa.RecordBatch.from_pydict({
                     "fp": pa.array(fp.view(np.int64)), "n": pa.array(np.full(len(fp), n, np.int32)),
                     "item": ids.take(pa.array(words.doc[at])),
-                    "around": pa.array([r.tobytes() for r in around] if around is not None else [b""] * len(fp), pa.binary()),
+                    "around": pa.array(around, pa.binary()),
                 })
 
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter("item is not null")
@@ -121,7 +123,7 @@ def document_hits(docs: DataFrame, cells: np.ndarray, lengths: list[int], window
             words = Words(*text_bytes(part.column("text")), LETTERS_DIGITS)
             found = [(np.full(len(fp), n, np.int32), fp, at, around) for n, fp, at, around in _spans(words, lengths, window, gram, 0, keep)]
             n, fp, at = (np.concatenate([x[k] for x in found]) for k in range(3))
-            around = [r.tobytes() for x in found for r in (x[3] if x[3] is not None else [b""] * len(x[1]))]
+            around = [r for x in found for r in x[3]]
             order = np.argsort(words.doc[at], kind="stable")
             ends = np.searchsorted(words.doc[at][order], np.arange(part.num_rows + 1))
             hits = pa.StructArray.from_arrays([

@@ -77,11 +77,13 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows.filter(F.btrim("body") != "")
 
 
-def features(body: str | Column) -> Column:
-    """Hashes of the distinct word pairs and triples, in lower case."""
-    words = F.transform(F.regexp_extract_all(F.lower(body), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
-    return F.array_distinct(F.transform(
-        F.filter(F.flatten(F.transform(words, lambda w, i: F.array(F.slice(words, i + 1, 2), F.slice(words, i + 1, 3)))), lambda g: F.size(g) > 1), lambda g: F.xxhash64(g)))
+def with_features(rows: DataFrame) -> DataFrame:
+    """``rows`` with f: the hashes of the distinct word pairs and triples of ``body``, in lower case."""
+    words = F.transform(F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    rows = rows.withColumn("f", words)
+    pairs = F.transform("f", lambda w, i: F.when(F.get("f", i + 1).isNotNull(), F.xxhash64(w, F.get("f", i + 1))))
+    triples = F.transform("f", lambda w, i: F.when(F.get("f", i + 2).isNotNull(), F.xxhash64(w, F.get("f", i + 1), F.get("f", i + 2))))
+    return rows.withColumn("f", F.array_distinct(F.array_compact(F.concat(pairs, triples))))
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -93,7 +95,7 @@ def vocabulary(spark: SparkSession) -> DataFrame:
     """h, place (0, 1, ..), templates (those that have it), written: some hundred rows, fixed by TEMPLATES."""
     from pyspark.sql import Window
 
-    rows = _templates(spark).select("template", F.explode(features("body")).alias("h"))
+    rows = with_features(_templates(spark)).select("template", F.explode("f").alias("h"))
     rows = rows.groupBy("h").agg(F.array_sort(F.collect_set("template")).alias("templates"))
     return durable(rows.select("h", (F.row_number().over(Window.orderBy("h")) - 1).alias("place"), "templates").coalesce(1))
 
@@ -112,7 +114,7 @@ def negatives(docs: DataFrame, known: DataFrame, most: int = NEGATIVES) -> DataF
     """At most ``most`` corpus paragraphs with two template features or fewer, those with the smallest hash, and the lookalikes."""
     spark = docs.sparkSession
     kept = durable(paragraphs(docs).select("body").orderBy(F.xxhash64("body"), "body").limit(most).distinct())
-    met = kept.select("body", F.explode(features("body")).alias("h")).join(F.broadcast(known.select("h")), "h").groupBy("body").count().filter(F.col("count") > 2)
+    met = with_features(kept).select("body", F.explode("f").alias("h")).join(F.broadcast(known.select("h")), "h").groupBy("body").count().filter(F.col("count") > 2)
     rows = kept.join(met.select("body"), "body", "left_anti")
     return rows.unionByName(spark.createDataFrame([(b,) for b in LOOKALIKES], "body string")).select(F.lit(0).alias("family"), "body")
 
@@ -147,12 +149,13 @@ def fit_licences(docs: DataFrame, known: DataFrame) -> LicenceModel:
     size = known.count()
     rows = _spans(spark).unionByName(negatives(docs, known))
     rows = rows.select("family", "body", (F.pmod(F.xxhash64("body"), F.lit(4)) == 0).alias("apart")).distinct()
-    places = rows.select("body", F.explode(features("body")).alias("h")).join(F.broadcast(known.select("h", "place")), "h").groupBy("body").agg(F.collect_set("place").alias("places"))
+    rows = durable(with_features(rows))
+    places = rows.select("body", F.explode("f").alias("h")).join(F.broadcast(known.select("h", "place")), "h").groupBy("body").agg(F.collect_set("place").alias("places"))
     x = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.array_contains(F.coalesce("places", F.array().cast("array<int>")), k).cast("double"))
-    rows = durable(rows.join(places, "body", "left").select(F.col("family").cast("double").alias("label"), "body", "apart", x.alias("x")))
+    rows = durable(rows.join(places, "body", "left").select(F.col("family").cast("double").alias("label"), "body", "apart", "f", x.alias("x")).coalesce(2))
     fitted = LogisticRegression(family="multinomial", regParam=2e-4, maxIter=60, featuresCol="features").fit(rows.filter(~F.col("apart")).select("label", array_to_vector("x").alias("features")))
     model = LicenceModel(fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist())
-    apart = rows.filter("apart").select(F.col("label").cast("int").alias("label"), "body", F.explode_outer(features("body")).alias("h"))
+    apart = rows.filter("apart").select(F.col("label").cast("int").alias("label"), "body", F.explode_outer("f").alias("h"))
     apart = apart.join(F.broadcast(model.weights(known)), "h", "left").groupBy("label", "body").agg(*_class_sums())
     apart = durable(apart.select("label", F.array(*[f"w{f}" for f in range(len(FAMILIES))]).alias("sums")))
     losses = []
@@ -174,8 +177,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     weights = F.broadcast(model.weights(known))
     templates = _template_sizes(docs.sparkSession)
     lines = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
-    lines = lines.filter(F.btrim("body") != "").select("uid", "doc_id", "paragraph", features("body").alias("f"))
-    met = lines.select("uid", "doc_id", "paragraph", F.size("f").alias("n"), F.explode("f").alias("h")).join(weights, "h")
+    lines = lines.filter(F.btrim("body") != "")
+    met = with_features(lines).select("uid", "doc_id", "paragraph", F.size("f").alias("n"), F.explode("f").alias("h")).join(weights, "h")
     common = [F.count_if(F.array_contains("templates", F.lit(k))).alias(f"t{k}") for k, _, _ in templates]
     sums = met.groupBy("uid", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), *_class_sums(), *common)
     alike = F.array(*[F.struct(F.lit(family).alias("family"), (2 * F.col(f"t{k}") / (F.col("n") + size)).alias("s"), F.lit(k).alias("k")) for k, family, size in templates])
@@ -192,4 +195,4 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def _template_sizes(spark: SparkSession) -> list[tuple[int, int, int]]:
-    return [tuple(r) for r in _templates(spark).select("template", "family", F.size(features("body"))).orderBy("template").collect()]
+    return [tuple(r) for r in with_features(_templates(spark)).select("template", "family", F.size("f")).orderBy("template").collect()]

@@ -89,7 +89,7 @@ def known_features(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray
     return doc, at, 1 + np.log(count), len(column)
 
 
-def fit_ordinal(doc: np.ndarray, word: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray, words: np.ndarray, rounds: int = 300, rate: float = 0.1, penalty: float = 1e-3) -> Ordinal:
+def fit_ordinal(doc: np.ndarray, word: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray, words: np.ndarray, rounds: int = 400, rate: float = 0.1, penalty: float = 1e-4) -> Ordinal:
     """Maximum likelihood of the cumulative-link model with a ridge penalty, by Adam on the full sample."""
     n, levels = len(grade), np.arange(GRADES)
     target = (grade[:, None] > levels).astype(float)
