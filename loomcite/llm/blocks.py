@@ -10,7 +10,7 @@ the order it was asked. Nothing about the corpus reaches the driver but a sum.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 from .arrays import U, pack_sorted, planes, slices, text_bytes, unpack_sorted, unplanes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1 << 16
 #: Keys of one group at most, on average; groups are ranges of a hash.
 GROUP_KEYS = 1 << 20
@@ -50,6 +50,12 @@ def text_blocks(docs: DataFrame, flag: Column | None = None, doc_id: str = "doc_
     return durable(rows.mapInArrow(make, "block bigint, ids array<bigint>, keys array<bigint>, flags array<boolean>, sizes binary, words bigint, body binary"))
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows one by one, so that only one block at a time is unpacked."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def block_text(sizes: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets that ``Words`` takes."""
     offsets = np.r_[0, np.cumsum(unplanes(sizes, np.int64))]
@@ -87,7 +93,7 @@ def corpus_counts(blocks: DataFrame, columns: list[str], asked: Callable, bits:
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 keys, add = asked(row)
                 cut = np.r_[0, np.searchsorted(keys, limits, "left"), len(keys)]
                 some = np.flatnonzero(np.diff(cut))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .arrays import ODD, U, Words, mix, planes, unplanes
-from .blocks import answered, block_text, corpus_counts, summed, text_blocks
+from .blocks import answered, block_text, corpus_counts, rows_of, summed, text_blocks
 
 #: Names of the end of text, of the start of text as a context, and of all tokens. Tokens have even names, all else odd ones.
 EVEN = ~U(1)
@@ -61,6 +61,15 @@ def _asked(row):
 COUNTED = "block bigint, ids array<bigint>, flags array<boolean>, sizes binary, token binary, pair binary, start bigint, total bigint, fresh bigint"
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in 32 bits where they fit, else in 64."""
+    return planes(counts.astype(np.uint32) if not len(counts) or counts.max() < 2**32 else counts)
+
+
+def widen(data: bytes, n: int) -> np.ndarray:
+    return unplanes(data, np.uint32 if len(data) == 4 * n else np.int64).astype(np.int64)
+
+
 def _counted(row, counts, fresh):
     """The counts of every token and pair of a block, in the order of the text."""
     first, token, pair = tokens(*block_text(row["sizes"], row["body"]))
@@ -69,7 +78,7 @@ def _counted(row, counts, fresh):
     start, total = of(np.array([START, ALL]))
     return pa.table({
         "block": [row["block"]], "ids": pa.array([row["ids"]], pa.list_(pa.int64())), "flags": pa.array([row["flags"]], pa.list_(pa.bool_())),
-        "sizes": pa.array([planes(np.diff(first))], pa.binary()), "token": pa.array([planes(of(token))], pa.binary()), "pair": pa.array([planes(of(pair))], pa.binary()),
+        "sizes": pa.array([planes(np.diff(first))], pa.binary()), "token": pa.array([narrow(of(token))], pa.binary()), "pair": pa.array([narrow(of(pair))], pa.binary()),
         "start": pa.array([int(start)]), "total": pa.array([int(total)]), "fresh": pa.array([fresh]),
     })
 
@@ -77,7 +86,7 @@ def _counted(row, counts, fresh):
 def _estimates(row):
     """(first places, count, pair count, context count) of a block's tokens."""
     first = np.r_[0, np.cumsum(unplanes(row["sizes"], np.int64))]
-    token, pair = unplanes(row["token"], np.int64), unplanes(row["pair"], np.int64)
+    token, pair = widen(row["token"], first[-1]), widen(row["pair"], first[-1])
     context = np.r_[row["start"], token[:-1]]
     context[first[:-1]] = row["start"]
     return first, token, pair, context
@@ -98,7 +107,7 @@ def deleted_grid(counted: DataFrame) -> DataFrame:
 
     def make(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 first, token, pair, context = _estimates(row)
                 own = np.repeat(np.array(row["flags"], dtype=bool), np.diff(first))
                 token, pair, context = token[own] - 1, pair[own] - 1, context[own] - 1
@@ -133,7 +142,7 @@ def fit_weights(group: np.ndarray, n: np.ndarray, pair_share: np.ndarray, share:
 def _score(weights: np.ndarray, distinct: int):
     def make(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 first, token, pair, context = _estimates(row)
                 total = row["total"]
                 base = np.log10((token + 1) / ((total + 1) * (distinct + 1)))
