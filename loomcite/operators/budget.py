@@ -11,6 +11,8 @@ from ..session import durable
 from .ranking import ordinal
 
 FOLD_ROWS = 4096
+#: Parts of a price unit that are told apart.
+MICRO = 1_000_000
 
 
 def call_cost(model: Column | str, prompt: Column | str, max_tokens: Column) -> Column:
@@ -21,7 +23,18 @@ def spend_totals(calls: DataFrame) -> DataFrame:
     return calls.groupBy("run_id", "model").agg(F.sum("cost").alias("spent"), F.count(F.lit(1)).alias("n_calls"))
 
 
-def guard(calls: DataFrame, limit: int, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def guard(calls: DataFrame, limit: float, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """Add ``accepted`` for costs in money: fractions count, to the millionth.
+
+    The sums run over whole millionths, so they are exact and don't depend on an order of
+    additions. ``cost`` comes back in its own type.
+    """
+    kind = calls.schema["cost"].dataType
+    units = calls.withColumn("cost", F.round(F.col("cost") * MICRO).cast("bigint"))
+    return guard_units(units, round(limit * MICRO), fold_rows).withColumn("cost", (F.col("cost") / MICRO).cast(kind))
+
+
+def guard_units(calls: DataFrame, limit: int, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Add ``accepted``: a call passes when accepted-so-far plus its cost stays within the limit.
 
     ``calls`` holds run_id, seq and a positive whole-number ``cost``. A rejected call

@@ -85,12 +85,14 @@ def grounding(concepts: DataFrame, works: DataFrame, text: str, work_text: str)
 
 
 def scrub_numbers(text: Column | str, evidence: Column | str) -> Column:
-    """Replace numbers and ranges that the evidence does not contain."""
+    """Replace numbers and ranges that the evidence does not contain; other numbers stay, whatever digits they share."""
     numbers = lambda c: F.transform(F.regexp_extract_all(text_of(c), F.lit(NUMBER), F.lit(0)), lambda v: F.trim(v))
-    unknown = F.array_except(numbers(text), numbers(evidence))
-    # longest first, so that a range goes before the numbers inside it
-    ordered = F.array_sort(unknown, lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(ordered, text_of(text), lambda out, v: F.replace(out, v, F.lit(NUMBER_STANDIN)))
+    found = F.regexp_extract_all(text_of(text), F.lit(NUMBER), F.lit(0))
+    known = numbers(evidence)
+    # a match may end in white space, which stays
+    said = F.transform(found, lambda v: F.when(F.array_contains(known, F.trim(v)), v).otherwise(F.concat(F.lit(NUMBER_STANDIN), F.substr(v, F.length(F.rtrim(v)) + F.lit(1)))))
+    between = F.split(text_of(text), NUMBER, -1)
+    return F.array_join(F.transform(F.arrays_zip(between.alias("between"), said.alias("said")), lambda x: F.concat(x["between"], F.coalesce(x["said"], F.lit("")))), "")
 
 
 def objective_voice(text: Column | str) -> Column:

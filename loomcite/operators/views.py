@@ -25,19 +25,27 @@ def extraction_counts(records: DataFrame, types: list[str]) -> DataFrame:
     return counts.withColumn("has_core_coverage", core & ((F.col("benchmark") > 0) | (F.col("baseline") > 0)))
 
 
-def benchmark_view(benchmarks: DataFrame, results: DataFrame, catalogue: DataFrame | None = None, shown: int = 6) -> DataFrame:
+def benchmark_view(benchmarks: DataFrame, results: DataFrame, catalogue: DataFrame | None = None, shown: int | None = None) -> DataFrame:
     """Groups of (task, dataset, split, metric): records, distinct methods, best results.
 
+    ``metric_direction`` of the benchmarks, where there is one, says which results are best:
+    "lower..." puts small values first, all else large ones. ``shown`` gives the compact view
+    with the best few; without it every method has its result.
+
     Record ids of a group stay rows of the benchmark table (``group_records``); the
     view counts them and nests only the best few results.
     """
     keys = ["task", "dataset", "split", "metric"]
+    if "metric_direction" not in benchmarks.columns:
+        benchmarks = benchmarks.withColumn("metric_direction", F.lit(""))
+    sign = F.when(F.lower("metric_direction").startswith("lower"), -1.0).otherwise(1.0)
     counts = benchmarks.groupBy(*keys).agg(F.count_distinct("benchmark_id").alias("n_records"))
-    rated = results.join(benchmarks.select("benchmark_id", *keys), "benchmark_id")
+    rated = results.join(benchmarks.select("benchmark_id", *keys, sign.alias("sign")), "benchmark_id")
     methods = rated.groupBy(*keys).agg(F.count_distinct("method_name").alias("baseline_count"))
-    best = rated.groupBy(*keys, "method_name").agg(F.max("value").alias("value"))
-    top = top_per_group(best, keys, [F.desc("value"), F.asc("method_name")], shown)
-    nested = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", "method_name", "value"))).alias("performance"))
+    best = rated.groupBy(*keys, "method_name").agg(F.max(F.col("value") * F.col("sign")).alias("score"), F.max_by("value", F.col("value") * F.col("sign")).alias("value"))
+    if shown is not None:
+        best = top_per_group(best, keys, [F.desc("score"), F.asc("method_name")], shown)
+    nested = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "method_name", "value"))).alias("performance"))
     out = counts.join(methods, keys, "left").join(nested, keys, "left").fillna(0, ["baseline_count"])
     if catalogue is not None:
         out = out.join(catalogue.select(F.col("official_name").alias("dataset"), "official_url", "scale"), "dataset", "left")

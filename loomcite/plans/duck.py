@@ -51,7 +51,9 @@ def values(words) -> str:
 WORKS = f"""
 works AS (
   SELECT doc_id, source, lang, n_chars, text, {compact("split_part(text, chr(10), 1)", 320)} AS title,
-         substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract
+         CASE WHEN length({squeeze("split_part(text, chr(10), 1)")}) > 320
+              THEN substr({squeeze("split_part(text, chr(10), 1)")}, 318) || chr(10) || array_to_string(string_split(text, chr(10))[2:], chr(10))
+              ELSE array_to_string(string_split(text, chr(10))[2:], chr(10)) END AS abstract
   FROM documents)
 """
 

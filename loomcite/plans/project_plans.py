@@ -337,6 +337,17 @@ def _calls(spark, sf_dir):
     )
 
 
+@query(
+    "budget_guard_prices",
+    """WITH RECURSIVE c AS (SELECT conv_id AS run_id, turn AS seq, greatest(1, length(text) // 4) * 3 / 1000.0 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+g AS (SELECT run_id, seq, cost, rn, cost <= 1.5 AS accepted, CASE WHEN cost <= 1.5 THEN cost ELSE 0 END AS spent FROM c WHERE rn = 1
+  UNION ALL SELECT c.run_id, c.seq, c.cost, c.rn, round(g.spent + c.cost, 6) <= 1.5, CASE WHEN round(g.spent + c.cost, 6) <= 1.5 THEN round(g.spent + c.cost, 6) ELSE g.spent END FROM g JOIN c ON c.run_id = g.run_id AND c.rn = g.rn + 1)
+SELECT run_id, seq, CAST(cost AS DOUBLE) AS cost, accepted FROM g""",
+)
+def budget_guard_prices(spark, sf_dir):
+    return guard(_calls(spark, sf_dir).withColumn("cost", F.col("cost") * 3 / 1000), 1.5)
+
+
 @query(
     "budget_first_breach",
     f"""WITH c AS (SELECT conv_id AS run_id, turn AS seq, sum(greatest(1, length(text) // 4)) OVER (PARTITION BY conv_id ORDER BY turn) AS spent FROM conversations)

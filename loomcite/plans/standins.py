@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import json_string
 from ..functions.payload import canonical_key, label, quality, resolved_confidence, summary
-from ..functions.text import compact_text, sentences
+from ..functions.text import compact_text, sentences, squeeze
 from ..operators.concepts import concept_events, fold_concepts
 from ..operators.evidence import with_evidence_id
 from ..operators.ranking import first_per_key
 from .registry import spread_table, table
 
+TITLE = 320
 TYPES = ["existed_idea", "principle", "takeaway_message", "benchmark", "baseline"]
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is a work: the first line is the title, the rest the abstract."""
+    """A document is a work: the first line is the title; all that the title doesn't carry is the abstract."""
     docs = spread_table(spark, sf_dir, "documents")
     first = F.substring_index("text", "\n", 1)
+    said = squeeze(first)
+    rest = F.substr("text", F.length(first) + F.lit(2))
+    # a long title ends after TITLE - 3 characters with dots; the abstract goes on from there
+    beyond = F.concat_ws("\n", F.substr(said, F.lit(TITLE - 2)), rest)
     return docs.select(
         "doc_id", "source", "lang", "n_chars", "text",
-        compact_text(first, 320).alias("title"),
-        F.substr("text", F.length(first) + F.lit(2)).alias("abstract"),
+        compact_text(first, TITLE).alias("title"),
+        F.when(F.length(said) > TITLE, beyond).otherwise(rest).alias("abstract"),
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
-from ..streaming.run_log import ROCKSDB, accepted_jobs, append_events, flag_late_results, latest_status, recover_stale, running_progress
+from ..streaming.run_log import ROCKSDB, accepted_jobs, append_events, flag_late_results, job_runs, latest_status, recover_stale, running_progress
 from ..streaming.sinks import drain
 from . import duck
 from .project_plans import LAST, STATUS, TS, stamp
@@ -23,8 +25,16 @@ def _updates(spark, sf_dir):
     return rows.select(F.col("user_id").alias("run_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated_at"), F.col("event_id").alias("seq"), "event_type", "value")
 
 
+@contextmanager
 def _stateful(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """The state store that timers need, for one stream; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 @query("stream_run_status", f"WITH {LAST} SELECT run_id, status, {TS.format('updated_at')} AS updated_at, n_updates FROM last")
@@ -44,11 +54,13 @@ def stream_run_progress(spark, sf_dir):
 
 @query(
     "stream_active_jobs",
-    f"SELECT user_id AS work_id, event_id % 3 AS project_id, min(event_id) AS active_run_id, count(*) AS n_requests FROM events WHERE {STATUS} IN ('queued', 'running') GROUP BY 1, 2",
+    f"""WITH l AS (SELECT user_id // 4 AS work_id, user_id % 2 AS project_id, user_id * 8 + event_id % 8 AS run_id, arg_max({STATUS}, event_id) AS s, min(event_id) AS f, count(*) AS n FROM events GROUP BY 1, 2, 3)
+SELECT work_id, project_id, arg_min(run_id, f) FILTER (s IN ('queued', 'running')) AS active_run_id, CAST(coalesce(sum(n) FILTER (s IN ('queued', 'running')), 0) AS BIGINT) AS n_requests FROM l GROUP BY 1, 2""",
 )
 def stream_active_jobs(spark, sf_dir):
-    rows = _updates(spark, sf_dir).select(F.col("seq").alias("run_id"), F.col("run_id").alias("work_id"), (F.col("seq") % 3).alias("project_id"), "status", "seq")
-    return drain(accepted_jobs(rows), "update", ["work_id", "project_id"])
+    user = F.col("run_id")
+    rows = _updates(spark, sf_dir).select((user * 8 + F.col("seq") % 8).alias("run_id"), F.expr("run_id div 4").alias("work_id"), (user % 2).alias("project_id"), "status", "seq")
+    return accepted_jobs(drain(job_runs(rows), "update", ["work_id", "project_id", "run_id"]))
 
 
 @query(
@@ -73,6 +85,6 @@ def stream_cancelled_results(spark, sf_dir):
 
 @query("stream_stale_runs")
 def stream_stale_runs(spark, sf_dir):
-    _stateful(spark)
-    out = drain(recover_stale(_updates(spark, sf_dir), 6 * 3600), "update", ["run_id"], "recovered")
+    with _stateful(spark):
+        out = drain(recover_stale(_updates(spark, sf_dir), 6 * 3600), "update", ["run_id"], "recovered")
     return out.select("run_id", "status", "recovered")

@@ -156,6 +156,17 @@ def number_scrub(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", scrub_numbers(said, known).alias("text"))
 
 
+@query(
+    "number_scrub_inside",
+    """SELECT l_orderkey, l_linenumber, 'It cuts an amount to be set by a measured validation protocol steps and ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '5% cost' AS text FROM lineitem""",
+)
+def number_scrub_inside(spark, sf_dir):
+    lines = spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    q = F.col("l_quantity").cast("bigint").cast("string")
+    said = F.concat(F.lit("It cuts "), q, F.lit(" steps and "), q, F.lit("5% cost"))
+    return lines.select("l_orderkey", "l_linenumber", scrub_numbers(said, F.concat(F.lit("down "), q, F.lit("5%"))).alias("text"))
+
+
 @query(
     "official_benchmarks",
     """SELECT l_orderkey, l_linenumber, p_type AS dataset, 'url/' || p_type AS official_url FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type IN ('PROMO', 'SMALL', 'LARGE')""",
@@ -253,7 +264,7 @@ RESULTS = """r AS (SELECT l_orderkey AS work_id, concat_ws('-', l_orderkey, l_li
 @query(
     "benchmark_view",
     f"""WITH {RESULTS}, g AS (SELECT dataset, split, metric, count(DISTINCT benchmark_id) AS n_records, count(DISTINCT method_name) AS baseline_count FROM r GROUP BY ALL),
-b AS (SELECT dataset, split, metric, method_name, max(value) AS v FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY dataset, split, metric ORDER BY v DESC, method_name) AS rn FROM b QUALIFY rn <= 6)
+b AS (SELECT dataset, split, metric, method_name, max(value) AS v FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY dataset, split, metric ORDER BY v DESC, method_name) AS rn FROM b)
 SELECT g.*, (SELECT string_agg(method_name, ',' ORDER BY rn) FROM k WHERE k.dataset = g.dataset AND k.split = g.split AND k.metric = g.metric) AS best FROM g""",
 )
 def benchmark_view_query(spark, sf_dir):
@@ -263,6 +274,20 @@ def benchmark_view_query(spark, sf_dir):
     return out.select("dataset", "split", "metric", "n_records", "baseline_count", F.array_join("performance.method_name", ",").alias("best"))
 
 
+@query(
+    "benchmark_view_lower",
+    f"""WITH {RESULTS}, b AS (SELECT dataset, split, metric, method_name, CASE WHEN metric = 'O' THEN min(value) ELSE max(value) END AS v FROM r GROUP BY dataset, split, metric, method_name)
+SELECT dataset, split, metric, string_agg(method_name || '=' || CAST(CAST(round(v * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY CASE WHEN metric = 'O' THEN v ELSE -v END, method_name) AS best FROM b GROUP BY dataset, split, metric""",
+)
+def benchmark_view_lower(spark, sf_dir):
+    rows = _results(spark, sf_dir)
+    direction = F.when(F.col("metric") == "O", "lower_is_better").otherwise("higher_is_better")
+    benchmarks = rows.select("benchmark_id", "task", "dataset", "split", "metric", direction.alias("metric_direction")).distinct()
+    out = benchmark_view(benchmarks, rows.select("benchmark_id", "method_name", "value"))
+    shown = F.transform("performance", lambda x: F.concat_ws("=", x["method_name"], F.round(x["value"] * 100).cast("bigint")))
+    return out.select("dataset", "split", "metric", F.array_join(shown, ",").alias("best"))
+
+
 @query("benchmark_group_records", f"WITH {RESULTS} SELECT DISTINCT dataset, split, metric, benchmark_id FROM r")
 def benchmark_group_records(spark, sf_dir):
     return group_records(_results(spark, sf_dir)).select("dataset", "split", "metric", "benchmark_id")

@@ -37,10 +37,21 @@ def running_progress(updates: DataFrame) -> DataFrame:
     return updates.groupBy("run_id", "stage").agg(F.max_by("found", "seq").alias("found"), F.max_by("target", "seq").alias("target"))
 
 
-def accepted_jobs(requests: DataFrame) -> DataFrame:
-    """First active request per (work, project); later ones are answered by it. Update mode."""
-    active = requests.filter(F.col("status").isin("queued", "running"))
-    return active.groupBy("work_id", "project_id").agg(F.min_by("run_id", F.struct("seq", "run_id")).alias("active_run_id"), F.count(F.lit(1)).alias("n_requests"))
+def job_runs(requests: DataFrame) -> DataFrame:
+    """Latest status, first request and number of requests per (work, project, run). Update mode."""
+    return requests.groupBy("work_id", "project_id", "run_id").agg(
+        F.max_by("status", "seq").alias("status"), F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def accepted_jobs(runs: DataFrame) -> DataFrame:
+    """The run that answers requests of each (work, project), from the rows of ``job_runs``: the first one that is
+    active now. A finished run holds nothing up; without an active run the answer is null."""
+    active = F.col("status").isin("queued", "running")
+    return runs.groupBy("work_id", "project_id").agg(
+        F.min_by(F.when(active, F.col("run_id")), F.when(active, F.struct("first_seq", "run_id"))).alias("active_run_id"),
+        F.coalesce(F.sum(F.when(active, F.col("n"))), F.lit(0).cast("bigint")).alias("n_requests"),
+    )
 
 
 class StaleRuns(StatefulProcessor):
