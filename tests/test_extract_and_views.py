@@ -121,3 +121,19 @@ def test_views(spark):
     kinds = ["existed_idea", "principle", "takeaway_message", "benchmark", "baseline"]
     rec = spark.createDataFrame([("W0", k) for k in kinds[:4]] + [("W1", "principle")], "work_id string, record_type string")
     assert {r.work_id: r.has_core_coverage for r in extraction_counts(rec, kinds).collect()} == {"W0": True, "W1": False}
+
+
+def test_lower_is_better_puts_small_values_first(spark):
+    bench = spark.createDataFrame([("b", "t", "d", "test", "latency", "lower_is_better")], "benchmark_id string, task string, dataset string, split string, metric string, metric_direction string")
+    results = spark.createDataFrame([("b", "slow", 99.0), ("b", "fast", 10.0), ("b", "fast", 12.0)] + [("b", f"m{k}", 50.0 + k) for k in range(8)], "benchmark_id string, method_name string, value double")
+    row = benchmark_view(bench, results).first()
+    assert [(p.method_name, p.value) for p in row.performance][0] == ("fast", 10.0) and row.performance[-1].method_name == "slow" and len(row.performance) == 10
+    assert len(benchmark_view(bench, results, shown=3).first().performance) == 3
+
+
+def test_supported_number_around_an_unsupported_one_stays(one):
+    from pyspark.sql import functions as F
+
+    from loomcite.operators.quality import NUMBER_STANDIN, scrub_numbers
+
+    assert one(scrub_numbers(F.lit("It cuts 5 steps and 15% cost"), F.lit("down 15%"))) == f"It cuts {NUMBER_STANDIN} steps and 15% cost"

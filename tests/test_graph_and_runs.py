@@ -140,3 +140,19 @@ def test_stale_runs(spark):
     status = df.withColumn("updated_at", F.to_timestamp("t"))
     got = {r.run_id: r.status for r in stale_runs(status, F.to_timestamp(F.lit("2024-01-01 10:00:00")), 3600).collect()}
     assert got == {1: "partial_error", 2: "running", 3: "complete"}
+
+
+def test_fractions_of_costs_reach_the_guard(spark):
+    calls = spark.createDataFrame([("r", k, 0.9) for k in range(3)] + [("s", k, 0.1) for k in range(12)], "run_id string, seq bigint, cost double")
+    found = {(r.run_id, r.seq): (r.cost, r.accepted) for r in guard(calls, 1).collect()}
+    assert [found["r", k] for k in range(3)] == [(0.9, True), (0.9, False), (0.9, False)]
+    assert [found["s", k][1] for k in range(12)] == [True] * 10 + [False] * 2
+
+
+def test_finished_job_makes_way_for_the_next(spark):
+    from loomcite.streaming.run_log import accepted_jobs, job_runs
+
+    schema = "work_id string, project_id string, run_id string, status string, seq bigint"
+    rows = [("w", "p", "1", "running", 1), ("w", "p", "1", "complete", 2), ("w", "p", "2", "queued", 3), ("w", "p", "3", "queued", 4), ("v", "p", "4", "error", 5)]
+    found = {r.work_id: (r.active_run_id, r.n_requests) for r in accepted_jobs(job_runs(spark.createDataFrame(rows, schema))).collect()}
+    assert found == {"w": ("2", 2), "v": (None, 0)}

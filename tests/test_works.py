@@ -97,3 +97,22 @@ def test_versions_and_refresh(spark):
     assert decisions == {("W1", 3): "metadata_update", ("W2", 4): "unchanged", ("W2", 5): "new_version", ("W3", 6): "new_version"}
     assert sorted(r.seq for r in append_versions(current, again).collect()) == [3, 5, 6]
     assert sorted(r.seq for r in refresh_plan(versions_of(again), current).collect()) == [5, 6]
+
+
+def test_long_first_line_is_in_title_and_abstract_together(spark, tmp_path):
+    from loomcite.plans.standins import works
+
+    text = "word " * 100 + "end\nsecond line\nthird"
+    spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "short\nrest", "en", "s", 10)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in works(spark, str(tmp_path)).collect()}
+    assert rows[1].title.endswith("...") and len(rows[1].title) <= 320
+    assert (rows[1].title[:-3] + rows[1].abstract).replace(" ", "") == text.replace(" ", "")
+    assert (rows[2].title, rows[2].abstract) == ("short", "rest")
+
+
+def test_works_without_id_and_title_stay_apart(spark):
+    schema = "in_id string, title string, doi string, arxiv_id string, url string, year int, authors array<string>"
+    known = spark.createDataFrame([], schema.replace("in_id", "work_id") + ", seq bigint")
+    rows = [("a", "", "", "", "http://a", 2020, ["X"]), ("b", "", "", "", "http://b", 2021, ["Y"]), ("c", "数据", "", "", "http://c", None, [])]
+    found = resolve(spark.createDataFrame(rows, schema), known).collect()
+    assert len({r.work_id for r in found}) == 3 and {r.status for r in found} == {"new"}
