@@ -37,7 +37,8 @@ def test_stage_decisions(spark, docs, odd_texts, tables):
 def test_run_is_the_stages_one_after_the_other(spark, docs, tables):
     step = docs
     for _, stage in corpus_pipeline.STAGES:
-        step = spark.createDataFrame(stage(spark, step, tables).collect(), stage(spark, step, tables).schema)
+        out = stage(spark, step, tables)
+        step = spark.createDataFrame(out.collect(), out.schema)
     pack = lambda rows: sorted((str(r.doc_id), r.piece, r.length, r.ids_crc32) for r in rows)
     assert pack(corpus_pipeline.run(spark, tables).collect()) == pack(step.collect())
 
