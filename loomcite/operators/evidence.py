@@ -70,8 +70,7 @@ def note_fact(notes: DataFrame) -> DataFrame:
     return kept.select("owner", stable_id("UN", "owner", "note").alias("fact_id"), F.lit("user_note").alias("fact_type"), F.col("note").alias("text"))
 
 
-def trace_refs(refs: DataFrame, kept: int = 12) -> DataFrame:
-    """Resolved references nested on their owner, in request order; a request is a short list."""
-    top = top_per_group(refs, ["owner"], [F.asc("pos")], kept)
+def trace_refs(refs: DataFrame) -> DataFrame:
+    """Resolved references nested on their owner, in request order; a request is a list that someone selected."""
     items = F.array_sort(F.collect_list(F.struct("pos", "bucket", "id")))
-    return top.groupBy("owner").agg(items.alias("refs"))
+    return refs.groupBy("owner").agg(items.alias("refs"))

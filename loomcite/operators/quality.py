@@ -109,7 +109,7 @@ def repaired_title(title: Column | str, message: Column | str, evidence: Column
     bad_title = F.size(failed_rules(title, rules)) > 0
     bad_message = F.size(failed_rules(message, rules)) > 0
     return (
-        F.when(bad_title & (said != ""), F.substring(said, 1, 90)).otherwise(text_of(title)),
+        F.when(bad_title & (said != ""), said).otherwise(text_of(title)),
         F.when(bad_message & (said != ""), said).otherwise(text_of(message)),
     )
 

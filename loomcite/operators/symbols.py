@@ -23,7 +23,7 @@ def base_code(concept_type: Column | str, label: Column | str) -> Column:
     return F.concat(symbol_prefix(concept_type), F.lit("."), abbreviation(label))
 
 
-def allocate(concepts: DataFrame, current: DataFrame | None = None, max_rounds: int = 20) -> DataFrame:
+def allocate(concepts: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """One code per (namespace, concept): the base, then suffix 2, 3, ... in ``seq`` order.
 
     Numbers come from exact positions, so a base shared by a third of all concepts is
@@ -37,7 +37,7 @@ def allocate(concepts: DataFrame, current: DataFrame | None = None, max_rounds:
         wanted = wanted.join(current.select("namespace", "concept_id"), ["namespace", "concept_id"], "left_anti")
         taken = current.select("namespace", "short_code")
     open_rows, done = wanted, None
-    for _ in range(max_rounds):
+    while True:
         ranked = ordinal(open_rows, ["namespace", "base"], ["seq", "concept_id"], "n")
         if start is not None:
             ranked = ranked.join(start, ["namespace", "base"], "left")
@@ -56,7 +56,6 @@ def allocate(concepts: DataFrame, current: DataFrame | None = None, max_rounds:
         new = winners.select("namespace", "short_code")
         taken = new if taken is None else taken.unionByName(new)
         open_rows = losers.drop("n", "short_code")
-    raise RuntimeError("symbol codes still collide; raise max_rounds")
 
 
 def finish(rows: DataFrame) -> DataFrame:

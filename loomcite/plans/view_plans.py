@@ -236,13 +236,13 @@ def table_counts_query(spark, sf_dir):
 
 @query(
     "extraction_counts",
-    f"""WITH r AS (SELECT user_id AS work_id, {TYPE_CASE.replace("doc_id", "event_id")} AS t FROM events WHERE value > 300 OR event_type = 'error'),
+    f"""WITH r AS (SELECT user_id AS work_id, {TYPE_CASE.replace("doc_id", "event_id")} AS t FROM events),
 c AS (SELECT work_id, {", ".join(f"count(*) FILTER (t = '{t}') AS {t}" for t in TYPES)} FROM r GROUP BY 1)
 SELECT *, existed_idea > 0 AND principle > 0 AND takeaway_message > 0 AND (benchmark > 0 OR baseline > 0) AS has_core_coverage FROM c""",
 )
 def extraction_counts_query(spark, sf_dir):
     kinds = F.array(*map(F.lit, TYPES))
-    rows = table(spark, sf_dir, "events").filter("value > 300 or event_type = 'error'").select(
+    rows = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("work_id"), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("record_type")
     )
     return extraction_counts(rows, TYPES)
