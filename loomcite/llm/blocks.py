@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 from .arrays import U, pack_sorted, planes, slices, text_bytes, unpack_sorted, unplanes
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 1 << 16
 #: Keys of one group at most, on average; groups are ranges of a hash.
 GROUP_KEYS = 1 << 20
@@ -38,7 +38,7 @@ def text_blocks(docs: DataFrame, flag: Column | None = None, doc_id: str = "doc_
     )
 
     def make(batches):
-        part_id, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
+        part_id, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=7)
         for k, part in enumerate(slices(batches, "text", BLOCK_BYTES, BLOCK_ROWS)):
             data, offsets = text_bytes(part.column("text"))
             one = lambda c: pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c))
@@ -62,10 +62,10 @@ def block_text(sizes: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(body, max_output_size=max(int(offsets[-1]), 1)), np.uint8), offsets
 
 
-def fingerprint_bits(blocks: DataFrame, per_word: int = 1) -> int:
+def fingerprint_bits(blocks: DataFrame, per_word: int = 1, spare: int = SPARE_BITS) -> int:
     """Bits that keep keys apart, from a bound on their number."""
     total = (blocks.agg(F.sum("words")).first()[0] or 0) * per_word
-    return min(64, math.ceil(math.log2(total + 2)) + SPARE_BITS)
+    return min(64, math.ceil(math.log2(total + 2)) + spare)
 
 
 def summed(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +104,7 @@ def corpus_counts(blocks: DataFrame, columns: list[str], asked: Callable, bits:
                 ], names=["p", "block", "keys", "add"])
 
     def count(table: pa.Table) -> pa.Table:
+        press = zstandard.ZstdCompressor(level=3)
         keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
         add = np.concatenate([unplanes(x, np.uint32) for x in table.column("add").to_pylist()]).astype(np.int64)
         flat = np.concatenate(keys)
@@ -117,7 +118,7 @@ def corpus_counts(blocks: DataFrame, columns: list[str], asked: Callable, bits:
         new = np.bincount(row[(sums > 0) & (near[fresh] & U(1) == 0)], minlength=len(keys))
         kind = np.uint32 if sums.max() < 2**32 else np.uint64
         parts = np.split(out.astype(kind), np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"block": table.column("block"), "p": table.column("p"), "counts": pa.array([planes(x) for x in parts], pa.binary()), "wide": pa.array([kind is np.uint64] * len(parts)), "fresh": pa.array(new.astype(np.int64))})
+        return pa.table({"block": table.column("block"), "p": table.column("p"), "counts": pa.array([press.compress(planes(x)) for x in parts], pa.binary()), "wide": pa.array([kind is np.uint64] * len(parts)), "fresh": pa.array(new.astype(np.int64))})
 
     sent = blocks.select("block", *columns).mapInArrow(ask, "p int, block bigint, keys binary, add binary")
     return sent.groupBy("p").applyInArrow(count, "block bigint, p int, counts binary, wide boolean, fresh bigint")
@@ -126,7 +127,8 @@ def corpus_counts(blocks: DataFrame, columns: list[str], asked: Callable, bits:
 def answer(table: pa.Table) -> np.ndarray:
     """All counts that a block asked for, in the order of its keys."""
     rows = sorted(table.select(["p", "counts", "wide"]).to_pylist(), key=lambda r: r["p"])
-    parts = [unplanes(r["counts"], np.uint64 if r["wide"] else np.uint32).astype(np.int64) for r in rows]
+    expand = zstandard.ZstdDecompressor()
+    parts = [unplanes(expand.decompress(r["counts"]), np.uint64 if r["wide"] else np.uint32).astype(np.int64) for r in rows]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 

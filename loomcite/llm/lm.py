@@ -15,19 +15,24 @@ the uniform chance.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
 from .arrays import ODD, U, Words, mix, planes, unplanes
-from .blocks import answered, block_text, corpus_counts, rows_of, summed, text_blocks
-
-#: Names of the end of text, of the start of text as a context, and of all tokens. Tokens have even names, all else odd ones.
-EVEN = ~U(1)
-END = mix(np.array([101], dtype=np.uint64))[0] & EVEN
-START, ALL = (mix(np.array([k], dtype=np.uint64))[0] | U(1) for k in (102, 103))
+from .blocks import answered, block_text, corpus_counts, fingerprint_bits, rows_of, summed, text_blocks
+
+#: Tokens have even names without the highest bit; pairs, the start of text as a context and the sum of all have odd ones with it.
+TOKEN, OTHER = U((1 << 63) - 2), U(1 << 63 | 1)
+END = mix(np.array([101], dtype=np.uint64))[0] & TOKEN
+START, ALL = (mix(np.array([k], dtype=np.uint64))[0] | OTHER for k in (102, 103))
+#: Spare bits of a pair's name: the chance that it meets another pair's is 2 to minus this. Tokens have 62 bits.
+PAIR_SPARE = 20
 BUCKETS, STEPS = 40, 64
 BITS = 64
 
@@ -36,22 +41,23 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 7 == 2, F.lit(False))
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, offsets: np.ndarray, pair_bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first place of each text's tokens, tokens, pairs): a token with its end of text, and its hash with the token before it."""
     words = Words(data, offsets)
     first = np.r_[0, np.cumsum(words.counts + 1)]
     out = np.full(first[-1], END, dtype=np.uint64)
     body = np.ones(len(out), dtype=bool)
     body[first[1:] - 1] = False
-    out[body] = words.hash & EVEN
+    out[body] = words.hash & TOKEN
     before = np.r_[START, out[:-1]]
     before[first[:-1]] = START
-    return first, out, mix(mix(before + ODD[1]) ^ out) | U(1)
+    pair = mix(mix(before + ODD[1]) ^ out) >> U(64 - pair_bits) << U(64 - pair_bits)
+    return first, out, pair | OTHER
 
 
-def _asked(row):
+def _asked(row, pair_bits: int = 64):
     """A block's keys: its tokens, pairs, the start and the sum; only training texts add to the counts."""
-    first, token, pair = tokens(*block_text(row["sizes"], row["body"]))
+    first, token, pair = tokens(*block_text(row["sizes"], row["body"]), pair_bits)
     trained = np.array(row["flags"], dtype=bool)
     own = np.repeat(trained, np.diff(first)).astype(np.int64)
     keys = np.concatenate([token, pair, [START, ALL]])
@@ -63,16 +69,17 @@ COUNTED = "block bigint, ids array<bigint>, flags array<boolean>, sizes binary,
 
 def narrow(counts: np.ndarray) -> bytes:
     """Counts in 32 bits where they fit, else in 64."""
-    return planes(counts.astype(np.uint32) if not len(counts) or counts.max() < 2**32 else counts)
+    return zstandard.ZstdCompressor(level=3).compress(planes(counts.astype(np.uint32) if not len(counts) or counts.max() < 2**32 else counts))
 
 
 def widen(data: bytes, n: int) -> np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(data)
     return unplanes(data, np.uint32 if len(data) == 4 * n else np.int64).astype(np.int64)
 
 
-def _counted(row, counts, fresh):
+def _counted(row, counts, fresh, pair_bits: int = 64):
     """The counts of every token and pair of a block, in the order of the text."""
-    first, token, pair = tokens(*block_text(row["sizes"], row["body"]))
+    first, token, pair = tokens(*block_text(row["sizes"], row["body"]), pair_bits)
     keys = np.unique(np.concatenate([token, pair, [START, ALL]]))
     of = lambda k: counts[np.searchsorted(keys, k)]
     start, total = of(np.array([START, ALL]))
@@ -163,8 +170,10 @@ def _score(weights: np.ndarray, distinct: int):
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     blocks = text_blocks(docs, ~is_held_out(doc_id), doc_id, text)
-    answers = corpus_counts(blocks, ["sizes", "body", "flags"], _asked, BITS, per_word=2)
-    counted = durable(answered(blocks.drop("keys", "words"), answers, _counted, COUNTED))
+    # one bit stands for "pair"; names end on whole bytes, so that what is cut off costs nothing
+    bits = min(64, -(-(fingerprint_bits(blocks, spare=PAIR_SPARE) + 1) // 8) * 8)
+    answers = corpus_counts(blocks, ["sizes", "body", "flags"], partial(_asked, pair_bits=bits), BITS, per_word=2)
+    counted = durable(answered(blocks.drop("keys", "words"), answers, partial(_counted, pair_bits=bits), COUNTED))
     distinct = counted.agg(F.sum("fresh")).first()[0] or 0
     grid = deleted_grid(counted).toArrow()
     cell = grid.column("cell").to_numpy()
