@@ -31,7 +31,9 @@ UNKNOWN = "unknown"
 NEGATIVES = 1500
 CONFIRM_FROM = 0.5
 HEATS = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8)
-WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
+#: What stands between words; dots and hyphens inside a word, as in 2.0, belong to it.
+BETWEEN = r"[.\-]*[^a-z0-9.\-]+[.\-]*"
+EDGES = " \t\r\x0b\x0c.-,;:!?()[]\"'"
 #: Shortest span of a template that is trained on, as a share of its words.
 SPAN_FROM = 0.5
 
@@ -79,7 +81,7 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def with_features(rows: DataFrame) -> DataFrame:
     """``rows`` with f: the hashes of the distinct word pairs and triples of ``body``, in lower case."""
-    words = F.transform(F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    words = F.transform(F.split(F.btrim(F.lower("body"), F.lit(EDGES)), BETWEEN), lambda w: F.xxhash64(w))
     rows = rows.withColumn("f", words)
     pairs = F.transform("f", lambda w, i: F.when(F.get("f", i + 1).isNotNull(), F.xxhash64(w, F.get("f", i + 1))))
     triples = F.transform("f", lambda w, i: F.when(F.get("f", i + 2).isNotNull(), F.xxhash64(w, F.get("f", i + 1), F.get("f", i + 2))))
