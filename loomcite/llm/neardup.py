@@ -11,9 +11,10 @@ least ``SIMILARITY``. Classes are the connected components of the links.
 Equal sets are put together first and stand as one node, so groups of copies of any size
 cost one node. Every node is compared with the greatest of its buckets' centres, the nodes that
 share their buckets with most others. A node that this leaves outside the class of a bucket's centre
-meets that centre, and all nodes of other classes in that bucket if the bucket is small; in a
-large bucket two such nodes per turn meet all others, turn after turn until one finds no link. The work of a
-turn is linear in the buckets' sizes, and no bucket is dropped or cut.
+meets that centre, and all nodes of other classes in that bucket if the bucket is small. In a large
+bucket the signature of every node that is still outside the centre's class is then held against those
+of all nodes of other classes, tile by tile, and the pairs that agree in enough samples are computed. So
+any two nodes of one bucket end in one class or have been compared; no bucket is dropped or cut.
 
 Rules for odd rows: words are blank-separated and compared in lower case (A-Z); a document
 of one to four words is one run; null, empty and blank texts have no run and are classes of
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -37,7 +38,8 @@ SIMILARITY = 0.8
 #: 36 samples of two sets at the threshold agree in 28.8 on average, in fewer than this with a chance below 1e-4.
 LEAST_AGREEING = 19
 SMALL_BUCKET = 32
-CENTRES = 2
+#: A large bucket is compared in tiles of about so many nodes, or in so many tiles.
+TILE, TILES = 256, 64
 CHUNK = 1 << 15
 
 
@@ -176,13 +178,17 @@ def _verify(similarity: float):
     return make
 
 
+def verified(likely: DataFrame, signs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity is high enough, written."""
+    full = lambda s: signs.select(F.col("uid").alias(s), F.col("runs").alias(f"runs_{s}"), F.col("weights").alias(f"weights_{s}"))
+    return durable(likely.join(full("b"), "b").join(full("a"), "a").mapInArrow(_verify(similarity), "a bigint, b bigint"))
+
+
 def links(pairs: DataFrame, signs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_AGREEING) -> DataFrame:
     """The pairs (a, b) of uids that are similar enough, written."""
     side = lambda s: signs.select(F.col("uid").alias(s), F.col("signature").alias(f"signature_{s}"))
     agreeing = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    likely = durable(pairs.join(side("a"), "a").join(side("b"), "b").filter(agreeing >= least).select("a", "b"))
-    full = lambda s: signs.select(F.col("uid").alias(s), F.col("runs").alias(f"runs_{s}"), F.col("weights").alias(f"weights_{s}"))
-    return durable(likely.join(full("b"), "b").join(full("a"), "a").mapInArrow(_verify(similarity), "a bigint, b bigint"))
+    return verified(durable(pairs.join(side("a"), "a").join(side("b"), "b").filter(agreeing >= least).select("a", "b")), signs, similarity)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -226,19 +232,59 @@ def _unsettled(seated: DataFrame, classes: DataFrame) -> DataFrame:
     return durable(known.select("bucket", "uid", "top", "size", "centre"))
 
 
-def _meetings(seated: DataFrame, classes: DataFrame, open_nodes: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of different classes: every unsettled node with its bucket, or, in large buckets, some of them per turn."""
-    place = Window.partitionBy("bucket").orderBy(F.xxhash64("uid", F.lit(7)), "uid")
-    few = open_nodes.filter(F.col("size") > SMALL_BUCKET).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= CENTRES * (turn + 1))
-    few = few.filter(F.col("place") > CENTRES * turn).select("bucket", "uid", "top")
-    if turn == 0:
-        few = few.unionByName(open_nodes.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "uid", "top"))
+def _meetings(seated: DataFrame, classes: DataFrame, open_nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes: every unsettled node with its bucket's centre, and with all of its bucket if that is small."""
+    few = open_nodes.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "uid", "top")
     others = seated.select("bucket", F.col("uid").alias("other")).join(few, "bucket")
     others = others.join(classes.select(F.col("uid").alias("other"), F.col("top").alias("top_other")), "other", "left")
     met = others.filter(F.col("top") != F.coalesce("top_other", "other")).select(*_pair("uid", "other"))
-    if turn == 0:
-        met = met.unionByName(open_nodes.select(*_pair("uid", "centre")))
-    return met.distinct()
+    return met.unionByName(open_nodes.select(*_pair("uid", "centre"))).distinct()
+
+
+def _agreeing_in(least: int):
+    """Pairs (a, b) of different classes in a group of tiles whose signatures agree in ``least`` samples: open nodes with all, two open ones once."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        column = lambda name: table.column(name).to_numpy()
+        uid, top, is_open, asks = column("uid"), column("top"), column("is_open"), column("asks")
+        drawn = np.array(table.column("signature").to_pylist(), dtype=np.int32).reshape(len(uid), -1)
+        mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        other, a, b = np.ascontiguousarray(drawn[theirs].T), [], []
+        for k in range(0, len(mine), TILE):
+            part = mine[k : k + TILE]
+            same = np.zeros((len(part), len(theirs)), dtype=np.uint16)
+            for d in range(drawn.shape[1]):
+                same += drawn[part, d][:, None] == other[d][None, :]
+            i, j = np.nonzero(same >= least)
+            i, j = part[i], theirs[j]
+            keep = (top[i] != top[j]) & (~is_open[j] | (uid[i] < uid[j]))
+            a.append(np.minimum(uid[i], uid[j])[keep])
+            b.append(np.maximum(uid[i], uid[j])[keep])
+        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"a": flat(a), "b": flat(b)})
+
+    return compare
+
+
+def _remaining(seated: DataFrame, classes: DataFrame, signs: DataFrame, least: int = LEAST_AGREEING) -> DataFrame:
+    """The pairs (a, b) of different classes in large buckets that agree in enough samples.
+
+    Every unsettled node is held against every node of its bucket, tile by tile, so that a task
+    has a bounded share of a bucket and a node is sent at most ``TILES`` times for each role.
+    """
+    large = seated.filter(F.col("size") > SMALL_BUCKET)
+    open_nodes = _unsettled(large, classes).select("bucket", "uid", F.lit(True).alias("is_open"))
+    n_open = open_nodes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_open"))
+    seats = large.select("bucket", "uid", "size").join(n_open, "bucket").join(open_nodes, ["bucket", "uid"], "left").join(classes, "uid", "left")
+    seats = seats.select("bucket", "uid", "size", "n_open", F.coalesce("top", "uid").alias("top"), F.coalesce("is_open", F.lit(False)).alias("is_open"))
+    seats = seats.join(signs.select("uid", "signature"), "uid")
+    tiles = lambda n: F.least(F.ceil(F.col(n) / TILE), F.lit(TILES)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("uid", "bucket"), tiles(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), tiles(n) - 1)
+    body = ["bucket", "uid", "top", "is_open", "signature"]
+    asking = seats.filter("is_open").select(*body, F.lit(True).alias("asks"), place("n_open").alias("i"), F.explode(every("size")).alias("j"))
+    asked = seats.select(*body, F.lit(False).alias("asks"), place("size").alias("j"), F.explode(every("n_open")).alias("i"))
+    return asking.unionByName(asked).groupBy("bucket", "i", "j").applyInArrow(_agreeing_in(least), "a bigint, b bigint").distinct()
 
 
 def linked(signs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -251,18 +297,12 @@ def linked(signs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     tried = durable(main.filter("uid <> centre").select(*_pair("uid", "centre")).distinct())
     found = links(tried, signs, similarity)
     classes = components(found)
-    turn = 0
-    while True:
-        open_nodes = _unsettled(seated, classes)
-        fresh = durable(_meetings(seated, classes, open_nodes, turn).join(tried, ["a", "b"], "left_anti"))
-        more = links(fresh, signs, similarity)
-        if not more.limit(1).count():
-            return nodes, found, classes
-        tried, found, turn = tried.unionByName(fresh), durable(found.unionByName(more)), turn + 1
-        classes = components(found)
-        # settled buckets stay settled, and small ones have been compared whole
-        large = open_nodes.filter(F.col("size") > SMALL_BUCKET).select("bucket").distinct()
-        seated = durable(seated.join(large, "bucket", "left_semi"))
+    fresh = durable(_meetings(seated, classes, _unsettled(seated, classes)).join(tried, ["a", "b"], "left_anti"))
+    tried, found = tried.unionByName(fresh), durable(found.unionByName(links(fresh, signs, similarity)))
+    classes = components(found)
+    rest = durable(_remaining(seated, classes, signs).join(tried, ["a", "b"], "left_anti"))
+    found = durable(found.unionByName(verified(rest, signs, similarity)))
+    return nodes, found, components(found)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -125,6 +125,48 @@ def test_large_group_of_variants_is_one_class(spark):
     assert all((r.class_size, r.class_id) == ((300, 0) if r.doc_id < 1000 else (1, r.doc_id)) for r in found)
 
 
+def test_large_buckets_are_compared_whole(spark):
+    rng = random.Random(8)
+    shared = prose(rng, 100).split()
+    rows = []
+    for k in range(60):
+        own = [f"o{k}x{i}" for i in range(14)]
+        rows.append((2 * k, " ".join(shared + own)))
+        own[0] = "other"
+        rows.append((2 * k + 1, " ".join(["first", *shared, *own])))
+    tops = jaccard_classes(rows)
+    signs = neardup.signed(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    sizes = [r["count"] for r in signs.selectExpr("explode(bands) as bucket").groupBy("bucket").count().collect()]
+    assert max(sizes) > 2 * neardup.SMALL_BUCKET
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    least = {}
+    for (k, _), t in zip(rows, tops):
+        least[t] = min(k, least.get(t, k))
+    assert len(least) > 30
+    assert found == {k: least[t] for (k, _), t in zip(rows, tops)}
+
+
+def one_bucket(spark, groups):
+    """Signed rows that share a single bucket; nodes of one group have the same samples and runs, others none in common."""
+    rows, ones = [], np.ones(20, np.float32)
+    for g, size in enumerate(groups):
+        runs = np.arange(g * 100, g * 100 + 20, dtype=np.uint32)
+        for _ in range(size):
+            uid = len(rows) + 1
+            bands = [0, *(-(uid * 20 + k) for k in range(1, 12))]
+            rows.append((uid, uid, bands, [1000 * (g + 1) + d for d in range(36)], bytearray(neardup.pack_sorted(runs)), bytearray(neardup.planes(ones))))
+    return spark.createDataFrame(rows, "uid bigint, node bigint, bands array<bigint>, signature array<int>, runs binary, weights binary")
+
+
+def classes_of(spark, groups):
+    _, _, classes = neardup.linked(one_bucket(spark, groups))
+    return sorted(Counter(r.top for r in classes.collect()).values())
+
+
+def test_isolated_nodes_do_not_end_a_large_bucket(spark):
+    assert classes_of(spark, [1] * 60 + [2, 2, 3]) == [2, 2, 3]
+
+
 def test_samples_agree_like_weighted_jaccard():
     rng = np.random.default_rng(1)
     runs = np.sort(rng.integers(0, 2**63, 80, dtype=np.uint64))
