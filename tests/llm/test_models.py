@@ -167,6 +167,11 @@ def test_isolated_nodes_do_not_end_a_large_bucket(spark):
     assert classes_of(spark, [1] * 60 + [2, 2, 3]) == [2, 2, 3]
 
 
+@pytest.mark.parametrize("pairs", [25, 40])
+def test_no_node_of_a_large_bucket_is_skipped(spark, pairs):
+    assert classes_of(spark, [2] * pairs) == [2] * pairs
+
+
 def test_samples_agree_like_weighted_jaccard():
     rng = np.random.default_rng(1)
     runs = np.sort(rng.integers(0, 2**63, 80, dtype=np.uint64))
