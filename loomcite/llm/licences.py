@@ -4,9 +4,12 @@ A paragraph is a line with a word; its features are its distinct word pairs and
 some template has. A multinomial logistic regression tells licence families and the class
 "unknown" apart; it is trained on spans of the templates and on a bounded sample of the
 corpus's own paragraphs that hold no template triple. One temperature, fitted on spans that
-were not trained on, calibrates the probabilities. A predicted family is confirmed if the
-paragraph and one of the family's templates share enough of their pairs and triples. A
-paragraph without any such feature has the intercepts alone and is unknown; it gives no row.
+were not trained on, calibrates the probabilities. A paragraph is judged by overlapping windows of
+twice the longest template's words, so that a statement inside a long line stands in one of them
+whole. A predicted family is confirmed if the window and one of the family's templates share
+enough of their pairs and triples, or enough of the template's are in the window; the window
+that is most like a template speaks for the paragraph. A window without any such feature has
+the intercepts alone and is unknown; a paragraph of such windows gives no row.
 
 Everything runs as column expressions, aggregates and joins. The feature table is as large
 as the templates, whatever the corpus, and is the only side that is broadcast.
@@ -18,6 +21,7 @@ a null id stays null; without documents the result is empty.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -79,10 +83,28 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows.filter(F.btrim("body") != "")
 
 
+def _words(body: str) -> Column:
+    return F.split(F.btrim(F.lower(body), F.lit(EDGES)), BETWEEN)
+
+
+#: Words between the beginnings of two windows; a window has twice as many.
+STEP = max(len(re.split(BETWEEN, b.lower().strip(EDGES))) for bodies in TEMPLATES.values() for b in bodies)
+
+
+def with_windows(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each window of ``body``, with window (0, 1, ..) and f (see ``with_features``); any STEP words in a row are in one window."""
+    rows = rows.withColumn("f", F.transform(_words("body"), lambda w: F.xxhash64(w)))
+    last = F.greatest(F.lit(0), F.ceil((F.size("f") - 2 * STEP) / STEP).cast("int"))
+    rows = rows.withColumn("window", F.explode(F.sequence(F.lit(0), last)))
+    return _paired(rows.withColumn("f", F.slice("f", F.col("window") * STEP + 1, F.lit(2 * STEP))))
+
+
 def with_features(rows: DataFrame) -> DataFrame:
     """``rows`` with f: the hashes of the distinct word pairs and triples of ``body``, in lower case."""
-    words = F.transform(F.split(F.btrim(F.lower("body"), F.lit(EDGES)), BETWEEN), lambda w: F.xxhash64(w))
-    rows = rows.withColumn("f", words)
+    return _paired(rows.withColumn("f", F.transform(_words("body"), lambda w: F.xxhash64(w))))
+
+
+def _paired(rows: DataFrame) -> DataFrame:
     pairs = F.transform("f", lambda w, i: F.when(F.get("f", i + 1).isNotNull(), F.xxhash64(w, F.get("f", i + 1))))
     triples = F.transform("f", lambda w, i: F.when(F.get("f", i + 2).isNotNull(), F.xxhash64(w, F.get("f", i + 1), F.get("f", i + 2))))
     return rows.withColumn("f", F.array_distinct(F.array_compact(F.concat(pairs, triples))))
@@ -113,9 +135,12 @@ def _spans(spark: SparkSession) -> DataFrame:
 
 
 def negatives(docs: DataFrame, known: DataFrame, most: int = NEGATIVES) -> DataFrame:
-    """At most ``most`` corpus paragraphs with two template features or fewer, those with the smallest hash, and the lookalikes."""
+    """Of the ``most`` different corpus paragraphs with the smallest hash those with two template features or fewer, and the lookalikes."""
     spark = docs.sparkSession
-    kept = durable(paragraphs(docs).select("body").orderBy(F.xxhash64("body"), "body").limit(most).distinct())
+    rows = paragraphs(docs).select("body", F.xxhash64("body").alias("hash"))
+    # copies are put together by their hashes, so that no text is shuffled
+    last = rows.select("hash").distinct().orderBy("hash").limit(most).agg(F.max("hash")).first()[0]
+    kept = durable(rows.filter(F.col("hash") <= F.lit(last).cast("bigint")).select("body").distinct())
     met = with_features(kept).select("body", F.explode("f").alias("h")).join(F.broadcast(known.select("h")), "h").groupBy("body").count().filter(F.col("count") > 2)
     rows = kept.join(met.select("body"), "body", "left_anti")
     return rows.unionByName(spark.createDataFrame([(b,) for b in LOOKALIKES], "body string")).select(F.lit(0).alias("family"), "body")
@@ -172,7 +197,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     """One row for each paragraph with a template feature: doc_id, paragraph, family, probability, template, similarity, confirmed.
 
     ``family`` is the likeliest class, "unknown" included; ``template`` is the closest one of
-    the family (null if unknown), ``similarity`` its share of common features (Dice).
+    the family (null if unknown), ``similarity`` the greater of the share of common features
+    (Dice) and the share of the template's features that are there, in the best window.
     """
     known = vocabulary(docs.sparkSession)
     model = fit_licences(docs, known)
@@ -180,19 +206,20 @@ def scanned(docs: DataFrame) -> DataFrame:
     templates = _template_sizes(docs.sparkSession)
     lines = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
     lines = lines.filter(F.btrim("body") != "")
-    met = with_features(lines).select("uid", "doc_id", "paragraph", F.size("f").alias("n"), F.explode("f").alias("h")).join(weights, "h")
+    met = with_windows(lines).select("uid", "doc_id", "paragraph", "window", F.size("f").alias("n"), F.explode("f").alias("h")).join(weights, "h")
     common = [F.count_if(F.array_contains("templates", F.lit(k))).alias(f"t{k}") for k, _, _ in templates]
-    sums = met.groupBy("uid", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), *_class_sums(), *common)
-    alike = F.array(*[F.struct(F.lit(family).alias("family"), (2 * F.col(f"t{k}") / (F.col("n") + size)).alias("s"), F.lit(k).alias("k")) for k, family, size in templates])
-    rows = sums.select("doc_id", "paragraph", alike.alias("alike"), F.array(*[f"w{f}" for f in range(len(FAMILIES))]).alias("sums"))
-    rows = rows.select("doc_id", "paragraph", "alike", model.probabilities(F.col("sums")).alias("p"))
+    sums = met.groupBy("uid", "paragraph", "window").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), *_class_sums(), *common)
+    alike = F.array(*[F.struct(F.lit(family).alias("family"), (F.col(f"t{k}") / F.least((F.col("n") + size) / 2, F.lit(float(size)))).alias("s"), F.lit(k).alias("k")) for k, family, size in templates])
+    rows = sums.select("uid", "doc_id", "paragraph", "window", alike.alias("alike"), F.array(*[f"w{f}" for f in range(len(FAMILIES))]).alias("sums"))
+    rows = rows.select("uid", "doc_id", "paragraph", "window", "alike", model.probabilities(F.col("sums")).alias("p"))
     rows = rows.withColumn("class", (F.array_position("p", F.array_max("p")) - 1).cast("int"))
     own = F.transform(F.filter("alike", lambda x: x["family"] == F.col("class")), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k")))
-    rows = rows.select("doc_id", "paragraph", "class", _share(F.col("p"), F.col("class")).alias("probability"), F.array_max(own).alias("best"))
-    similarity = F.coalesce("best.s", F.lit(0.0))
+    rows = rows.withColumn("best", F.array_max(own)).withColumn("similarity", F.coalesce("best.s", F.lit(0.0)))
+    said = F.struct("similarity", (-F.col("window")).alias("before"), "class", _share(F.col("p"), F.col("class")).alias("probability"), F.col("best.k").alias("template"))
+    rows = rows.groupBy("uid", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.max(said).alias("said")).select("doc_id", "paragraph", "said.*")
     return rows.select(
-        "doc_id", "paragraph", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("class") + 1).alias("family"), "probability", F.col("best.k").alias("template"),
-        similarity.alias("similarity"), ((F.col("class") > 0) & (similarity >= CONFIRM_FROM)).alias("confirmed"),
+        "doc_id", "paragraph", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("class") + 1).alias("family"), "probability", "template",
+        "similarity", ((F.col("class") > 0) & (F.col("similarity") >= CONFIRM_FROM)).alias("confirmed"),
     )
 
 

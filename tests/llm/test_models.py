@@ -200,3 +200,19 @@ def test_licences_are_found_and_prose_is_not(spark):
     assert {(r.doc_id, r.paragraph, r.family) for r in found} == {
         (100, 1, "mit"), (101, 0, "apache"), (102, 2, "cc-by-nc"), (103, 0, "proprietary"), (105, 0, "proprietary"), (106, 0, "gpl")}
     assert all(0 < r.probability <= 1 for r in found)
+
+
+def test_licences_inside_longer_lines_are_confirmed(spark):
+    rng = random.Random(9)
+    long = prose(rng, 400)
+    rows = [(0, "Copyright 2021 The Example Company. All rights reserved."), (1, f"{prose(rng, 12)}. Licensed under CC BY-NC 4.0. {prose(rng, 8)}")]
+    rows += [(2, f"{long}. Released under the MIT License. {long}"), (3, f"{long} {long}"), (4, f"{long}. The driver lost his license and had to renew it. {long}")]
+    found = licences.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.family) for r in found if r.confirmed} == {(0, "proprietary"), (1, "cc-by-nc"), (2, "mit")}
+    assert len({r.doc_id for r in found}) == len(found)
+
+
+def test_copies_of_a_line_do_not_fill_the_sample(spark):
+    rows = spark.createDataFrame([(k, f"line of words {k % 20}") for k in range(1000)], "doc_id bigint, text string")
+    sample = licences.negatives(rows, licences.vocabulary(spark), most=5)
+    assert sample.count() == 5 + len(licences.LOOKALIKES)
