@@ -39,7 +39,7 @@ SIMILARITY = 0.8
 LEAST_AGREEING = 19
 SMALL_BUCKET = 32
 #: A large bucket is compared in tiles of about so many nodes, or in so many tiles.
-TILE, TILES = 256, 64
+TILE, TILES = 512, 64
 CHUNK = 1 << 15
 
 
@@ -178,17 +178,13 @@ def _verify(similarity: float):
     return make
 
 
-def verified(likely: DataFrame, signs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is high enough, written."""
-    full = lambda s: signs.select(F.col("uid").alias(s), F.col("runs").alias(f"runs_{s}"), F.col("weights").alias(f"weights_{s}"))
-    return durable(likely.join(full("b"), "b").join(full("a"), "a").mapInArrow(_verify(similarity), "a bigint, b bigint"))
-
-
 def links(pairs: DataFrame, signs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_AGREEING) -> DataFrame:
     """The pairs (a, b) of uids that are similar enough, written."""
     side = lambda s: signs.select(F.col("uid").alias(s), F.col("signature").alias(f"signature_{s}"))
     agreeing = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    return verified(durable(pairs.join(side("a"), "a").join(side("b"), "b").filter(agreeing >= least).select("a", "b")), signs, similarity)
+    likely = durable(pairs.join(side("a"), "a").join(side("b"), "b").filter(agreeing >= least).select("a", "b"))
+    full = lambda s: signs.select(F.col("uid").alias(s), F.col("runs").alias(f"runs_{s}"), F.col("weights").alias(f"weights_{s}"))
+    return durable(likely.join(full("b"), "b").join(full("a"), "a").mapInArrow(_verify(similarity), "a bigint, b bigint"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,12 +202,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _seated(bands: DataFrame) -> DataFrame:
-    """(bucket, uid, size, centre, rank) for the nodes of every bucket with two or more, written.
+    """(bucket, band, uid, size, centre, rank) for the nodes of every bucket with two or more, written.
 
     The centre is the node that shares its buckets with most others (``rank`` says with how
     many), so in a group of variants of one text it is the variant that is nearest to all.
     """
-    members = durable(bands.select("uid", F.explode("bands").alias("bucket")))
+    members = durable(bands.select("uid", F.posexplode("bands").alias("band", "bucket")))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     seats = durable(members.join(sizes, "bucket"))
     company = seats.groupBy("uid").agg(F.sum("size").alias("company"))
@@ -241,50 +237,77 @@ def _meetings(seated: DataFrame, classes: DataFrame, open_nodes: DataFrame) -> D
     return met.unionByName(open_nodes.select(*_pair("uid", "centre"))).distinct()
 
 
-def _agreeing_in(least: int):
-    """Pairs (a, b) of different classes in a group of tiles whose signatures agree in ``least`` samples: open nodes with all, two open ones once."""
+def _links_in(similarity: float, least: int):
+    """Links (a, b) between nodes of different classes in a group of tiles: open nodes with all, two open ones once.
+
+    A pair is computed in the first of its buckets only, the likeliest first, and not at all once
+    links of the group have brought both into one class.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
         column = lambda name: table.column(name).to_numpy()
-        uid, top, is_open, asks = column("uid"), column("top"), column("is_open"), column("asks")
+        uid, is_open, asks, band = column("uid"), column("is_open"), column("asks"), column("band")
+        _, top = np.unique(column("top"), return_inverse=True)
         drawn = np.array(table.column("signature").to_pylist(), dtype=np.int32).reshape(len(uid), -1)
+        runs, weights = table.column("runs"), table.column("weights")
+        unpacked, over, out = {}, list(range(len(uid))), []
+
+        def content(k):
+            if k not in unpacked:
+                unpacked[k] = unpack_sorted(runs[k].as_py(), np.uint32), unplanes(weights[k].as_py(), np.float32)
+            return unpacked[k]
+
+        def find(k):
+            while over[k] != k:
+                over[k] = k = over[over[k]]
+            return k
+
         mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
-        other, a, b = np.ascontiguousarray(drawn[theirs].T), [], []
+        other = np.ascontiguousarray(drawn[theirs].T)
         for k in range(0, len(mine), TILE):
             part = mine[k : k + TILE]
             same = np.zeros((len(part), len(theirs)), dtype=np.uint16)
             for d in range(drawn.shape[1]):
                 same += drawn[part, d][:, None] == other[d][None, :]
-            i, j = np.nonzero(same >= least)
-            i, j = part[i], theirs[j]
-            keep = (top[i] != top[j]) & (~is_open[j] | (uid[i] < uid[j]))
-            a.append(np.minimum(uid[i], uid[j])[keep])
-            b.append(np.maximum(uid[i], uid[j])[keep])
-        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": flat(a), "b": flat(b)})
+            i, j = np.nonzero((same >= least) & (top[part][:, None] != top[theirs][None, :]))
+            agree, i, j = same[i, j], part[i], theirs[j]
+            # pairs that share an earlier band have been compared there
+            keep = ~is_open[j] | (uid[i] < uid[j])
+            for d in range(int(band[0])):
+                keep &= (drawn[i, d * ROWS : (d + 1) * ROWS] != drawn[j, d * ROWS : (d + 1) * ROWS]).any(axis=1)
+            order = np.flatnonzero(keep)
+            order = order[np.argsort(-agree[order].astype(np.int32), kind="stable")]
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                one, two = find(int(top[x])), find(int(top[y]))
+                if one != two and weighted_jaccard(*content(x), *content(y)) >= similarity - 1e-6:
+                    over[one] = two
+                    out.append((min(uid[x], uid[y]), max(uid[x], uid[y])))
+        ends = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 
     return compare
 
 
-def _remaining(seated: DataFrame, classes: DataFrame, signs: DataFrame, least: int = LEAST_AGREEING) -> DataFrame:
-    """The pairs (a, b) of different classes in large buckets that agree in enough samples.
+def _remaining(seated: DataFrame, classes: DataFrame, signs: DataFrame, similarity: float, least: int = LEAST_AGREEING) -> DataFrame:
+    """Links (a, b) that bring the nodes of large buckets into their classes, written.
 
     Every unsettled node is held against every node of its bucket, tile by tile, so that a task
-    has a bounded share of a bucket and a node is sent at most ``TILES`` times for each role.
+    has a bounded share of a bucket and a node is sent at most ``TILES`` times for each role;
+    pairs that are no link never become rows.
     """
     large = seated.filter(F.col("size") > SMALL_BUCKET)
     open_nodes = _unsettled(large, classes).select("bucket", "uid", F.lit(True).alias("is_open"))
     n_open = open_nodes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_open"))
-    seats = large.select("bucket", "uid", "size").join(n_open, "bucket").join(open_nodes, ["bucket", "uid"], "left").join(classes, "uid", "left")
-    seats = seats.select("bucket", "uid", "size", "n_open", F.coalesce("top", "uid").alias("top"), F.coalesce("is_open", F.lit(False)).alias("is_open"))
-    seats = seats.join(signs.select("uid", "signature"), "uid")
+    seats = large.select("bucket", "band", "uid", "size").join(n_open, "bucket").join(open_nodes, ["bucket", "uid"], "left").join(classes, "uid", "left")
+    seats = durable(seats.select("bucket", "band", "uid", "size", "n_open", F.coalesce("top", "uid").alias("top"), F.coalesce("is_open", F.lit(False)).alias("is_open")))
+    seats = seats.join(signs.select("uid", "signature", "runs", "weights"), "uid")
     tiles = lambda n: F.least(F.ceil(F.col(n) / TILE), F.lit(TILES)).cast("int")
     place = lambda n: F.pmod(F.xxhash64("uid", "bucket"), tiles(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), tiles(n) - 1)
-    body = ["bucket", "uid", "top", "is_open", "signature"]
+    body = ["bucket", "band", "uid", "top", "is_open", "signature", "runs", "weights"]
     asking = seats.filter("is_open").select(*body, F.lit(True).alias("asks"), place("n_open").alias("i"), F.explode(every("size")).alias("j"))
     asked = seats.select(*body, F.lit(False).alias("asks"), place("size").alias("j"), F.explode(every("n_open")).alias("i"))
-    return asking.unionByName(asked).groupBy("bucket", "i", "j").applyInArrow(_agreeing_in(least), "a bigint, b bigint").distinct()
+    return durable(asking.unionByName(asked).groupBy("bucket", "i", "j").applyInArrow(_links_in(similarity, least), "a bigint, b bigint").distinct())
 
 
 def linked(signs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -298,10 +321,8 @@ def linked(signs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     found = links(tried, signs, similarity)
     classes = components(found)
     fresh = durable(_meetings(seated, classes, _unsettled(seated, classes)).join(tried, ["a", "b"], "left_anti"))
-    tried, found = tried.unionByName(fresh), durable(found.unionByName(links(fresh, signs, similarity)))
-    classes = components(found)
-    rest = durable(_remaining(seated, classes, signs).join(tried, ["a", "b"], "left_anti"))
-    found = durable(found.unionByName(verified(rest, signs, similarity)))
+    found = durable(found.unionByName(links(fresh, signs, similarity)))
+    found = durable(found.unionByName(_remaining(seated, components(found), signs, similarity)))
     return nodes, found, components(found)
 
 
