@@ -35,7 +35,7 @@ from .blocks import answered, block_text, corpus_counts, fingerprint_bits, summe
 RUN = 5
 BANDS, ROWS = 12, 3
 SIMILARITY = 0.8
-#: 36 samples of two sets at the threshold agree in 28.8 on average, in fewer than this with a chance below 1e-4.
+#: 36 samples of two sets at the threshold agree in 28.8 on average, in fewer than this with a chance of 6e-5.
 LEAST_AGREEING = 19
 SMALL_BUCKET = 32
 #: A large bucket is compared in tiles of about so many nodes, or in so many tiles.
@@ -327,7 +327,7 @@ def linked(signs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document row: doc_id, key, class_id, class_size, n_links (of its text with different ones), kept (one of each class)."""
+    """One row per document row: doc_id, key, class_id, class_size, n_links (those found on the way to the classes, not all), kept (one of each class)."""
     signs = signed(docs)
     nodes, found, classes = linked(signs, similarity)
     ends = found.select(F.col("a").alias("uid")).unionByName(found.select(F.col("b").alias("uid"))).groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
