@@ -100,8 +100,8 @@ def _estimates(row):
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
-    """0 for an unseen context, else 1 + log2 of its frequency, cut to whole numbers."""
-    return np.where(context > 0, 1 + np.log2(np.maximum(context, 1)).astype(np.int64), 0)
+    """0 for an unseen context, else 1 + log2 of its frequency, cut to whole numbers; the last bucket has no upper end."""
+    return np.where(context > 0, np.minimum(1 + np.log2(np.maximum(context, 1)).astype(np.int64), BUCKETS - 1), 0)
 
 
 def _cell(pair_share: np.ndarray, share: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def _score(weights: np.ndarray, distinct: int):
             for row in rows_of(batch):
                 first, token, pair, context = _estimates(row)
                 total = row["total"]
-                base = np.log10((token + 1) / ((total + 1) * (distinct + 1)))
+                base = np.log10((token + 1) / (total + 1 * (distinct + 1)))
                 mixture = weights[bucket(context)]
                 chance = mixture[:, 0] * pair / np.maximum(context, 1) + mixture[:, 1] * token / max(total, 1) + mixture[:, 2] / (distinct + 1)
                 if not total:

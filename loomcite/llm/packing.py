@@ -3,7 +3,8 @@
 A document is its token ids and an end id. Only documents longer than the capacity are cut.
 Pieces are dealt at random into lots of bounded size. In a lot the pieces are placed longest
 first: the open bin (or a new one) is chosen for which the sum, over all gaps, of the squared
-number of bins with that gap becomes smallest. Bins that stay less full than ``FULL`` are
+number of bins with that gap becomes smallest; gaps that no further piece of the lot fits in don't
+count. Where plain best fit needs fewer bins for a lot, its bins are taken. Bins that stay less full than ``FULL`` are
 dissolved and dealt again with those of other lots, until one lot is left, so the loss at the
 edges of lots stays that of one lot.
 
@@ -13,6 +14,7 @@ packed as often as they are there; a null id stays null; an empty table gives no
 
 from __future__ import annotations
 
+import bisect
 import zlib
 
 import numpy as np
@@ -63,17 +65,18 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """The bin of each item, for items in the order given."""
-    count = np.zeros(capacity + 1, dtype=np.int64)  # open bins by gap; a full bin isn't counted
+    count = np.zeros(capacity + 1, dtype=np.int64)  # open bins by gap; a bin that takes no further piece isn't counted
+    least = np.minimum.accumulate(lengths[::-1])[::-1].tolist()  # shortest piece from here on
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     out = np.empty(len(lengths), dtype=np.int64)
     bins = 0
     for k, s in enumerate(lengths.tolist()):
         here, after = count[s:], count[: capacity - s + 1]
         change = np.where(here > 0, 2 * (after - here) + 2, np.iinfo(np.int64).max)
-        if here[0]:
-            change[0] = 1 - 2 * here[0]
+        dead = min(least[k], capacity - s + 1)
+        change[:dead] = np.where(here[:dead] > 0, 1 - 2 * here[:dead], np.iinfo(np.int64).max)
         g = int(change.argmin())
-        new = 2 * int(count[capacity - s]) + 1 if s < capacity else 0
+        new = 2 * int(count[capacity - s]) + 1 if capacity - s >= least[k] else 0
         if here[g] and change[g] <= new:
             gap = g + s
             b = stacks[gap].pop()
@@ -81,20 +84,46 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
         else:
             gap, b, bins = capacity, bins, bins + 1
         left = gap - s
-        if left:
+        if left >= least[k]:
             stacks[left].append(b)
             count[left] += 1
         out[k] = b
     return out
 
 
+def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each item, for items in the order given: the open bin with the smallest gap that holds it."""
+    gaps: list[int] = []  # gaps of open bins, sorted
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    out = np.empty(len(lengths), dtype=np.int64)
+    bins = 0
+    for k, s in enumerate(lengths.tolist()):
+        at = bisect.bisect_left(gaps, s)
+        if at < len(gaps):
+            gap = gaps[at]
+            b = stacks[gap].pop()
+            if not stacks[gap]:
+                gaps.pop(at)
+        else:
+            gap, b, bins = capacity, bins, bins + 1
+        left = gap - s
+        if left:
+            if not stacks[left]:
+                bisect.insort(gaps, left)
+            stacks[left].append(b)
+        out[k] = b
+    return out
+
+
 def _pack_lot(capacity: int):
     def pack(table: pa.Table) -> pa.Table:
         length = table.column("length").to_numpy()
         uid = table.column("uid").to_numpy()
         order = np.lexsort((uid, -length))
         length, uid = length[order], uid[order]
-        bins = sum_of_squares(length, capacity)
+        bins, other = sum_of_squares(length, capacity), best_fit(length, capacity)
+        if len(length) and other.max() < bins.max():
+            bins = other
         by_bin = np.argsort(bins, kind="stable")
         length, uid, bins = length[by_bin], uid[by_bin], bins[by_bin]
         first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]]) if len(bins) else np.zeros(0, np.int64)

@@ -74,13 +74,15 @@ def test_sum_of_squares_chooses_the_least_sum():
     rng = np.random.default_rng(1)
     lengths, capacity = rng.integers(1, 12, 200), 12
     gaps, count = [], Counter()
-    for item, bin_ in zip(lengths.tolist(), packing.sum_of_squares(lengths, capacity).tolist()):
+    for k, (item, bin_) in enumerate(zip(lengths.tolist(), packing.sum_of_squares(lengths, capacity).tolist())):
+        shortest = lengths[k:].min()
+
         def total(gap):
             c = Counter(count)
             if gap < capacity:
                 c[gap] -= 1
             c[gap - item] += 1
-            return sum(v * v for g, v in c.items() if g > 0)
+            return sum(v * v for g, v in c.items() if g >= shortest)
         options = {g: total(g) for g in [*{g for g in count if count[g] and g >= item}, capacity]}
         gap = gaps[bin_] if bin_ < len(gaps) else capacity
         assert total(gap) == min(options.values())
@@ -92,6 +94,16 @@ def test_sum_of_squares_chooses_the_least_sum():
         count[gap - item] += gap > item
 
 
+@pytest.mark.parametrize("sizes,needed", [([1400, 600], 3000), ([1000], 1500), ([2048, 1], 3002)])
+def test_pieces_that_close_no_bin_open_none(spark, sizes, needed):
+    rows = spark.createDataFrame([(i, sizes[i % len(sizes)]) for i in range(3000 * len(sizes))], "uid bigint, length bigint")
+    assert packing.place(rows).select("sequence_id").distinct().count() == needed
+
+
+def test_best_fit_takes_the_smallest_gap():
+    assert packing.best_fit(np.array([6, 5, 4, 3, 2, 10, 1]), 10).tolist() == [0, 1, 0, 1, 1, 2, 3]
+
+
 def test_small_lots_stay_near_the_bound(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(10, 1500, 3000))], "uid bigint, length bigint")
@@ -213,9 +225,38 @@ def test_language_model_against_brute_force(docs, odd_texts):
     tokens = [(k, [*BLANK.findall(lower(t)), None]) for k, t in odd_texts]
     count = Counter(w for k, ws in tokens if not held(k) for w in ws)
     n, v = sum(count.values()), len(count)
-    expected = [(k, held(k), len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / ((n + 1) * (v + 1))) for w in ws), 6)) for k, ws in tokens]
+    expected = [(k, held(k), len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / (n + 1 * (v + 1))) for w in ws), 6)) for k, ws in tokens]
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows), key=key) == sorted(expected, key=key)
     assert all(r.score < 0 for r in rows)
+
+
+def test_interpolated_scores_against_brute_force(docs, odd_texts, monkeypatch):
+    """The mixture with weights that depend on the bucket alone, token by token."""
+    weights = np.array([[0.0, 0.8, 0.2], *([0.1 + 0.015 * b, 0.7 - 0.015 * b, 0.2] for b in range(1, lm.BUCKETS))])
+    monkeypatch.setattr(lm, "fit_weights", lambda *_: weights)
+    found = Counter((r.doc_id, round(r.score, 6)) for r in lm.scored(docs).collect())
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
+    tokens = [(k, [*BLANK.findall(lower(t)), None]) for k, t in odd_texts]
+    trained = [ws for k, ws in tokens if not held(k)]
+    count, pairs = Counter(w for ws in trained for w in ws), Counter(p for ws in trained for p in zip(["start", *ws], ws))
+    n, v, starts = sum(count.values()), len(count), len(trained)
+    expected = Counter()
+    for k, ws in tokens:
+        score = 0.0
+        for place, (before, w) in enumerate(zip(["start", *ws], ws)):
+            context = starts if place == 0 else count[before]
+            mix = weights[min(1 + int(math.log2(context)), lm.BUCKETS - 1) if context else 0]
+            score += math.log10(mix[0] * (pairs[before, w] / context if context else 0) + mix[1] * count[w] / n + mix[2] / (v + 1))
+        expected[k, round(score, 6)] += 1
+    assert found == expected
+
+
+def test_contexts_of_any_frequency_have_a_bucket():
+    assert lm.bucket(np.array([0, 1, 2**39, 2**62])).tolist() == [0, 1, lm.BUCKETS - 1, lm.BUCKETS - 1]
+
+
+def test_scores_of_a_language_model_beat_the_base(docs):
+    rows = lm.scored(docs).collect()
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
