@@ -144,5 +144,13 @@ def answered(blocks: DataFrame, answers: DataFrame, make: Callable, schema: str)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
 
 
+def unused_name(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def top_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> U(64 - bits) if bits < 64 else hashes

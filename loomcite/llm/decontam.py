@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .arrays import LETTERS_DIGITS, U, Words, grams, mix, slices, text_bytes
+from .blocks import unused_name
 
 WINDOW = 13
 GRAM = 5
@@ -190,6 +191,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, whose text is not contaminated."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("key").alias("_loom_key")).distinct()
-    key = F.xxhash64("doc_id", "text")
-    return docs.join(bad, key == F.col("_loom_key"), "left_anti").select(*docs.columns)
+    name = unused_name(docs.columns, "key")
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("key").alias(name)).distinct()
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")).join(bad, name, "left_anti").select(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .arrays import ODD, U, Words, grams, mix, pack_sorted, planes, unpack_sorted, unplanes
-from .blocks import answered, block_text, corpus_counts, fingerprint_bits, summed, text_blocks, top_bits
+from .blocks import answered, block_text, corpus_counts, fingerprint_bits, summed, text_blocks, top_bits, unused_name
 
 RUN = 5
 BANDS, ROWS = 12, 3
@@ -347,6 +347,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, unchanged, with one document of each class; of a row that is repeated whole one stays."""
-    kept = near_duplicates(docs, similarity).filter("kept").select(F.col("key").alias("_loom_key")).distinct()
-    rows = docs.withColumn("_loom_key", F.xxhash64("doc_id", "text")).dropDuplicates(["_loom_key"])
-    return rows.join(kept, "_loom_key", "left_semi").select(*docs.columns)
+    name = unused_name(docs.columns, "key")
+    kept = near_duplicates(docs, similarity).filter("kept").select(F.col("key").alias(name)).distinct()
+    rows = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(kept, name, "left_semi")
+    return rows.dropDuplicates([name]).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from loomcite.llm import decontam, licences, lm, neardup, order, packing, quality, rules, tokencount, toxicity
 
 import corpus_pipeline
@@ -27,6 +28,13 @@ def test_stages_keep_columns_and_rows_as_they_are(spark, docs, tables):
         assert {tuple(r) for r in after.collect()} <= rows
 
 
+def test_stages_keep_columns_that_are_named_like_their_own(spark, docs, tables):
+    named = docs.withColumnsRenamed({"key": "_loom_key", "uid": "KEY_"}).withColumn("key", F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        after = stage(spark, named, tables)
+        assert after.columns == named.columns and after.select("key").distinct().collect() == [("mine",)], name
+
+
 def test_stage_decisions(spark, docs, odd_texts, tables):
     unique = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, tables).collect()]
     assert len(unique) == sum(r.kept for r in neardup.near_duplicates(docs).collect())
