@@ -60,6 +60,7 @@ def sequences(docs: DataFrame, vocabulary: str, stride: int = STRIDE, doc_id: st
 
     def make(batches):
         encoder, part_id, press = word_encoder(vocabulary), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=6)
+        ahead = 0  # sequences of the task before this bundle
         for turn, part in enumerate(slices(batches, "text")):
             ids, counts = encoder.encode(part.column("text"))
             counts = counts + 1
@@ -74,28 +75,24 @@ def sequences(docs: DataFrame, vocabulary: str, stride: int = STRIDE, doc_id: st
             length = np.minimum(counts[doc] - piece * stride, stride)
             listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), x)
             yield pa.RecordBatch.from_arrays([
-                pa.array([part_id]), pa.array([turn]), pa.array([len(doc)]), listed(part.column("doc_id").take(pa.array(doc))),
+                pa.array([part_id]), pa.array([turn]), pa.array([len(doc)]), pa.array([ahead]), listed(part.column("doc_id").take(pa.array(doc))),
                 listed(pa.array(piece.astype(np.int32))), listed(pa.array(length.astype(np.int32))), pa.array([press.compress(planes(stream))], pa.binary()),
-            ], names=["part", "turn", "n", "doc_ids", "pieces", "lengths", "ids"])
+            ], names=["part", "turn", "n", "ahead", "doc_ids", "pieces", "lengths", "ids"])
+            ahead += len(doc)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return durable(rows.mapInArrow(make, "part bigint, turn bigint, n bigint, doc_ids array<bigint>, pieces array<int>, lengths array<int>, ids binary"))
+    return durable(rows.mapInArrow(make, "part bigint, turn bigint, n bigint, ahead bigint, doc_ids array<bigint>, pieces array<int>, lengths array<int>, ids binary"))
 
 
 def numbered(bundles: DataFrame) -> tuple[DataFrame, int]:
-    """Bundles with the number of their first sequence, and the number of all. One row per writing task is summed on the driver side of a window-free join."""
+    """Bundles with the number of their first sequence, and the number of all. One row per writing task reaches the driver and comes back."""
     sizes = bundles.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     ends = np.cumsum([r["n"] for r in sizes]) if sizes else np.zeros(0, np.int64)
     total = int(ends[-1]) if len(ends) else 0
     starts = [(r["part"], int(e) - r["n"]) for r, e in zip(sizes, ends.tolist())]
-    spark = bundles.sparkSession
-    before = spark.createDataFrame(starts, "part bigint, start bigint") if starts else spark.createDataFrame([], "part bigint, start bigint")
-    # turns of one task: a running sum within a group of a few numbers per 8 MB of its text
-    inner = bundles.select("part", "turn", "n").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("turn", "n"))).alias("all"))
-    inner = inner.select("part", F.posexplode("all").alias("k", "one"), "all").select(
-        "part", F.col("one.turn").alias("turn"), F.aggregate(F.slice("all", 1, F.col("k")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("ahead"))
-    place = inner.join(before, "part").select("part", "turn", (F.col("start") + F.col("ahead")).alias("first"))
-    return bundles.join(place, ["part", "turn"]), total
+    before = bundles.sparkSession.createDataFrame(starts, "part bigint, start bigint")
+    # as many rows as the bundles have writing tasks, so bundles needn't move
+    return bundles.join(F.broadcast(before), "part").withColumn("first", F.col("start") + F.col("ahead")).drop("start", "ahead"), total
 
 
 def _dealt(total: int, per_shard: int, key: int):
