@@ -19,7 +19,7 @@ from ..operators.concepts import (
 from ..operators.evidence import concept_detail, evidence_counts, repair_links
 from ..operators.extract import choose_full_text
 from ..operators.folds import insert_if_absent, upsert_rows
-from ..operators.identity import exact_matches, resolve
+from ..operators.identity import exact_matches, fuzzy_matches, resolve
 from ..operators.ranking import multi_get, ordinal, recent_per_bucket
 from ..operators.retrieval import (
     default_evidence,
@@ -146,6 +146,23 @@ def identity_fuzzy(spark, sf_dir):
     return out.withColumn("confidence", F.bround("confidence", 4))
 
 
+@query(
+    "identity_fuzzy_damaged",
+    f"""WITH {duck.WORKS}, k AS (SELECT doc_id, {duck.canonical("title")} AS tn FROM works),
+own AS (SELECT tn, min(doc_id) AS d, len(tn) AS n FROM k WHERE tn <> '' GROUP BY tn),
+s AS (SELECT doc_id AS in_id, d, 2.0::DOUBLE * n / (2 * n + 3) AS score FROM k JOIN own USING (tn))
+SELECT in_id, 'D' || d AS work_id, round_even(CASE WHEN score >= 0.95 THEN least(score, 0.99) ELSE least(score, 0.94) END, 4) AS confidence,
+  CASE WHEN score >= 0.95 THEN 'fuzzy_title_author_year' ELSE 'medium_confidence_identity' END AS reason FROM s WHERE score >= 0.8""",
+)
+def identity_fuzzy_damaged(spark, sf_dir):
+    """Titles with a word added find their work."""
+    incoming, known = _identity_sides(spark, sf_dir)
+    both = known.unionByName(incoming.withColumnRenamed("in_id", "doc_id").withColumns({"work_id": F.concat(F.lit("D"), "doc_id"), "seq": F.col("doc_id")}))
+    damaged = both.filter("title_norm <> ''").withColumn("title_norm", F.concat("title_norm", F.lit(" zz")))
+    out = fuzzy_matches(damaged.withColumnRenamed("doc_id", "in_id"), both)
+    return out.select("in_id", "work_id", F.bround("confidence", 4).alias("confidence"), "reason")
+
+
 VERSION_ID = duck.stable_id("WV", "work_id", "title_hash", "abstract_hash", "content_hash")
 VERSIONS = f"""{duck.WORKS},
 wt AS (SELECT *, {duck.canonical("title")} AS tn FROM works),
