@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import stable_id
 from ..functions.text import canonical_text, sentences, squeeze, text_hash, text_of
 from .concepts import canonical_method_name
+from .mentions import mentions
 from ..functions.vocab import FULL_TEXT_MIN_CHARS
 from ..session import durable
 from .quality import GENERIC_BASELINES
@@ -24,7 +25,9 @@ FACT_CUES = [
 FACT_FIELDS = {"work_principles": "principle", "work_insights": "insight", "work_novelty": "novelty"}
 METRIC = r"(?:top-1 accuracy|top-5 accuracy|exact match|accuracy|f1|bleu|rouge|map|latency|auc)"
 RESULT = rf"(?i)([A-Za-z][A-Za-z0-9\-]*(?: [A-Z][A-Za-z0-9\-]*)*) reports ({METRIC}) (\d+(?:\.\d+)?)\s?(%|ms)?"
-SPLIT = r"(?i)\b(base-to-novel|test|validation|dev|train|zero-shot|few-shot)\b(?: split)?"
+SPLIT = r"\b(base-to-novel|test|validation|dev|train|zero-shot|few-shot)\b(?: split)?"
+TASK = r"\b((?:image |text )?classification|(?:object )?detection|segmentation|question answering|retrieval|captioning|translation|summarization|generation)\b"
+OWN_METHOD = r"^([^:]+?)(?::| for )"
 ANCHOR_LENGTH = 6
 
 
@@ -95,31 +98,38 @@ def result_records(works: DataFrame, body: str) -> DataFrame:
     return rows.withColumn("result_id", stable_id("RR", "work_id", "method_name", "metric", "evidence_span")).dropDuplicates(["result_id"])
 
 
+def _all_of(body: str, pattern: str) -> Column:
+    """The distinct matches of a pattern in lower case, in order; one empty string where there is none."""
+    hits = F.array_distinct(F.transform(F.regexp_extract_all(text_of(body), F.lit(f"(?i){pattern}"), F.lit(1)), F.lower))
+    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("")))
+
+
 def benchmark_records(works: DataFrame, body: str, catalogue: DataFrame, origin: str = "abstract") -> DataFrame:
-    """Datasets named in a text with its metric and split; a text without a named dataset gives none.
+    """A row for every dataset that a text names, with every metric, split and task that it names.
 
-    The text itself is not kept: a span origin and its hash are.
+    Names are leftmost and longest, so a name inside a longer one is no dataset of its own. A text
+    without a named dataset gives no row. The text itself is not kept: a span origin and its hash are.
     """
-    found = catalogue_matches(works, "work_id", body, catalogue)
+    named = mentions(works, "work_id", body, catalogue).select("work_id", "name_key").distinct()
     facts = works.select(
-        "work_id",
-        F.lower(F.regexp_extract(text_of(body), f"(?i){METRIC}", 0)).alias("metric"),
-        F.lower(F.regexp_extract(text_of(body), SPLIT, 1)).alias("split"),
-        F.lit(origin).alias("span_origin"),
-        text_hash(body).alias("source_hash"),
+        "work_id", *[_all_of(body, p).alias(n) for n, p in (("metrics", f"({METRIC})"), ("splits", SPLIT), ("tasks", TASK))],
+        F.lit(origin).alias("span_origin"), text_hash(body).alias("source_hash"),
     )
-    rows = found.join(catalogue.select("name_key", F.col("official_name").alias("dataset")), "name_key").join(facts, "work_id")
-    return rows.withColumn("benchmark_id", stable_id("B", "work_id", "dataset", "split", "metric"))
+    rows = named.join(catalogue.select("name_key", F.col("official_name").alias("dataset")), "name_key").join(facts, "work_id")
+    for column, values in (("metric", "metrics"), ("split", "splits"), ("task", "tasks")):
+        rows = rows.withColumn(column, F.explode(values)).drop(values)
+    return rows.withColumn("benchmark_id", stable_id("B", "work_id", "dataset", "split", "metric", "task")).dropDuplicates(["benchmark_id"])
 
 
 def baseline_records(works: DataFrame, body: str, methods: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """Compared methods named in a text, one row per dataset of the same work.
+    """Compared methods named in a text, one row per benchmark record of the same work.
 
     The work's own proposed method (named in its title before a colon or ``for``) and
     generic names are left out.
     """
-    own = canonical_text(F.regexp_extract(text_of("title"), r"^([^:]+?)(?::| for )", 1))
-    found = catalogue_matches(works, "work_id", body, methods).join(works.select("work_id", own.alias("_own")), "work_id")
+    own = canonical_text(F.regexp_extract(text_of("title"), OWN_METHOD, 1))
+    found = mentions(works, "work_id", body, methods).select("work_id", "name_key").distinct()
+    found = found.join(works.select("work_id", own.alias("_own")), "work_id")
     kept = found.filter((F.col("name_key") != F.col("_own")) & ~F.col("name_key").isin(GENERIC_BASELINES))
     named = kept.join(methods.select("name_key", F.col("official_name").alias("baseline_name"), "code_url"), "name_key")
     rows = named.select("work_id", "baseline_name", "code_url").join(benchmarks.select("work_id", "benchmark_id", "dataset"), "work_id")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.query import enriched, hit_count, query_terms, score_from_counts
 from ..functions.text import tokenize, validation_number
 from ..functions.vocab import LONG_QUERY_TERMS, MIN_LEXICAL_LONG, MIN_LEXICAL_SHORT
+from .pruned_topk import top_by_postings
 from .ranking import first_per_key, top_per_group
-from .sides import small_side
 
 
 def counted(df: DataFrame, body: Column | str, terms: list[str]) -> DataFrame:
@@ -179,37 +179,22 @@ def reindex(index: DataFrame, changed: DataFrame, key: str, body: Column | str)
     return index.join(changed.select(key).distinct(), key, "left_anti").unionByName(postings(changed, key, body))
 
 
+def query_words(queries: DataFrame, text: Column) -> DataFrame:
+    """(query_id, token, n_terms): the distinct words of each query."""
+    words = queries.select("query_id", F.array_distinct(tokenize(text)).alias("_q")).withColumn("n_terms", F.size("_q"))
+    return words.select("query_id", F.explode("_q").alias("token"), "n_terms")
+
+
 def score_postings(index: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
     """Top ``k`` per query from the index; ``queries`` holds (query_id, query)."""
-    terms = queries.select("query_id", F.array_distinct(tokenize(enriched("query"))).alias("_q"))
-    terms = terms.withColumn("n_terms", F.size("_q")).select("query_id", "n_terms", F.explode("_q").alias("token"))
-    hits = index.join(small_side(terms), "token").groupBy("query_id", key).agg(
-        F.sum(1 + F.log(1 + F.col("tf"))).alias("_gain"),
-        F.first("doc_len").alias("doc_len"),
-        F.first("n_terms").alias("n_terms"),
-    )
-    scored = hits.withColumn("score", F.col("_gain") / F.sqrt(F.col("n_terms") + F.col("doc_len")))
-    return top_per_group(scored, ["query_id"], [stable_desc("score"), F.asc(key)], k)
+    return top_by_postings(index, query_words(queries, enriched("query")), key, k)
 
 
 def related_top_k(left: DataFrame, right: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
-    """For each left item the ``k`` right items with the best lexical score.
-
-    The score joins left's distinct tokens with the right side's index, so only
-    pairs that share a word meet; ``left`` and ``right`` hold (id, body).
-    """
-    queries = left.select(F.col("id").alias("query_id"), F.col("body").alias("query"))
+    """For each left item the ``k`` other right items with the best lexical score; ``left`` and ``right`` hold (id, body)."""
     index = postings(right.withColumnRenamed("id", "item_id"), "item_id", "body")
-    terms = queries.select("query_id", F.array_distinct(tokenize("query")).alias("_q"))
-    terms = terms.withColumn("n_terms", F.size("_q")).select("query_id", "n_terms", F.explode("_q").alias("token"))
-    hits = (
-        index.join(small_side(terms), "token")
-        .filter(F.col("query_id") != F.col("item_id"))
-        .groupBy("query_id", "item_id")
-        .agg(F.sum(1 + F.log(1 + F.col("tf"))).alias("_gain"), F.first("doc_len").alias("_d"), F.first("n_terms").alias("_n"))
-    )
-    scored = hits.withColumn("score", F.col("_gain") / F.sqrt(F.col("_n") + F.col("_d"))).filter(F.col("score") >= min_score)
-    return top_per_group(scored.select("query_id", "item_id", "score"), ["query_id"], [stable_desc("score"), F.asc("item_id")], k)
+    words = query_words(left.withColumnRenamed("id", "query_id"), F.col("body"))
+    return top_by_postings(index, words, "item_id", k, min_score, other_than_query=True)
 
 
 def latest_idea_per_title(ideas: DataFrame) -> DataFrame:

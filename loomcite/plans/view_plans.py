@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_text, sentences
 from ..operators.embeddings import register
-from ..operators.extract import FACT_CUES, benchmark_records, catalogue_matches, gap_cards, result_records, work_facts
+from ..operators.extract import FACT_CUES, METRIC, SPLIT, TASK, baseline_records, benchmark_records, catalogue_matches, gap_cards, result_records, work_facts
+from ..operators.mentions import mentions
 from ..operators.quality import (
     GENERIC_BASELINES,
     REJECT_RULES,
@@ -81,20 +82,64 @@ def catalogue_matches_query(spark, sf_dir):
     return catalogue_matches(docs, "doc_id", "text", _catalogue(spark, sf_dir))
 
 
-METRIC_SQL = "lower(regexp_extract(text, '(?i)(?:top-1 accuracy|top-5 accuracy|exact match|accuracy|f1|bleu|rouge|map|latency|auc)'))"
-SPLIT_SQL = "lower(regexp_extract(text, '(?i)\\b(base-to-novel|test|validation|dev|train|zero-shot|few-shot)\\b(?: split)?', 1))"
+def found_sql(names: str, out: str) -> str:
+    """CTEs that give ``out`` (work_id, name_key): leftmost, longest names of texts d (work_id, w) by words."""
+    return f"""{out}_n AS (SELECT name_key, len(string_split(name_key, ' ')) AS n, string_split(name_key, ' ')[1] AS head FROM {names}),
+{out}_s AS (SELECT work_id, i, max(n) AS n FROM (SELECT work_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) t JOIN {out}_n ON head = w[i]
+  WHERE array_to_string(w[i:i + n - 1], ' ') = name_key AND i + n - 1 <= len(w) GROUP BY work_id, i),
+{out}_j AS (SELECT a.work_id, a.i, a.n, min(b.i) AS j FROM {out}_s a LEFT JOIN {out}_s b ON a.work_id = b.work_id AND b.i >= a.i + a.n GROUP BY ALL),
+{out}_t AS (SELECT work_id, min(i) AS i FROM {out}_s GROUP BY work_id UNION SELECT t.work_id, j FROM {out}_t t JOIN {out}_j USING (work_id, i) WHERE j IS NOT NULL),
+{out} AS (SELECT DISTINCT work_id, array_to_string(w[i:i + n - 1], ' ') AS name_key FROM {out}_t JOIN {out}_s USING (work_id, i) JOIN d USING (work_id))"""
+
+
+def _all_sql(pattern: str) -> str:
+    hits = f"list_distinct(list_transform(regexp_extract_all(text, '(?i){pattern}', 1), lambda x: lower(x)))"
+    return f"CASE WHEN len({hits}) > 0 THEN {hits} ELSE [''] END"
+
+
+MENTIONED = f"d AS (SELECT 'D' || doc_id AS work_id, text, string_split({duck.canonical('text')}, ' ') AS w FROM documents)"
+BENCHMARKS = f"""{NAMES}, {MENTIONED}, {found_sql("names", "m")},
+facts AS (SELECT work_id, unnest(ms) AS metric, splits, tasks, source_hash FROM (SELECT work_id, {_all_sql(f"({METRIC})")} AS ms, {_all_sql(SPLIT)} AS splits, {_all_sql(TASK)} AS tasks, {duck.text_hash("text")} AS source_hash FROM d)),
+f2 AS (SELECT work_id, metric, unnest(splits) AS split, tasks, source_hash FROM facts), f3 AS (SELECT work_id, metric, split, unnest(tasks) AS task, source_hash FROM f2),
+b AS (SELECT {duck.stable_id("B", "work_id", "dataset", "split", "metric", "task")} AS benchmark_id, * FROM (SELECT work_id, name_key AS dataset, metric, split, task, source_hash FROM m JOIN f3 USING (work_id)))"""
+
+
+def _texts(spark, sf_dir):
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.select(F.concat(F.lit("D"), "doc_id").alias("work_id"), "text", F.substring_index("text", "\n", 1).alias("title"))
+
+
+@query("benchmark_extraction", f"WITH RECURSIVE {BENCHMARKS} SELECT benchmark_id, work_id, metric, split, task, source_hash FROM b")
+def benchmark_extraction(spark, sf_dir):
+    out = benchmark_records(_texts(spark, sf_dir), "text", _catalogue(spark, sf_dir))
+    return out.select("benchmark_id", "work_id", "metric", "split", "task", "source_hash")
+
+
+@query("name_mentions", f"WITH RECURSIVE {NAMES}, {MENTIONED}, {found_sql('names', 'm')} SELECT m_t.work_id, CAST(i - 1 AS BIGINT) AS start, CAST(n AS BIGINT) AS size FROM m_t JOIN m_s USING (work_id, i)")
+def name_mentions(spark, sf_dir):
+    """Where the catalogue's names lie in the texts, none inside another."""
+    return mentions(_texts(spark, sf_dir), "work_id", "text", _catalogue(spark, sf_dir)).select("work_id", "start", "size")
+
+
+METHODS = f"""methods AS (SELECT name_key, min(item_id) AS first FROM (SELECT item_id, array_to_string(list_slice(string_split({duck.canonical("text")}, ' '), 4, 5), ' ') AS name_key FROM benchmark) WHERE name_key <> '' GROUP BY name_key)"""
 
 
 @query(
-    "benchmark_extraction",
-    f"""WITH {NAMES}, d AS (SELECT 'D' || doc_id AS work_id, ' ' || {duck.canonical('text')} || ' ' AS t, {METRIC_SQL} AS metric, {SPLIT_SQL} AS split, {duck.text_hash("text")} AS source_hash FROM documents),
-m AS (SELECT work_id, name_key AS dataset, metric, split, source_hash FROM d JOIN names ON contains(t, ' ' || name_key || ' '))
-SELECT {duck.stable_id("B", "work_id", "dataset", "split", "metric")} AS benchmark_id, work_id, metric, split, source_hash FROM m""",
+    "baseline_extraction",
+    f"""WITH RECURSIVE {BENCHMARKS}, {METHODS}, {found_sql("methods", "q")},
+own AS (SELECT 'D' || doc_id AS work_id, {duck.canonical("regexp_extract(string_split(text, chr(10))[1], '^([^:]+?)(?::| for )', 1)")} AS own FROM documents)
+SELECT work_id, name_key AS baseline_name, 'code/' || first AS code_url, dataset, benchmark_id, {duck.stable_id("BL", "work_id", "benchmark_id", "name_key")} AS baseline_id
+FROM q JOIN own USING (work_id) JOIN methods USING (name_key) JOIN b USING (work_id) WHERE name_key <> own AND name_key NOT IN ({", ".join(f"'{x}'" for x in GENERIC_BASELINES)})""",
 )
-def benchmark_extraction(spark, sf_dir):
-    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text").select(F.concat(F.lit("D"), "doc_id").alias("work_id"), "text")
-    out = benchmark_records(docs, "text", _catalogue(spark, sf_dir))
-    return out.select("benchmark_id", "work_id", "metric", "split", "source_hash")
+def baseline_extraction(spark, sf_dir):
+    """Methods that a text compares with, per benchmark record of the text."""
+    works_rows = _texts(spark, sf_dir)
+    words = F.split(canonical_text("text"), " ")
+    methods = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words, 4, 2), " ").alias("name_key")).filter("name_key <> ''")
+    methods = methods.groupBy("name_key").agg(F.concat(F.lit("code/"), F.min("item_id")).alias("code_url")).withColumn("official_name", F.col("name_key"))
+    found = benchmark_records(works_rows, "text", _catalogue(spark, sf_dir))
+    out = baseline_records(works_rows, "text", methods, found)
+    return out.select("work_id", "baseline_name", "code_url", "dataset", "benchmark_id", "baseline_id")
 
 
 @query(

@@ -32,10 +32,10 @@ def test_benchmarks_baselines_results(spark):
     found = benchmark_records(works(spark), "abstract", datasets)
     rows = found.collect()
     assert {(r.work_id, r.dataset) for r in rows} == {("W1", "ImageNet"), ("W1", "ImageNet-R"), ("W1", "EuroSAT")}
-    assert all(r.metric == "top-1 accuracy" and r.split == "base-to-novel" and r.source_hash for r in rows)
+    assert all(r.metric == "top-1 accuracy" and r.source_hash for r in rows) and {r.split for r in rows} == {"base-to-novel", "zero-shot"}
     assert "abstract" not in found.columns
     base = baseline_records(works(spark), "abstract", methods, found).collect()
-    assert {r.baseline_name for r in base} == {"zero-shot CLIP", "CoOp", "Tip-Adapter"} and len(base) == 9
+    assert {r.baseline_name for r in base} == {"zero-shot CLIP", "CoOp", "Tip-Adapter"} and len(base) == 18
     results = {r.method_name: (r.metric, r.value, r.unit, r.has_code) for r in result_records(works(spark), "abstract").collect()}
     assert results == {"CoOp": ("top-1 accuracy", 74.2, "%", True), "Tip-Adapter": ("top-1 accuracy", 76.4, "%", True)}
 
