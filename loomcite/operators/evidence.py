@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
 from .folds import insert_if_absent
-from .ranking import first_per_key, top_per_group
+from .ranking import first_per_key, ordinal
 
 
 def repair_links(links: DataFrame, works: DataFrame, versions: DataFrame) -> DataFrame:
@@ -34,13 +34,18 @@ def evidence_counts(links: DataFrame) -> DataFrame:
     return links.groupBy("concept_id").agg(F.count(F.lit(1)).alias("evidence_count"))
 
 
-def concept_detail(
-    concepts: DataFrame, versions: DataFrame, links: DataFrame, symbols: DataFrame, shown_links: int = 12
-) -> DataFrame:
-    """Concept with active version (newest when none is active), newest active symbol and evidence.
+def concept_links(links: DataFrame) -> DataFrame:
+    """Every evidence link of every concept as a row of its own: concept_id, pos (from 1, by evidence id), evidence_id.
 
-    All links are counted; the first ``shown_links`` are nested and the rest stay in
-    the link table, where ``links`` pages through them.
+    A concept may have any number of links; positions come from ranges, not from a task per concept.
+    """
+    return ordinal(links.select("concept_id", "evidence_id"), ["concept_id"], ["evidence_id"], "pos")
+
+
+def concept_detail(concepts: DataFrame, versions: DataFrame, links: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Concept with active version (newest when none is active), newest active symbol and number of links.
+
+    The links themselves are the rows of ``concept_links``.
     """
     active = concepts.select("concept_id", F.col("active_version_id").alias("_active"))
     ranked = versions.join(active, "concept_id").withColumn("_is", F.col("version_id") == F.col("_active"))
@@ -51,10 +56,8 @@ def concept_detail(
     symbol = first_per_key(
         symbols.filter("status = 'active'"), ["concept_id"], [F.desc("seq"), F.desc("symbol_id")]
     ).select("concept_id", "short_code")
-    head = top_per_group(links, ["concept_id"], [F.asc("evidence_id")], shown_links)
-    nested = head.groupBy("concept_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
     out = concepts
-    for part in (picked, counts, symbol, nested, evidence_counts(links)):
+    for part in (picked, counts, symbol, evidence_counts(links)):
         out = out.join(part, "concept_id", "left")
     return out.withColumn("evidence_count", F.coalesce("evidence_count", F.lit(0).cast("bigint")))
 

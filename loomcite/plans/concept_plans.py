@@ -16,7 +16,7 @@ from ..operators.concepts import (
     presented_variant,
     typed_families,
 )
-from ..operators.evidence import concept_detail, evidence_counts, repair_links
+from ..operators.evidence import concept_detail, concept_links, evidence_counts, repair_links
 from ..operators.extract import choose_full_text
 from ..operators.folds import insert_if_absent, upsert_rows
 from ..operators.identity import exact_matches, fuzzy_matches, resolve
@@ -386,9 +386,9 @@ def evidence_links(spark, sf_dir):
 
 @query(
     "concept_detail",
-    f"""WITH {CONCEPTS}, {LINKS}, lc AS (SELECT concept_id, count(*) AS n, array_to_string(list_slice(list_sort(list(evidence_id)), 1, 12), ',') AS ids FROM links GROUP BY concept_id),
+    f"""WITH {CONCEPTS}, {LINKS}, lc AS (SELECT concept_id, count(*) AS n FROM links GROUP BY concept_id),
 vc AS (SELECT concept_id, count(DISTINCT version_id) AS n FROM concept_versions GROUP BY concept_id)
-SELECT c.concept_id, c.active_version_id AS shown_version_id, vc.n AS version_count, coalesce(lc.n, 0) AS evidence_count, coalesce(lc.ids, '') AS evidence_ids
+SELECT c.concept_id, c.active_version_id AS shown_version_id, vc.n AS version_count, coalesce(lc.n, 0) AS evidence_count
 FROM concepts c JOIN vc USING (concept_id) LEFT JOIN lc USING (concept_id)""",
 )
 def concept_detail_query(spark, sf_dir):
@@ -397,10 +397,16 @@ def concept_detail_query(spark, sf_dir):
     versions = fold_versions(events, cards).select("concept_id", "version_id", "seq", F.col("sentence").alias("summary"))
     symbols = cards.select("concept_id", F.lit("x").alias("short_code"), F.lit("none").alias("status"), F.lit(0).alias("seq"), F.lit("").alias("symbol_id"))
     detail = concept_detail(cards, versions, links(events), symbols)
-    return detail.select(
-        "concept_id", "shown_version_id", "version_count", "evidence_count",
-        F.coalesce(F.array_join("evidence_ids", ","), F.lit("")).alias("evidence_ids"),
-    )
+    return detail.select("concept_id", "shown_version_id", "version_count", "evidence_count")
+
+
+@query(
+    "concept_evidence",
+    f"WITH {CONCEPTS}, {LINKS} SELECT concept_id, evidence_id, row_number() OVER (PARTITION BY concept_id ORDER BY evidence_id) AS pos FROM links",
+)
+def concept_evidence(spark, sf_dir):
+    """Every evidence link of every concept."""
+    return concept_links(links(sentence_events(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -461,13 +467,18 @@ def retrieval_reasons_query(spark, sf_dir):
 
 @query(
     "principle_search",
-    f"""WITH {CONCEPTS}, items AS (SELECT concept_id, label AS body, confidence, {duck.level("validation_level")} AS lv FROM concepts WHERE {duck.level("validation_level")} >= 1),
+    f"""WITH {CONCEPTS}, active AS (SELECT DISTINCT ON (version_id) version_id, payload_json FROM concept_versions ORDER BY version_id, seq DESC),
+items AS (SELECT concept_id, label || ' ' || payload_json AS body, confidence, {duck.level("validation_level")} AS lv FROM concepts JOIN active ON version_id = active_version_id WHERE {duck.level("validation_level")} >= 1),
 hits AS ({duck.lexical("items", "concept_id", "body", TERMS)}),
 scored AS (SELECT concept_id, lexical, lexical + 0.15::DOUBLE * confidence + 0.04::DOUBLE * lv AS s FROM hits JOIN items USING (concept_id) WHERE lexical >= 0.2::DOUBLE)
 SELECT concept_id, round_even(s, 4) AS score, round_even(lexical, 4) AS lexical FROM scored ORDER BY round(s, 9) DESC, concept_id LIMIT 40""",
 )
 def principle_search(spark, sf_dir):
-    cards = concepts(sentence_events(spark, sf_dir)).select("concept_id", F.col("label").alias("body"), "confidence", "validation_level")
+    events = durable(sentence_events(spark, sf_dir))
+    cards = concepts(events)
+    active = fold_versions(events, cards).filter("is_active").select("concept_id", "payload_json")
+    body = F.concat_ws(" ", "label", "payload_json").alias("body")
+    cards = cards.select("concept_id", "label", "confidence", "validation_level").join(active, "concept_id").select("concept_id", body, "confidence", "validation_level")
     out = search_principles(cards, QUERY, 40, min_validation=1)
     return out.select("concept_id", F.bround("score", 4).alias("score"), F.bround("lexical", 4).alias("lexical"))
 
@@ -475,14 +486,14 @@ def principle_search(spark, sf_dir):
 @query(
     "related_ideas",
     f"""WITH {duck.WORKS}, q AS (SELECT item_id, list_distinct({duck.tokens("text")}) AS ts FROM benchmark),
-qt AS (SELECT item_id, len(ts) AS nq, unnest(ts) AS tok FROM q), dt AS (SELECT doc_id, {duck.tokens("title")} AS ts FROM works),
+qt AS (SELECT item_id, len(ts) AS nq, unnest(ts) AS tok FROM q), dt AS (SELECT doc_id, {duck.tokens("title || ' ' || abstract")} AS ts FROM works),
 idx AS (SELECT doc_id, tok, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS tok FROM dt) GROUP BY doc_id, tok),
 sc AS (SELECT 'B' || item_id AS query_id, 'D' || doc_id AS item_id, sum(1 + ln(1 + tf)) / sqrt(any_value(nq) + any_value(n)) AS s FROM idx JOIN qt USING (tok) GROUP BY ALL)
 SELECT query_id, item_id, round_even(s, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, item_id) AS INTEGER) AS rn FROM sc QUALIFY rn <= 5""",
 )
 def related_ideas_query(spark, sf_dir):
     left = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("B"), "item_id").alias("id"), F.col("text").alias("body"))
-    right = works(spark, sf_dir).select(F.concat(F.lit("D"), "doc_id").alias("id"), F.col("title").alias("body"))
+    right = works(spark, sf_dir).select(F.concat(F.lit("D"), "doc_id").alias("id"), F.concat_ws(" ", "title", "abstract").alias("body"))
     top = related_top_k(left, right, 5)
     return top.select("query_id", "item_id", F.bround("score", 4).alias("score"), "rn")
 

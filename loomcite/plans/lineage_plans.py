@@ -238,7 +238,7 @@ def duplicate_summaries(spark, sf_dir):
 
 @query(
     "idea_to_work_closure",
-    """WITH p AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), s AS (SELECT l_partkey AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1),
+    """WITH p AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), s AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
 r AS (SELECT o_orderkey AS origin, 'O' || o_orderkey AS node, 0 AS hops FROM orders
   UNION ALL SELECT o, 'P' || p, 1 FROM p JOIN orders ON o_orderkey = o UNION ALL SELECT DISTINCT o, 'S' || s, 2 FROM p JOIN orders ON o_orderkey = o JOIN s USING (p))
 SELECT * FROM r""",
@@ -248,7 +248,7 @@ def idea_to_work_closure(spark, sf_dir):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     starts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("origin"), name("O", "o_orderkey").alias("node"))
     uses = lines.select(name("O", "l_orderkey").alias("node"), name("P", "l_partkey").alias("next")).distinct()
-    source = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("s")).select(name("P", "l_partkey").alias("node"), name("S", "s").alias("next"))
+    source = lines.select(name("P", "l_partkey").alias("node"), name("S", "l_suppkey").alias("next")).distinct()
     return closure(starts, uses.unionByName(source))
 
 
@@ -328,11 +328,11 @@ def principle_relations(spark, sf_dir):
 
 @query(
     "principle_map",
-    f"""WITH {duck.WORKS}, a AS (SELECT doc_id, unnest(list_distinct({duck.tokens("title")})) AS tok FROM works),
+    f"""WITH {duck.WORKS}, a AS (SELECT doc_id, unnest(list_distinct({duck.tokens("title || ' ' || abstract")})) AS tok FROM works),
 b AS (SELECT item_id, list_distinct({duck.tokens("text")}) AS ts FROM benchmark), bt AS (SELECT item_id, len(ts) AS n, unnest(ts) AS tok FROM b)
 SELECT 'D' || doc_id AS prior_id, 'B' || item_id AS new_id, count(*) AS n_shared, count(*) / any_value(n) AS share FROM a JOIN bt USING (tok) GROUP BY doc_id, item_id HAVING count(*) / any_value(n) >= 0.2::DOUBLE""",
 )
 def principle_map_query(spark, sf_dir):
-    prior = works(spark, sf_dir).select(F.concat(F.lit("D"), "doc_id").alias("id"), F.col("title").alias("body"))
+    prior = works(spark, sf_dir).select(F.concat(F.lit("D"), "doc_id").alias("id"), F.concat_ws(" ", "title", "abstract").alias("body"))
     new = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("B"), "item_id").alias("id"), F.col("text").alias("body"))
     return principle_map(prior, new)[1].select("prior_id", "new_id", "n_shared", "share")

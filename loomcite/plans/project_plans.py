@@ -299,8 +299,8 @@ def feedback_fold(spark, sf_dir):
 
 @query(
     "feedback_principles",
-    f"""WITH {FEEDBACK}, s AS (SELECT idea % 20 AS pid, sum(CASE o WHEN 'supported' THEN 12 WHEN 'contradicted' THEN -18 ELSE -6 END) AS d, bool_or(o = 'supported') AS ok FROM f GROUP BY 1)
-SELECT pid AS principle_id, round_even(greatest(0.05::DOUBLE, least(0.99::DOUBLE, 0.5::DOUBLE + d / 100)), 4) AS confidence, CASE WHEN ok THEN 'L4' ELSE 'L1' END AS validation_level FROM s""",
+    f"""WITH {FEEDBACK}, s AS (SELECT idea % 20 AS pid, list_reduce(list(CASE o WHEN 'supported' THEN 0.12::DOUBLE WHEN 'contradicted' THEN -0.18::DOUBLE ELSE -0.06::DOUBLE END ORDER BY seq), lambda x, y: greatest(0.05::DOUBLE, least(0.99::DOUBLE, x + y)), 0.5::DOUBLE) AS c, bool_or(o = 'supported') AS ok FROM f GROUP BY 1)
+SELECT pid AS principle_id, round_even(c, 4) AS confidence, CASE WHEN ok THEN 'L4' ELSE 'L1' END AS validation_level FROM s""",
 )
 def feedback_principles(spark, sf_dir):
     rows, links = _feedback(spark, sf_dir)

@@ -177,15 +177,16 @@ def quality_gate_rejects(spark, sf_dir):
 @query(
     "grounding_gate",
     f"""WITH {duck.WORKS}, s AS (SELECT doc_id, unnest({duck.sentences("abstract")}) AS s, generate_subscripts({duck.sentences("abstract")}, 1) AS pos FROM works),
-c AS (SELECT doc_id, pos, list_distinct({duck.tokens("s")}) AS ct, list_distinct({duck.tokens("title")}) AS wt FROM s JOIN works USING (doc_id)),
+c AS (SELECT s.doc_id, pos, list_distinct({duck.tokens("s")}) AS ct, coalesce(wt, []) AS wt FROM s LEFT JOIN (SELECT doc_id - 1 AS doc_id, list_distinct({duck.tokens("title || ' ' || abstract")}) AS wt FROM works) w ON w.doc_id = s.doc_id),
 n AS (SELECT doc_id, pos, len(list_intersect(ct, wt)) AS n_shared, len(ct) AS k FROM c)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(n_shared AS INTEGER) AS n_shared, k > 0 AND n_shared / k >= 0.2::DOUBLE AND n_shared >= 2 AS grounded FROM n""",
 )
 def grounding_gate(spark, sf_dir):
     rows = works(spark, sf_dir)
     said = rows.select(F.col("doc_id").alias("work_id"), F.posexplode(sentences("abstract")).alias("pos", "sentence"))
-    titles = rows.select(F.col("doc_id").alias("work_id"), "title")
-    out = grounding(said, titles, "sentence", "title")
+    # a sentence is held against the whole text of the next document
+    texts = rows.select((F.col("doc_id") - 1).alias("work_id"), F.concat_ws(" ", "title", "abstract").alias("body"))
+    out = grounding(said, texts, "sentence", "body")
     return out.select(F.col("work_id").alias("doc_id"), (F.col("pos") + 1).alias("pos"), "n_shared", "grounded")
 
 

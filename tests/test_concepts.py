@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from loomcite.operators.concepts import canonical_method_name, fold_concepts, merge_aliases, merge_evidence_spans, merge_near_duplicates, merge_principle_lists, merge_principles, presented_variant, typed_families
 from loomcite.operators.evidence import repair_links
-from loomcite.operators.feedback import failure_modes, idea_status, principle_state
+from loomcite.operators.evidence import concept_links
+from loomcite.operators.feedback import STEPS, failure_modes, folded_steps, idea_status, principle_state, step
 from loomcite.operators.folds import insert_if_absent
 from loomcite.operators.ranking import ordinal, page, top_per_group
 from loomcite.operators.symbols import abbreviation, allocate
@@ -134,3 +135,34 @@ def test_feedback(spark):
     assert first["P"].validation_level == "L4" and first["P"].confidence > 0.4
     assert after["P"].confidence < first["P"].confidence and after["Q"].confidence == 0.4
     assert [r.value for r in failure_modes(fb, links).collect()] == ["baseline stronger"]
+
+
+def test_feedback_is_clamped_in_its_turn(spark):
+    rng = random.Random(3)
+    kinds = list(STEPS) + ["unknown"]
+    told = {f"P{k}": [rng.choice(kinds) for _ in range(n)] for k, n in enumerate([0, 1, 2, 3, 4, 30, 100])}
+    told["P7"] = ["supported"] * 6 + ["contradicted"]
+    rows = [(p, seq, o) for p, outcomes in told.items() for seq, o in enumerate(outcomes)]
+    rng.shuffle(rows)
+    fb = spark.createDataFrame(rows, "idea_id string, seq int, outcome_label string").repartition(5)
+    links = spark.createDataFrame([(p, p) for p in told] + [("P7", "P7")], "idea_id string, principle_id string")
+    cards = spark.createDataFrame([(p, 0.5, "L1") for p in told], "principle_id string, confidence double, validation_level string")
+    expected = {}
+    for p, outcomes in told.items():
+        value = 0.5
+        for o in outcomes:
+            value = min(0.99, max(0.05, value + STEPS.get(o, 0.0)))
+        expected[p] = round(value, 9)
+    assert round(expected["P7"], 2) == 0.81
+    assert {r.principle_id: round(r.confidence, 9) for r in principle_state(cards, fb, links).collect()} == expected
+    steps = fb.select(F.col("idea_id").alias("k"), "seq", step().alias("shift"), F.lit(0.05).alias("low"), F.lit(0.99).alias("high"))
+    for piece in (2, 7):
+        folded = folded_steps(steps, "k", piece).collect()
+        assert {r.k: round(min(r.high, max(r.low, 0.5 + r.shift)), 9) for r in folded} == {p: v for p, v in expected.items() if told[p]}
+
+
+def test_every_evidence_link_is_listed(spark):
+    rows = [("c1", f"e{k:03}") for k in range(40)] + [("c2", "e1")]
+    links = spark.createDataFrame(rows, "concept_id string, evidence_id string").repartition(3)
+    found = concept_links(links).collect()
+    assert sorted((r.concept_id, r.pos, r.evidence_id) for r in found) == [("c1", k + 1, f"e{k:03}") for k in range(40)] + [("c2", 1, "e1")]
