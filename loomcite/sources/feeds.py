@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ids import stable_id
 from ..functions.text import canonical_text, compact_text, inverted_index_text, peer_reviewed_venue, squeeze, strip_tags, text_of
+from ..operators.ranking import ordinal
+from ..session import durable
+
+#: Conditions that say that a feed's files can't be read; any other failure is the job's.
+UNREADABLE = r"\[((?:FAILED_READ_FILE|MALFORMED_RECORD|PATH_NOT_FOUND|UNABLE_TO_INFER_SCHEMA)[A-Z_.]*)\]"
 
 # fixed values: limits of a work row
 MAX_AUTHORS, MAX_ABSTRACT = 12, 1800
@@ -129,12 +140,35 @@ def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("_corrupt is null").drop("_corrupt"), rows.filter("_corrupt is not null").select("_corrupt")
 
 
+def read_feeds(feeds: Sequence[tuple[str, Callable[[], DataFrame]]]) -> tuple[DataFrame, DataFrame]:
+    """(rows of all feeds that can be read, with ``feed`` and ``seq``; an outcome per feed: feed, n_rows, error).
+
+    A feed is read and written before it counts, so one that fails on its path, on its schema or on a
+    later line is left out whole and named among the outcomes. ``seq`` is the exact order of arrival: feed by
+    feed, and within a feed as its files have the rows.
+    """
+    read, outcomes = [], []
+    for place, (name, load) in enumerate(feeds):
+        try:
+            rows = durable(load().withColumns({"feed": F.lit(name), "_feed": F.lit(place), "_line": F.monotonically_increasing_id()}))
+            outcomes.append((name, rows.count(), None))
+            read.append(rows)
+        except (PySparkException, Py4JJavaError) as failure:
+            found = re.search(UNREADABLE, str(failure))
+            if not found:
+                raise
+            outcomes.append((name, None, found[1]))
+    if not read:
+        raise ValueError("no feed could be read")
+    spark = read[0].sparkSession
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read).withColumn("_all", F.lit(0))
+    rows = ordinal(every, ["_all"], ["_feed", "_line"], "seq").drop("_all", "_feed", "_line")
+    return rows, spark.createDataFrame(outcomes, "feed string, n_rows bigint, error string")
+
+
 def union_feeds(*feeds: DataFrame | None) -> DataFrame:
-    """All feeds that are there, with ``seq`` fixed by feed order and work id; a missing feed is skipped."""
-    out = None
-    for place, feed in enumerate(f for f in feeds if f is not None):
-        rows = feed.withColumn("feed", F.lit(place))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    if out is None:
+    """All feeds that are there, in order, with ``feed`` and ``seq``; a missing one, or one that can't be read, is skipped."""
+    given = [(str(place), lambda f=f: f) for place, f in enumerate(f for f in feeds if f is not None)]
+    if not given:
         raise ValueError("no feed was given")
-    return out
+    return read_feeds(given)[0]

@@ -156,3 +156,22 @@ def test_finished_job_makes_way_for_the_next(spark):
     rows = [("w", "p", "1", "running", 1), ("w", "p", "1", "complete", 2), ("w", "p", "2", "queued", 3), ("w", "p", "3", "queued", 4), ("v", "p", "4", "error", 5)]
     found = {r.work_id: (r.active_run_id, r.n_requests) for r in accepted_jobs(job_runs(spark.createDataFrame(rows, schema))).collect()}
     assert found == {"w": ("2", 2), "v": (None, 0)}
+
+
+def test_principle_map_has_every_pair_that_shares_enough(spark):
+    rng = random.Random(5)
+    words = [f"w{chr(97 + k % 26)}{k}" for k in range(60)]
+    say = lambda: " ".join(["every", "other", *rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randint(0, 20))])
+    prior = [(f"p{k}", say()) for k in range(60)] + [("same", "every other"), ("none", "")]
+    new = [(f"n{k}", say()) for k in range(25)] + [("short", "every"), ("empty", "")]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, body string").repartition(3)
+    for least in (0.2, 0.5, 1.0):
+        expected = {}
+        for n, b in new:
+            mine = set(b.split())
+            for p, c in prior:
+                shared = len(mine & set(c.split()))
+                if mine and shared / len(mine) >= least:
+                    expected[p, n] = shared
+        found = {(r.prior_id, r.new_id): r.n_shared for r in principle_map(frame(prior), frame(new), least)[1].collect()}
+        assert found == expected

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcite.plans import catalog
-from loomcite.sources.feeds import CROSSREF_SCHEMA, OPENALEX_SCHEMA, atom_works, crossref_works, openalex_works, quarantine, read_atom_feed, read_json_feed, union_feeds
+from loomcite.sources.feeds import CROSSREF_SCHEMA, OPENALEX_SCHEMA, atom_works, crossref_works, openalex_works, quarantine, read_atom_feed, read_feeds, read_json_feed, union_feeds
 from loomcite.sources.importer import import_buckets, member_lists
 from loomcite.streaming.run_log import recover_stale, ROCKSDB
 from loomcite.streaming.sinks import drain
@@ -89,3 +89,16 @@ def test_queries_match_their_sql_on_small_tables(spark, name):
     sf_dir = "/root/testdata/sf0.001"
     line = compare(spark, duck_connection(sf_dir), sf_dir, name, catalog.queries()[name], catalog.oracles()[name])
     assert line.startswith("ok"), line
+
+
+def test_feeds_arrive_in_order_and_broken_ones_are_named(spark, tmp_path):
+    schema = "title string, year int"
+    for name, lines in (("a", ['{"title": "A1", "year": 1}', '{"title": "A2", "year": 2}']), ("b", ['{"title": "B1", "year": 1}', "no json"]), ("c", ['{"title": "C1", "year": 3}'])):
+        (tmp_path / f"{name}.json").write_text("\n".join(lines))
+    strict = spark.read.schema(schema).option("mode", "FAILFAST")
+    load = lambda name: (name, lambda: strict.json(str(tmp_path / f"{name}.json")))
+    rows, outcomes = read_feeds([load("c"), load("b"), load("missing"), load("a")])
+    assert [(r.seq, r.feed, r.title) for r in rows.orderBy("seq").collect()] == [(1, "c", "C1"), (2, "a", "A1"), (3, "a", "A2")]
+    assert [(r.feed, r.n_rows, r.error is None) for r in outcomes.collect()] == [("c", 1, True), ("b", None, False), ("missing", None, False), ("a", 2, True)]
+    with pytest.raises(ZeroDivisionError):
+        read_feeds([("bug", lambda: 1 // 0)])
