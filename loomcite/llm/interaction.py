@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .arrays import slices, text_bytes
 from .transducer import Pass, Spans, first_equal
 
@@ -116,4 +117,4 @@ def audited(table: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return audited(cells(judged(docs), labels))
+    return audited(durable(cells(durable(judged(docs)), labels)))
