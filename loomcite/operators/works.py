@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_signature, stable_id
 from ..functions.text import canonical_text, squeeze, venue_rank
+from ..session import durable
 from .folds import first_filled, first_value, insert_if_absent, last_filled, last_value
 from .ranking import first_per_key
 
@@ -112,3 +115,38 @@ def replace_stale(decisions: DataFrame, concept_sources: DataFrame) -> DataFrame
     """Concept links to drop: those of works that got a new version."""
     changed = decisions.filter("decision = 'new_version'").select("work_id").distinct()
     return concept_sources.join(changed, "work_id", "left_semi")
+
+
+class Replacement(NamedTuple):
+    """Tables after stale works were replaced, and the concepts that went with them."""
+
+    works: DataFrame
+    sources: DataFrame
+    concepts: DataFrame
+    symbols: DataFrame
+    relations: DataFrame
+    emptied: DataFrame
+
+
+def replaced(
+    decisions: DataFrame, incoming: DataFrame, works: DataFrame, sources: DataFrame, fresh: DataFrame,
+    concepts: DataFrame, new_concepts: DataFrame, symbols: DataFrame, relations: DataFrame,
+) -> Replacement:
+    """Replace works that have a new version, with all that rests on the old one.
+
+    ``decisions`` (work_id, decision) names the works, ``incoming`` has their new rows (the last of ``seq``
+    counts), ``sources`` (concept_id, work_id) what concepts rest on, ``fresh`` what is extracted from the
+    new versions, with ``new_concepts`` for it. A concept loses the replaced works; one that had sources and
+    has none left goes, with its symbols and with relations (source_id, target_id) from and to it.
+    """
+    changed = decisions.filter("decision = 'new_version'").select("work_id").distinct()
+    newest = first_per_key(incoming.join(changed, "work_id", "left_semi"), ["work_id"], [F.desc("seq")])
+    after = durable(sources.join(changed, "work_id", "left_anti").unionByName(fresh.select(*sources.columns)).distinct())
+    emptied = durable(replace_stale(decisions, sources).select("concept_id").distinct().join(after, "concept_id", "left_anti"))
+    kept = concepts.join(emptied, "concept_id", "left_anti")
+    added = new_concepts.join(after, "concept_id", "left_semi").join(concepts, "concept_id", "left_anti")
+    end = lambda c: emptied.select(F.col("concept_id").alias(c))
+    return Replacement(
+        works.join(newest, "work_id", "left_anti").unionByName(newest, allowMissingColumns=True), after, kept.unionByName(added, allowMissingColumns=True),
+        symbols.join(emptied, "concept_id", "left_anti"), relations.join(end("source_id"), "source_id", "left_anti").join(end("target_id"), "target_id", "left_anti"), emptied,
+    )

@@ -12,7 +12,7 @@ from ..operators.membership import project_detail
 from ..operators.quality import compact_record, passes_contract
 from ..operators.ranking import page
 from ..operators.retention import clear_records
-from ..operators.works import merge_feeds
+from ..operators.works import merge_feeds, replaced
 from ..session import checkpoint_folder
 from ..sources.feeds import read_feeds, read_json_feed
 from . import duck
@@ -161,3 +161,34 @@ def feed_arrival(spark, sf_dir):
 def feed_outcomes(spark, sf_dir):
     """Rows of each feed; null where a feed failed."""
     return read_feeds(landed_feeds(spark, sf_dir))[1].select("feed", "n_rows")
+
+
+@query(
+    "stale_cascade",
+    """WITH s AS (SELECT DISTINCT 'O' || l_orderkey AS c, l_suppkey AS w FROM lineitem), fresh AS (SELECT DISTINCT 'N' || l_orderkey AS c, l_suppkey AS w FROM lineitem WHERE l_linenumber = 2 AND l_suppkey % 3 = 0),
+after AS (SELECT * FROM s WHERE w % 3 <> 0 UNION SELECT * FROM fresh), emptied AS (SELECT DISTINCT c FROM s WHERE w % 3 = 0 AND c NOT IN (SELECT c FROM after)),
+kept AS (SELECT 'O' || o_orderkey AS c FROM orders WHERE 'O' || o_orderkey NOT IN (SELECT c FROM emptied))
+SELECT 'work' AS kind, CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'new ' ELSE '' END || s_name AS said FROM supplier
+UNION ALL SELECT 'source', c, CAST(w AS VARCHAR) FROM after UNION ALL SELECT 'concept', c, '' FROM kept UNION ALL SELECT DISTINCT 'concept', c, '' FROM fresh
+UNION ALL SELECT 'symbol', c, '' FROM kept UNION ALL SELECT 'relation', k.c, 'O' || (CAST(substr(k.c, 2) AS BIGINT) + 1) FROM kept k WHERE 'O' || (CAST(substr(k.c, 2) AS BIGINT) + 1) IN (SELECT c FROM kept)""",
+)
+def stale_cascade(spark, sf_dir):
+    """A third of the suppliers have new versions: their rows are replaced, and orders that rested on them alone go."""
+    lines, suppliers, orders = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "orders"))
+    work = suppliers.select(F.col("s_suppkey").alias("work_id"), F.col("s_name").alias("said"), F.lit(0).alias("seq"))
+    stale = F.col("work_id") % 3 == 0
+    decisions = work.select("work_id", F.when(stale, "new_version").otherwise("unchanged").alias("decision"))
+    newer = lambda seq, word: work.select("work_id", F.concat(F.lit(word), "said").alias("said"), F.lit(seq).alias("seq"))
+    rests = lambda p, rows: rows.select(F.concat(F.lit(p), "l_orderkey").alias("concept_id"), F.col("l_suppkey").alias("work_id")).distinct()
+    fresh = rests("N", lines.filter("l_linenumber = 2 and l_suppkey % 3 = 0"))
+    cards = orders.select(F.concat(F.lit("O"), "o_orderkey").alias("concept_id"))
+    near = orders.select(F.concat(F.lit("O"), "o_orderkey").alias("source_id"), F.concat(F.lit("O"), F.col("o_orderkey") + 1).alias("target_id"))
+    near = near.join(cards.select(F.col("concept_id").alias("target_id")), "target_id", "left_semi")
+    out = replaced(decisions, newer(1, "old ").unionByName(newer(2, "new ")), work, rests("O", lines), fresh, cards, fresh.select("concept_id").distinct(), cards, near)
+    rows = lambda kind, df, one, other: df.select(F.lit(kind).alias("kind"), F.col(one).cast("string").alias("id"), other.alias("said"))
+    none = F.lit("")
+    return (
+        rows("work", out.works, "work_id", F.col("said")).unionByName(rows("source", out.sources, "concept_id", F.col("work_id").cast("string")))
+        .unionByName(rows("concept", out.concepts, "concept_id", none)).unionByName(rows("symbol", out.symbols, "concept_id", none))
+        .unionByName(rows("relation", out.relations, "source_id", F.col("target_id")))
+    )
