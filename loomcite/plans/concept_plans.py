@@ -19,7 +19,7 @@ from ..operators.concepts import (
 from ..operators.evidence import concept_detail, concept_links, evidence_counts, repair_links
 from ..operators.extract import choose_full_text
 from ..operators.folds import insert_if_absent, upsert_rows
-from ..operators.identity import exact_matches, fuzzy_matches, resolve
+from ..operators.identity import exact_matches, fuzzy_matches, resolve, resolve_in_order
 from ..operators.ranking import multi_get, ordinal, recent_per_bucket
 from ..operators.retrieval import (
     default_evidence,
@@ -163,6 +163,15 @@ def identity_fuzzy_damaged(spark, sf_dir):
     return out.select("in_id", "work_id", F.bround("confidence", 4).alias("confidence"), "reason")
 
 
+@query("identity_in_batch")
+def identity_in_batch(spark, sf_dir):
+    """Works of a batch resolved one after the other, so that a new one is known to those after it."""
+    incoming, known = _identity_sides(spark, sf_dir)
+    incoming = incoming.withColumn("seq", F.col("in_id"))
+    out = resolve_in_order(incoming.drop("title_norm", "title_hash"), known.drop("title_norm", "title_hash"))
+    return out.withColumn("confidence", F.bround("confidence", 4)).select("in_id", "work_id", "confidence", "status", "reason")
+
+
 VERSION_ID = duck.stable_id("WV", "work_id", "title_hash", "abstract_hash", "content_hash")
 VERSIONS = f"""{duck.WORKS},
 wt AS (SELECT *, {duck.canonical("title")} AS tn FROM works),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcite.operators import similar_titles
-from loomcite.operators.identity import exact_matches, fuzzy_matches, resolve
+from loomcite.operators.identity import exact_matches, fuzzy_matches, resolve, resolve_in_order
 from loomcite.operators.works import append_versions, latest_versions, merge_feed_urls, merge_feeds, refresh_plan, version_decisions, versions_of
 from loomcite.plans.standins import works as document_works
 from loomcite.functions.text import canonical_text
@@ -151,3 +151,48 @@ def test_works_without_id_and_title_stay_apart(spark):
     rows = [("a", "", "", "", "http://a", 2020, ["X"]), ("b", "", "", "", "http://b", 2021, ["Y"]), ("c", "数据", "", "", "http://c", None, [])]
     found = resolve(spark.createDataFrame(rows, schema), known).collect()
     assert len({r.work_id for r in found}) == 3 and {r.status for r in found} == {"new"}
+
+
+def _loop(incoming, known):
+    """One work after the other against all that is known by then."""
+    held = [(w, doi, title, year, authors) for w, doi, title, year, authors in known]
+    out = {}
+    for in_id, doi, title, year, authors in incoming:
+        hit = next((h for h in held if (doi and h[1] == doi) or h[2] == title), None)
+        if hit:
+            out[in_id] = (hit[0], "doi_exact" if doi and hit[1] == doi else "title_hash")
+            continue
+        best = _brute_best([("x", title, year, authors)], [(h[0], *h[2:]) for h in held]).get("x")
+        if best:
+            out[in_id] = (best[0], "fuzzy_title_author_year" if best[1] >= 0.95 else "medium_confidence_identity")
+        else:
+            out[in_id] = ("new " + in_id, "no_existing_identity")
+            held.append(("new " + in_id, doi, title, year, authors))
+    return out
+
+
+def test_a_batch_is_resolved_as_if_one_by_one(spark):
+    rng = random.Random(9)
+    base = ["sparse view prompt routing with gates", "depth priors for camera pose recovery", "a study of licence scanners at scale", "ordered feedback in open systems"]
+
+    def near(t):
+        w = t.split()
+        w[rng.randrange(len(w))] = rng.choice(["alpha", "gate", "x", "systems"])
+        return " ".join(w)
+
+    # chains: each title is near the one before, and the third needn't be near the first
+    titles = list(base)
+    for _ in range(26):
+        titles.append(near(rng.choice(titles[-8:] + base)))
+    incoming = [(f"i{k:02}", rng.choice(["", "", "", "d1", "d2", "d3"]), t, rng.choice([None, 2020]), rng.sample(["Ann", "Bo", "Cy"], rng.randrange(3))) for k, t in enumerate(titles)]
+    known = [("W1", "d1", base[0] + " again", 2020, []), ("W2", "", "nothing like the others", None, ["Ann"])]
+    schema = "doi string, title string, year int, authors array<string>"
+    kn = spark.createDataFrame([(*w, k, "") for k, w in enumerate(known)], f"work_id string, {schema}, seq int, arxiv_id string")
+    rows = [(*w, k, "") for k, w in enumerate(incoming)]
+    rng.shuffle(rows)
+    inc = spark.createDataFrame(rows, f"in_id string, {schema}, seq int, arxiv_id string").repartition(3)
+    found = resolve_in_order(inc, kn).collect()
+    leader = {r.work_id: "new " + r.in_id for r in found if r.status == "new"}
+    assert len(found) == len(incoming)
+    assert {r.in_id: (leader.get(r.work_id, r.work_id), r.reason) for r in found} == _loop(incoming, known)
+    assert len({r.reason for r in found}) >= 4
