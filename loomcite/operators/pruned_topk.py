@@ -19,7 +19,7 @@ from ..session import durable
 from .ranking import top_per_group
 
 #: Best postings of a word, and documents per query, that the first pass looks at, for each row asked for.
-CHAMPIONS, SEEDS = 4, 2
+CHAMPIONS, SEEDS = 4, 8
 #: Scores are compared after rounding to nine places.
 NOISE = 1e-8
 
