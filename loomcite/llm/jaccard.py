@@ -9,8 +9,8 @@ differ in, so two linked sets have an equal chunk (pigeonhole). Sets with an equ
 bucket and are verified by their runs. Nothing but equal chunks brings two sets together, and no
 bucket is dropped or cut.
 
-Equal sets are one node. Nodes of a bucket first meet its first node. What is still in several
-classes then meets in pairs if the bucket has at most ``PAIRED`` nodes. The nodes of a larger bucket are
+Equal sets are one node. The nodes of a bucket meet in pairs if it has at most ``PAIRED``; a pair whose
+compact sketches differ in more bits than linked sets can is dropped where it is met. The nodes of a larger bucket are
 compared through a base set V, the runs that most of some of its nodes have: with D(i) the runs
 in which i and V differ and slack s(i) = |A(i)| - 19 |D(i)|, i and j link if and only if s(i) +
 s(j) + 38 |D(i) & D(j)| >= 0. So a node without a run of D in common with another can link with
@@ -42,7 +42,11 @@ RUN = 3
 #: Links need LEAST[0] / LEAST[1] of the union in common.
 LEAST = (9, 10)
 NEAR, FAR = LEAST[1] - LEAST[0], LEAST[1] + LEAST[0]
-PAIRED = 32
+PAIRED = 64
+#: A set's compact sketch has at least so many bits for each 32 of its runs, and twice as many at most.
+SKETCH_BITS = 64
+#: Ids that are broadcast to pick rows; of more, both sides are shuffled.
+BROADCAST_IDS = 1 << 20
 #: Nodes whose majority is the base set of a bucket; any set is right, a good one makes buckets smaller.
 ASKED = 65
 
@@ -96,6 +100,47 @@ def bucket_keys(first: np.ndarray, runs: np.ndarray) -> list[pa.Array]:
     return out
 
 
+def compact_sketches(first: np.ndarray, runs: np.ndarray) -> list[bytes]:
+    """The parity sketch of each text in a power of two of 64-bit words, so that a longer one folds onto a shorter."""
+    size = np.diff(first)
+    words = 1 << np.ceil(np.log2(np.maximum(size / 32, 1))).astype(np.int64)
+    base = np.r_[0, np.cumsum(words)]
+    doc = np.repeat(np.arange(len(size)), size)
+    bit = (runs >> U(8)) & (words[doc] * SKETCH_BITS - 1).astype(np.uint64)
+    flat = np.zeros(base[-1], dtype="<u8")
+    np.bitwise_xor.at(flat, base[doc] + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    return [flat[a:b].tobytes() for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
+
+
+def differing_bits(sketches: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The bits in which the sketches i and j differ, the longer one folded; no more than the runs in which the sets differ."""
+    words = np.array([len(x) // 8 for x in sketches], dtype=np.int64)
+    rows = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
+    held = {w: np.frombuffer(b"".join([sketches[k] for k in at.tolist()]), "<u8").reshape(-1, w) for w, at in rows.items()}
+    out, common = np.zeros(len(i), dtype=np.int64), np.minimum(words[i], words[j])
+    for w in np.unique(common).tolist():
+        place, parts = np.zeros(len(words), dtype=np.int64), []
+        for longer, at in rows.items():
+            if longer >= w:
+                place[at] = sum(map(len, parts)) + np.arange(len(at))
+                parts.append(np.bitwise_xor.reduce(held[longer].reshape(len(at), longer // w, w), axis=1))
+        folded = np.concatenate(parts)
+        which = np.flatnonzero(common == w)
+        step = max(1, (1 << 20) // w)
+        for k in range(0, len(which), step):
+            some = which[k : k + step]
+            out[some] = np.bitwise_count(folded[place[i[some]]] ^ folded[place[j[some]]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def may_link(size: np.ndarray, sketches: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs have sizes and sketches of linked sets."""
+    out = LEAST[0] * np.maximum(size[i], size[j]) <= LEAST[1] * np.minimum(size[i], size[j])
+    some = np.flatnonzero(out)
+    out[some] = FAR * differing_bits(sketches, i[some], j[some]) <= NEAR * (size[i[some]] + size[j[some]])
+    return out
+
+
 def _runs(row) -> tuple[np.ndarray, np.ndarray]:
     first, runs, _ = word_runs(Words(*block_text(row["sizes"], row["body"])), RUN)
     return first, runs
@@ -114,12 +159,12 @@ def _sign(batches):
                     name[some] = np.add.reduceat(mix(runs * ODD[seed]), first[:-1][some])
                 names.append(pa.array(mix(name + size.astype(np.uint64)).view(np.int64), mask=~some))
             yield pa.RecordBatch.from_arrays(
-                [pa.array((row["block"] << 16) + np.arange(len(size))), pa.array(row["ids"], pa.int64()), pa.array(size), *names, *bucket_keys(first, runs)],
-                names=["uid", "doc_id", "size", "one", "two", "keys", "below"],
+                [pa.array((row["block"] << 16) + np.arange(len(size))), pa.array(row["ids"], pa.int64()), pa.array(size), *names, pa.array(compact_sketches(first, runs), pa.binary()), *bucket_keys(first, runs)],
+                names=["uid", "doc_id", "n", "one", "two", "sketch", "keys", "below"],
             )
 
 
-SIGNED = "uid bigint, doc_id bigint, size bigint, one bigint, two bigint, keys array<bigint>, below array<bigint>"
+SIGNED = "uid bigint, doc_id bigint, n bigint, one bigint, two bigint, sketch binary, keys array<bigint>, below array<bigint>"
 
 
 def _sets(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -152,10 +197,30 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).take(kept) for c in ("a", "b")], names=["a", "b"])
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of uids whose sets link, written."""
+def _likely(batches):
+    for batch in batches:
+        n = batch.num_rows
+        size = np.concatenate([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()])
+        kept = may_link(size, batch.column("sketch_a").to_pylist() + batch.column("sketch_b").to_pylist(), np.arange(n), n + np.arange(n))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(kept)) for c in ("a", "b")], names=["a", "b"])
+
+
+def _chosen(rows: DataFrame, uids: DataFrame) -> DataFrame:
+    """The rows of the given uids; few of them are sent to where the rows are."""
+    uids = durable(uids.distinct())
+    return rows.join(F.broadcast(uids) if uids.count() <= BROADCAST_IDS else uids, "uid", "left_semi")
+
+
+def links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of uids whose sets link, written. Pairs go by their sketches first; only the runs of those that are left travel."""
+    side = lambda s: sketches.select(F.col("uid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    return verified(durable(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_likely, "a bigint, b bigint")), sets)
+
+
+def verified(likely: DataFrame, sets: DataFrame) -> DataFrame:
+    sets = durable(_chosen(sets, likely.select(F.col("a").alias("uid")).unionByName(likely.select(F.col("b").alias("uid")))))
     side = lambda s: sets.select(F.col("uid").alias(s), F.col("runs").alias(f"runs_{s}"))
-    return durable(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verify, "a bigint, b bigint"))
+    return durable(likely.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verify, "a bigint, b bigint"))
 
 
 def _majority(key: tuple, table: pa.Table) -> pa.Table:
@@ -204,16 +269,49 @@ def _open(seats: DataFrame, classes: DataFrame) -> DataFrame:
     return durable(rows.filter("low < high").select("bucket", "uid", "size", "centre", "top"))
 
 
-def _paired(seats: DataFrame) -> DataFrame:
-    one = seats.filter(F.col("size") <= PAIRED).select("bucket", F.col("uid").alias("a"), F.col("top").alias("top_a"))
-    two = seats.filter(F.col("size") <= PAIRED).select("bucket", F.col("uid").alias("b"), F.col("top").alias("top_b"))
-    return one.join(two, "bucket").filter((F.col("a") < F.col("b")) & (F.col("top_a") != F.col("top_b"))).select("a", "b").distinct()
+def _pairs_of(rows: pa.Table) -> pa.RecordBatch:
+    """Pairs of whole buckets, in order, that are in different classes and may link."""
+    column = lambda c: rows.column(c).to_numpy()
+    bucket, uid, top, size, sketches = column("bucket"), column("uid"), column("top"), column("n"), rows.column("sketch").to_pylist()
+    a, b = [], []
+    for apart in range(1, len(uid)):
+        i = np.flatnonzero(bucket[:-apart] == bucket[apart:])
+        if not len(i):
+            break
+        i = i[top[i] != top[i + apart]]
+        i = i[may_link(size, sketches, i, i + apart)]
+        a.append(uid[i])
+        b.append(uid[i + apart])
+    flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+    return pa.RecordBatch.from_arrays([flat(a), flat(b)], names=["a", "b"])
+
+
+def _pairs_in_order(batches):
+    """Buckets come one after the other; the last one of a batch may go on in the next."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        bucket = rows.column("bucket").to_numpy()
+        cut = int(np.searchsorted(bucket, bucket[-1], "left")) if len(bucket) else 0
+        if cut:
+            yield _pairs_of(rows.slice(0, cut).combine_chunks())
+        rest = rows.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield _pairs_of(rest.combine_chunks())
+
+
+def _paired(seats: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes in the small buckets that their sketches allow; others never become rows."""
+    small = seats.filter(F.col("size") <= PAIRED).join(sketches.select("uid", "n", "sketch"), "uid").select("bucket", "uid", "top", "n", "sketch")
+    return small.repartition("bucket").sortWithinPartitions("bucket", "uid").mapInArrow(_pairs_in_order, "a bigint, b bigint").distinct()
 
 
 def _through_base(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs of every node with its bucket's node of greatest slack, members of the next buckets) for large buckets."""
     by_hash = Window.partitionBy("bucket").orderBy(F.xxhash64("uid"), "uid")
     asked = members.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= ASKED).select("bucket", "uid")
+    sets = durable(_chosen(sets, members.select("uid")))
     base = durable(asked.join(sets, "uid").select("bucket", "runs").groupBy("bucket").applyInArrow(_majority, "bucket bigint, base binary"))
     compared = members.join(sets, "uid").join(base, "bucket").select("bucket", "base", "uid", "runs")
     against = durable(compared.mapInArrow(_against_base, "bucket bigint, uid bigint, slack bigint, keys array<bigint>"))
@@ -230,27 +328,25 @@ def _merged(seats: DataFrame) -> DataFrame:
 
 
 def linked(nodes: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
-    """Links that span the components of the nodes (uid, keys, below), and (uid, top) of their components.
+    """Links that span the components of the nodes (uid, n, sketch, keys, below), and (uid, top) of their components.
 
     ``sets_of(uids)`` gives the runs of nodes.
     """
     seats = seated(nodes.select(F.explode(F.concat("keys", "below")).alias("bucket"), "uid"))
-    sets = sets_of(seats.select("uid").distinct())
-    first = seats.groupBy("uid").agg(F.min("centre").alias("a")).filter("uid <> a").select("a", F.col("uid").alias("b"))
-    found = links(durable(first), sets)
-    tried = first
+    uids = durable(seats.select("uid").distinct())
+    sets, sketches = sets_of(uids), durable(_chosen(nodes.select("uid", "n", "sketch"), uids))
+    found = sets.sparkSession.createDataFrame([], "a bigint, b bigint")
+    seats = seats.withColumn("top", F.col("uid"))
     grouped = F.col("centre")  # buckets of one centre hold about the same nodes
     while True:
-        classes = components(found)
-        seats = _open(seats, classes)
-        pairs = durable(_paired(seats).join(tried, ["a", "b"], "left_anti"))
+        pairs = durable(_paired(seats, sketches))
         large = durable(seats.filter(F.col("size") > PAIRED).select(grouped.alias("bucket"), "uid").distinct())
-        found = durable(found.unionByName(links(pairs, sets)))
+        found = durable(found.unionByName(verified(pairs, sets)))
         if large.isEmpty():
             return found, components(found)
         starred, members = _through_base(large, sets)
-        found = durable(found.unionByName(links(durable(starred), sets)))
-        seats = _merged(seated(members))
+        found = durable(found.unionByName(links(durable(starred), sketches, sets)))
+        seats = _open(_merged(seated(members)), components(found))
         grouped = F.col("bucket")
 
 
@@ -259,7 +355,7 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     blocks = text_blocks(docs, None, doc_id, text).select("block", "ids", "sizes", "body")
     signs = durable(blocks.mapInArrow(_sign, SIGNED))
     nodes = durable(signs.filter("one is not null").groupBy("one", "two").agg(F.min("uid").alias("uid")))
-    keyed = signs.select("uid", "keys", "below").filter(F.size("keys") + F.size("below") > 0).join(nodes.select("uid"), "uid", "left_semi")
+    keyed = signs.select("uid", "n", "sketch", "keys", "below").filter(F.size("keys") + F.size("below") > 0).join(nodes.select("uid"), "uid", "left_semi")
 
     def sets_of(uids: DataFrame) -> DataFrame:
         wanted = uids.withColumn("block", F.shiftright("uid", 16)).groupBy("block")
@@ -271,5 +367,5 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     least = signs.filter("one is not null").groupBy("one", "two").agg(F.min("doc_id").alias("least")).join(named, ["one", "two"])
     tops = least.groupBy("top").agg(F.min("least").alias("component_id"))
     about = durable(least.select("one", "two", "top").join(tops, "top").select("one", "two", "component_id"))
-    rows = signs.select("doc_id", F.col("size").alias("n_shingles"), "one", "two").join(about, ["one", "two"], "left")
+    rows = signs.select("doc_id", F.col("n").alias("n_shingles"), "one", "two").join(about, ["one", "two"], "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("one").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -55,7 +55,7 @@ def test_join_of_odd_texts(spark, odd_texts):
     assert run(spark, odd_texts) == brute(odd_texts)
 
 
-@pytest.mark.parametrize("paired", [2, 5, 32])
+@pytest.mark.parametrize("paired", [3, 64])
 def test_groups_of_variants_with_and_without_their_base(spark, monkeypatch, paired):
     """Large buckets of which few nodes link: variants of an absent base, of present ones, and chains of edits."""
     monkeypatch.setattr(jaccard, "PAIRED", paired)
@@ -108,3 +108,15 @@ def test_bands_and_differences_hold_all_linked_sizes():
 
 def test_join_of_an_empty_table(spark, no_docs):
     assert jaccard.joined(no_docs).count() == 0
+
+
+def test_compact_sketches_fold_and_never_differ_more_than_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in (1, 20, 33, 60, 70, 500, 520)]
+    sets += [np.sort(np.concatenate([s[: -len(s) // 5 or None], np.unique(rng.integers(0, 2**63, 9).astype(np.uint64))])) for s in sets] + [np.zeros(0, np.uint64)]
+    first = np.r_[0, np.cumsum([len(s) for s in sets])]
+    sketches = jaccard.compact_sketches(first, np.concatenate(sets))
+    i, j = np.triu_indices(len(sets), 1)
+    differ = jaccard.differing_bits(sketches, i, j)
+    assert all(d <= len(np.setxor1d(sets[a], sets[b])) for a, b, d in zip(i.tolist(), j.tolist(), differ.tolist()))
+    assert (jaccard.differing_bits(sketches, i, i) == 0).all() and differ.max() > 100
