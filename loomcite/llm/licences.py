@@ -91,11 +91,17 @@ def _words(body: str) -> Column:
 STEP = max(len(re.split(BETWEEN, b.lower().strip(EDGES))) for bodies in TEMPLATES.values() for b in bodies)
 
 
-def with_windows(rows: DataFrame) -> DataFrame:
-    """``rows`` once for each window of ``body``, with window (0, 1, ..) and f (see ``with_features``); any STEP words in a row are in one window."""
-    rows = rows.withColumn("f", F.transform(_words("body"), lambda w: F.xxhash64(w)))
+def with_windows(rows: DataFrame, known: list[int]) -> DataFrame:
+    """``rows`` once for each window of ``body``, with window (0, 1, ..) and f (see ``with_features``); any STEP words in a row are in one window.
+
+    Only bodies with a pair of words among the features ``known``: each of their triples begins with one of their pairs.
+    """
+    # a generator, so that the filter below reads the array instead of making it again
+    rows = rows.withColumn("f", F.explode_outer(F.array(F.transform(_words("body"), lambda w: F.xxhash64(w)))))
+    rows = rows.filter(F.arrays_overlap(F.zip_with("f", _later(1), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), F.lit(known)))
     last = F.greatest(F.lit(0), F.ceil((F.size("f") - 2 * STEP) / STEP).cast("int"))
-    rows = rows.withColumn("window", F.explode(F.sequence(F.lit(0), last)))
+    # here and below the outer form, as of a plain explode Spark infers a filter on the array and puts it below the steps that make the array
+    rows = rows.withColumn("window", F.explode_outer(F.sequence(F.lit(0), last)))
     return _paired(rows.withColumn("f", F.slice("f", F.col("window") * STEP + 1, F.lit(2 * STEP))))
 
 
@@ -104,9 +110,15 @@ def with_features(rows: DataFrame) -> DataFrame:
     return _paired(rows.withColumn("f", F.transform(_words("body"), lambda w: F.xxhash64(w))))
 
 
+def _later(by: int) -> Column:
+    """The words of ``f`` from the ``by``-th after the first on."""
+    return F.slice("f", by + 1, F.greatest(F.size("f") - by, F.lit(0)))
+
+
 def _paired(rows: DataFrame) -> DataFrame:
-    pairs = F.transform("f", lambda w, i: F.when(F.get("f", i + 1).isNotNull(), F.xxhash64(w, F.get("f", i + 1))))
-    triples = F.transform("f", lambda w, i: F.when(F.get("f", i + 2).isNotNull(), F.xxhash64(w, F.get("f", i + 1), F.get("f", i + 2))))
+    twos = F.zip_with("f", _later(1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.transform(twos, lambda x: F.when(x["b"].isNotNull(), F.xxhash64(x["a"], x["b"])))
+    triples = F.zip_with(twos, _later(2), lambda x, c: F.when(c.isNotNull(), F.xxhash64(x["a"], x["b"], c)))
     return rows.withColumn("f", F.array_distinct(F.array_compact(F.concat(pairs, triples))))
 
 
@@ -119,7 +131,7 @@ def vocabulary(spark: SparkSession) -> DataFrame:
     """h, place (0, 1, ..), templates (those that have it), written: some hundred rows, fixed by TEMPLATES."""
     from pyspark.sql import Window
 
-    rows = with_features(_templates(spark)).select("template", F.explode("f").alias("h"))
+    rows = with_features(_templates(spark)).select("template", F.explode_outer("f").alias("h")).filter("h is not null")
     rows = rows.groupBy("h").agg(F.array_sort(F.collect_set("template")).alias("templates"))
     return durable(rows.select("h", (F.row_number().over(Window.orderBy("h")) - 1).alias("place"), "templates").coalesce(1))
 
@@ -141,7 +153,7 @@ def negatives(docs: DataFrame, known: DataFrame, most: int = NEGATIVES) -> DataF
     # copies are put together by their hashes, so that no text is shuffled
     last = rows.select("hash").distinct().orderBy("hash").limit(most).agg(F.max("hash")).first()[0]
     kept = durable(rows.filter(F.col("hash") <= F.lit(last).cast("bigint")).select("body").distinct())
-    met = with_features(kept).select("body", F.explode("f").alias("h")).join(F.broadcast(known.select("h")), "h").groupBy("body").count().filter(F.col("count") > 2)
+    met = with_features(kept).select("body", F.explode_outer("f").alias("h")).join(F.broadcast(known.select("h")), "h").groupBy("body").count().filter(F.col("count") > 2)
     rows = kept.join(met.select("body"), "body", "left_anti")
     return rows.unionByName(spark.createDataFrame([(b,) for b in LOOKALIKES], "body string")).select(F.lit(0).alias("family"), "body")
 
@@ -177,7 +189,7 @@ def fit_licences(docs: DataFrame, known: DataFrame) -> LicenceModel:
     rows = _spans(spark).unionByName(negatives(docs, known))
     rows = rows.select("family", "body", (F.pmod(F.xxhash64("body"), F.lit(4)) == 0).alias("apart")).distinct()
     rows = durable(with_features(rows))
-    places = rows.select("body", F.explode("f").alias("h")).join(F.broadcast(known.select("h", "place")), "h").groupBy("body").agg(F.collect_set("place").alias("places"))
+    places = rows.select("body", F.explode_outer("f").alias("h")).join(F.broadcast(known.select("h", "place")), "h").groupBy("body").agg(F.collect_set("place").alias("places"))
     x = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.array_contains(F.coalesce("places", F.array().cast("array<int>")), k).cast("double"))
     rows = durable(rows.join(places, "body", "left").select(F.col("family").cast("double").alias("label"), "body", "apart", "f", x.alias("x")).coalesce(2))
     fitted = LogisticRegression(family="multinomial", regParam=2e-4, maxIter=60, featuresCol="features").fit(rows.filter(~F.col("apart")).select("label", array_to_vector("x").alias("features")))
@@ -206,7 +218,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     templates = _template_sizes(docs.sparkSession)
     lines = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
     lines = lines.filter(F.btrim("body") != "")
-    met = with_windows(lines).select("uid", "doc_id", "paragraph", "window", F.size("f").alias("n"), F.explode("f").alias("h")).join(weights, "h")
+    met = with_windows(lines, [r[0] for r in known.select("h").collect()]).select("uid", "doc_id", "paragraph", "window", F.size("f").alias("n"), F.explode_outer("f").alias("h")).join(weights, "h")
     common = [F.count_if(F.array_contains("templates", F.lit(k))).alias(f"t{k}") for k, _, _ in templates]
     sums = met.groupBy("uid", "paragraph", "window").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), *_class_sums(), *common)
     alike = F.array(*[F.struct(F.lit(family).alias("family"), (F.col(f"t{k}") / F.least((F.col("n") + size) / 2, F.lit(float(size)))).alias("s"), F.lit(k).alias("k")) for k, family, size in templates])
