@@ -2,8 +2,10 @@
 
 Each rule looks at one statistic of a text and votes for good, votes for bad, or abstains. A
 latent-class model (is the text good?) explains the votes: expectation and maximisation
-estimates how often each rule votes either way on good and on bad texts, that is its accuracy, and a text is kept if the
-posterior probability that it is good is at least a half. Two base limits stay hard. All of it
+estimates how often each rule's votes are right on good and on bad texts, and a text is kept if the
+posterior probability that it is good is at least a half. Statistics that see the same thing (repeated lines,
+repeated windows, few distinct words) cast one vote together. If only one rule ever votes bad, votes alone can't
+tell how many texts are bad; the classes then stay where the start puts them. Two base limits stay hard. All of it
 is column expressions and aggregates; only the model's few parameters reach the driver.
 
 Rules for odd rows: null and empty texts have no word and fail the base limits; repeated rows
@@ -27,7 +29,8 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 KEEP_FROM = 0.5
 ROUNDS = 40
-LEAST_ODDS = 50
+START_ODDS = 20
+PRIOR_VOTES = 0.5
 CAPITALS = "[A-ZÀ-ÖØ-Þ]"
 
 
@@ -84,67 +87,68 @@ def rule_votes() -> dict[str, Column]:
         v = F.when(bad(value), -1).when(good(value), 1).otherwise(0)
         return v if speaks is None else F.when(speaks, v).otherwise(0)
 
+    repetition = [
+        vote(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), lambda v: v == 0, lambda v: v > 0.5, F.col("n_lines") >= 3),
+        vote(F.col("n_repeat_words") / n, lambda v: v <= 0.02, lambda v: v > MOST_REPEATED / 100, F.col("n_words") >= WINDOW),
+        vote(F.col("n_distinct") / n, lambda v: v >= 0.4, lambda v: v < 0.15, F.col("n_words") >= LEAST_WORDS),
+    ]
     return {
         "length": vote(F.col("n_words"), lambda v: v >= 40, lambda v: v < LEAST_WORDS),
         "word_length": vote(chars / n, lambda v: v.between(3, 9), lambda v: (v < 2) | (v > 14)),
         "symbols": vote(F.col("n_symbols") / n, lambda v: v <= 0.01, lambda v: v > 0.1),
-        "duplicate_lines": vote(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), lambda v: v == 0, lambda v: v > 0.5, F.col("n_lines") >= 3),
-        "repeated_words": vote(F.col("n_repeat_words") / n, lambda v: v <= 0.02, lambda v: v > MOST_REPEATED / 100, F.col("n_words") >= WINDOW),
         "capitals": vote(F.col("n_capitals") / chars, lambda v: v <= 0.1, lambda v: v > 0.25),
         "exclaims": vote(F.col("n_exclaims") / n, lambda v: v <= 0.02, lambda v: v > 0.2),
         "digits": vote(F.col("n_digits") / chars, lambda v: v <= 0.05, lambda v: v > 0.25),
-        "distinct_words": vote(F.col("n_distinct") / n, lambda v: v >= 0.4, lambda v: v < 0.15, F.col("n_words") >= LEAST_WORDS),
+        "repetition": F.when(F.least(*repetition) == -1, -1).otherwise(F.greatest(*repetition)),
     }
 
 
 class RuleModel:
-    """Share of good texts, and how often each rule votes good, votes bad or abstains on good and on bad ones."""
+    """Share of good texts, and each rule's share of good votes among its votes on good and on bad ones.
 
-    def __init__(self, names: list[str], good: float = 0.7):
-        self.names, self.good = names, good
-        # (good votes, bad votes) on good texts and on bad ones: a bad vote tells much, a good one little
-        self.rates = {n: ((0.8, 0.02), (0.75, 0.3)) for n in names}
+    An abstention tells nothing about a text, so only votes count. A rule's two shares lean
+    weakly (``PRIOR_VOTES``) on its share of good votes over all texts: what the votes don't tell
+    apart stays equal in both classes and has no say. Which class is the good one is fixed by the start
+    alone, where a bad vote is ``START_ODDS`` times as frequent on bad texts; no later round is bounded.
+    """
+
+    def __init__(self, names: list[str], overall: dict[str, float], good: float = 0.7):
+        self.names, self.good, self.overall = names, good, overall
+        self.rates = {}
+        for n in names:
+            on_bad = 1 - min(START_ODDS * (1 - overall[n]) / 2, 0.9)
+            self.rates[n] = (1 - (1 - on_bad) / START_ODDS, on_bad)
 
     def posterior(self) -> Column:
-        """Probability of good given the votes in columns named like the rules; an abstention tells nothing."""
+        """Probability of good given the votes in columns named like the rules."""
         odds = F.lit(math.log(self.good / (1 - self.good)))
         for name in self.names:
-            (up, down), (bad_up, bad_down) = self.rates[name]
-            odds = odds + F.when(F.col(name) == 1, math.log(up / bad_up)).when(F.col(name) == -1, math.log(down / bad_down)).otherwise(0.0)
+            up, bad_up = self.rates[name]
+            odds = odds + F.when(F.col(name) == 1, math.log(up / bad_up)).when(F.col(name) == -1, math.log((1 - up) / (1 - bad_up))).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
     def accuracies(self) -> dict[str, tuple[float, float]]:
-        """How probable a text is good after a rule's good vote, and bad after its bad vote."""
-        share = lambda x, y: x / (x + y)
-        return {n: (share(self.good * g[0], (1 - self.good) * b[0]), share((1 - self.good) * b[1], self.good * g[1])) for n, (g, b) in self.rates.items()}
+        """How often a rule's vote is right on good texts, and on bad ones."""
+        return {n: (up, 1 - bad_up) for n, (up, bad_up) in self.rates.items()}
 
     def refit(self, patterns: DataFrame) -> float:
         """One round over the table of vote patterns; the largest change of a parameter."""
         p, n = F.col("_p"), F.col("_n")
-        votes = {(name, v): F.when(F.col(name) == v, n).otherwise(0) for name in self.names for v in (1, -1)}
         sums = [F.sum(n * p).alias("good"), F.sum(n).alias("all")]
-        for (name, v), hit in votes.items():
-            sums += [F.sum(hit * p).alias(f"{name}_{v}_g"), F.sum(hit * (1 - p)).alias(f"{name}_{v}_b")]
+        for name in self.names:
+            for v in (1, -1):
+                hit = F.when(F.col(name) == v, n).otherwise(0)
+                sums += [F.sum(hit * p).alias(f"{name}_{v}_g"), F.sum(hit * (1 - p)).alias(f"{name}_{v}_b")]
         s = patterns.withColumn("_p", self.posterior()).agg(*sums).first()
         if not s["all"]:
             return 0.0
-        good = min(max((s["good"] + 1) / (s["all"] + 2), 0.001), 0.999)
+        good = (s["good"] + 2) / (s["all"] + 3)
         change, self.good = abs(good - self.good), good
         for name in self.names:
-            rate = lambda v, c, n_class: (s[f"{name}_{v}_{c}"] + 0.5) / (n_class + 2)
-            on_good = (rate(1, "g", s["good"]), rate(-1, "g", s["good"]))
-            on_bad = (rate(1, "b", s["all"] - s["good"]), rate(-1, "b", s["all"] - s["good"]))
-            # rules are written to be precise: a bad vote is at least LEAST_ODDS times as frequent on bad texts as on
-            # good ones, a good vote at least as frequent on good ones; where the votes deny it, the bound holds
-            n_good, n_bad = s["good"] + 1, s["all"] - s["good"] + 1
-            if on_bad[1] < LEAST_ODDS * on_good[1]:
-                low = (on_good[1] * n_good + on_bad[1] * n_bad) / (n_good + LEAST_ODDS * n_bad)
-                on_good, on_bad = (on_good[0], low), (on_bad[0], min(LEAST_ODDS * low, 0.98))
-            if on_good[0] < on_bad[0]:
-                both = (on_good[0] * n_good + on_bad[0] * n_bad) / (n_good + n_bad)
-                on_good, on_bad = (both, on_good[1]), (both, on_bad[1])
-            new = (on_good, on_bad)
-            change = max(change, *(abs(a - b) for x, y in zip(new, self.rates[name]) for a, b in zip(x, y)))
+            # shares stay inside doubles, however many texts there are
+            share = lambda c: (s[f"{name}_1_{c}"] + PRIOR_VOTES * self.overall[name]) / (s[f"{name}_1_{c}"] + s[f"{name}_-1_{c}"] + PRIOR_VOTES)
+            new = tuple(min(max(share(c), 1e-12), 1 - 1e-12) for c in "gb")
+            change = max(change, *(abs(x - y) for x, y in zip(new, self.rates[name])))
             self.rates[name] = new
         return change
 
@@ -152,7 +156,10 @@ class RuleModel:
 def fit_rules(votes: DataFrame, names: list[str], rounds: int = ROUNDS, least_change: float = 1e-4) -> RuleModel:
     """Learn from all texts' votes, summed up by pattern: three to the number of rules at most, whatever the input."""
     patterns = durable(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).coalesce(1))
-    model = RuleModel(names)
+    count = lambda name, v: F.sum(F.when(F.col(name) == v, F.col("_n")).otherwise(0)).alias(f"{name}_{v}")
+    seen = patterns.agg(*[count(n, v) for n in names for v in (1, -1)]).first()
+    up = {n: seen[f"{n}_1"] or 0 for n in names}
+    model = RuleModel(names, {n: (up[n] + 1) / (up[n] + (seen[f"{n}_-1"] or 0) + 2) for n in names})
     for _ in range(rounds):
         if model.refit(patterns) < least_change:
             break

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from loomcite.llm import licences, neardup, quality, toxicity
+from loomcite.llm import licences, neardup, quality, rules, toxicity
 
 from .conftest import prose
 
@@ -216,3 +216,40 @@ def test_copies_of_a_line_do_not_fill_the_sample(spark):
     rows = spark.createDataFrame([(k, f"line of words {k % 20}") for k in range(1000)], "doc_id bigint, text string")
     sample = licences.negatives(rows, licences.vocabulary(spark), most=5)
     assert sample.count() == 5 + len(licences.LOOKALIKES)
+
+
+def _votes(texts: int, good: float, on_good: list[float], on_bad: list[float], speaks: list[float]):
+    """Simulated votes of rules whose shares of good votes on good and on bad texts are known."""
+    rng = np.random.default_rng(5)
+    is_good = rng.random(texts) < good
+    up = np.where(is_good[:, None], on_good, on_bad)
+    votes = np.where(rng.random(up.shape) < up, 1, -1)
+    return is_good, np.where(rng.random(up.shape) < speaks, votes, 0)
+
+
+def test_rule_accuracies_are_found_again_and_good_votes_outweigh_a_weak_rule(spark):
+    names = list("abcdef")
+    on_good, on_bad = [0.95, 0.9, 0.9, 0.85, 0.8, 0.98], [0.2, 0.3, 0.4, 0.3, 0.8, 0.5]
+    is_good, votes = _votes(20000, 0.8, on_good, on_bad, [0.9, 0.8, 1, 0.5, 0.9, 1])
+    rows = spark.createDataFrame([(int(k), bool(g), *map(int, v)) for k, (g, v) in enumerate(zip(is_good, votes))], ["k", "is_good", *names])
+    model = rules.fit_rules(rows, names)
+    assert abs(model.good - 0.8) < 0.02
+    for name, up, bad_up in zip(names, on_good, on_bad):
+        found = model.accuracies()[name]
+        assert abs(found[0] - up) < 0.03 and abs(found[1] - (1 - bad_up)) < 0.05
+    # rule e votes bad on a fifth of all texts, good or not: alone it drops nothing that the others hold for good
+    judged = rows.withColumn("p", model.posterior())
+    assert judged.filter("e = -1 AND a = 1 AND b = 1 AND c = 1 AND p < 0.5").count() == 0
+    assert judged.filter("(p >= 0.5) = is_good").count() > 0.9 * 20000
+    # and the posterior is the one that the true rates give
+    odds = np.full(len(votes), np.log(0.8 / 0.2))
+    for j in range(len(names)):
+        odds += np.where(votes[:, j] == 1, np.log(on_good[j] / on_bad[j]), np.where(votes[:, j] == -1, np.log((1 - on_good[j]) / (1 - on_bad[j])), 0))
+    p = np.array([r.p for r in judged.orderBy("k").select("p").collect()])
+    assert np.mean((p >= 0.5) == (odds >= 0)) > 0.98
+
+
+def test_rules_without_any_bad_vote_keep_all(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 1)] * 50, "a int, b int")
+    model = rules.fit_rules(rows, ["a", "b"])
+    assert rows.withColumn("p", model.posterior()).filter("p < 0.5").count() == 0
