@@ -10,6 +10,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from loomcite.llm import arrays, decontam, lm, order, packing, rules, tokencount
 from loomcite.llm.wordbpe import word_encoder
 
@@ -145,13 +147,29 @@ def test_token_counts_are_the_library_ones(docs, odd_texts):
 @pytest.mark.parametrize("chunk,overlap", [(64, 8), (200, 16), (1000, 4)])
 def test_spliced_chunks_count_like_the_whole(odd_texts, chunk, overlap):
     counter = tokencount.piece_counter(PIECES)
-    assert counter.stable_blanks
+    assert counter.plain and counter.pairs
     texts = [t for _, t in odd_texts if t] + ["no_blank" * 300, "a   b    c" * 60, "▁x ▁▁ y" * 60, "日本語 " * 200, " " * 500, "\n \n" * 300]
     for text in texts:
         if len(text) < 12000:
             assert counter.spliced(text, chunk, overlap) == len(counter.model.encode(text))
 
 
+@pytest.mark.parametrize("text", ["数据获取一个" * 9000, "".join(chr(0x4E00 + k * k % 9973) for k in range(50000)), "a" * 50000, "abcabd" * 9000, " " * 50000])
+def test_texts_without_blanks_cost_a_few_times_their_length(text, monkeypatch):
+    counter = tokencount.PieceCounter(PIECES)
+    encoded, starts = [], counter.starts
+    monkeypatch.setattr(counter, "starts", lambda part: encoded.append(len(part)) or starts(part))
+    assert counter.spliced(text, 1000, 16) == len(counter.model.encode(text))
+    assert sum(encoded) < 20 * len(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("ab \n数据中é\u0301ﬁ<s>▁　1"), max_size=150), st.integers(5, 40), st.integers(1, 8))
+def test_spliced_chunks_of_any_text(text, chunk, overlap):
+    counter = tokencount.piece_counter(PIECES)
+    assert counter.spliced(text, chunk, overlap) == len(counter.model.encode(text))
+
+
 def base_of(text):
     words = BLANK.findall(text or "")
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
