@@ -1,4 +1,4 @@
-"""The run log read as a stream, checked against the batch result."""
+"""The run log read as a stream in pieces that overlap in time, checked against the batch result."""
 
 from __future__ import annotations
 
@@ -6,22 +6,38 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from ..streaming.run_log import ROCKSDB, accepted_jobs, append_events, flag_late_results, job_runs, latest_status, recover_stale, running_progress
-from ..streaming.sinks import drain
+from ..streaming.run_log import ROCKSDB, accepted_jobs, append_events, flag_late_results, job_runs, latest_status, recover_stale, running_progress, split_late
+from ..streaming.sinks import drain, work_folder
 from . import duck
-from .project_plans import LAST, STATUS, TS, stamp
+from .project_plans import LAST, STALE_SECONDS, STATUS, TS, stamp
 from .registry import query, table
 
 
+#: Events land in pieces of six days; every seventh event comes with the piece after its own.
+PIECES, PIECE_DAYS, FILES = 6, 6, 4
+DELAY = 2 * 86400
+
+
+def _arrivals(spark, sf_dir):
+    """The events as a stream that takes one piece per micro-batch, in the order of arrival."""
+    events = table(spark, sf_dir, "events")
+    own = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / PIECE_DAYS
+    events = events.withColumn("_piece", F.floor(own) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
+    folder = work_folder(spark, "arrivals")
+    for k in range(PIECES):
+        last = F.col("_piece") >= k if k == PIECES - 1 else F.col("_piece") == k
+        events.filter(last).drop("_piece").repartition(FILES).write.mode("append").parquet(folder)
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+
+
 def _updates(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
     status = (
         F.when(F.col("event_type") == "signup", "queued")
         .when(F.col("event_type") == "purchase", "complete")
         .when(F.col("event_type") == "error", "error")
         .otherwise("running")
     )
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = _arrivals(spark, sf_dir)
     return rows.select(F.col("user_id").alias("run_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated_at"), F.col("event_id").alias("seq"), "event_type", "value")
 
 
@@ -69,7 +85,7 @@ def stream_active_jobs(spark, sf_dir):
 )
 def stream_run_events(spark, sf_dir):
     rows = _updates(spark, sf_dir).select("run_id", "event_type", F.lit("").alias("message"), F.col("updated_at").alias("created_at"), "seq")
-    out = drain(append_events(rows).select("event_id"), "append")
+    out = drain(append_events(rows, f"{PIECE_DAYS + 1} days").select("event_id"), "append")
     return out.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -83,8 +99,25 @@ def stream_cancelled_results(spark, sf_dir):
     return flag_late_results(rows).select(F.col("seq").alias("event_id"), "rejected")
 
 
-@query("stream_stale_runs")
+@query(
+    "stream_stale_runs",
+    f"""WITH {LAST}, n AS (SELECT epoch_ms(max(ts)) - {DELAY}000 AS seen FROM events),
+g AS (SELECT run_id, status, status = 'running' AND epoch_ms(updated_at) + {STALE_SECONDS}000 <= seen AS recovered FROM last, n)
+SELECT run_id, CASE WHEN recovered THEN 'partial_error' ELSE status END AS status, recovered FROM g""",
+)
 def stream_stale_runs(spark, sf_dir):
     with _stateful(spark):
-        out = drain(recover_stale(_updates(spark, sf_dir), 6 * 3600), "update", ["run_id"], "recovered")
+        out = drain(recover_stale(_updates(spark, sf_dir), STALE_SECONDS, f"{DELAY} seconds"), "update", ["run_id"], "recovered")
     return out.select("run_id", "status", "recovered")
+
+
+@query(
+    "stream_late_updates",
+    f"""WITH p AS (SELECT *, least(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // {PIECE_DAYS} + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END, {PIECES - 1}) AS piece FROM events),
+m AS (SELECT piece, max(max(ts)) OVER (ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM p GROUP BY piece)
+SELECT event_id, piece AS batch, coalesce(ts < newest - INTERVAL {DELAY} SECONDS, false) AS late FROM p JOIN m USING (piece)""",
+)
+def stream_late_updates(spark, sf_dir):
+    in_time, late = split_late(_updates(spark, sf_dir), DELAY)
+    flagged = in_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return flagged.select(F.col("seq").alias("event_id"), "batch", "late")

@@ -21,7 +21,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def append_events(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Run events with their id; a repeat of (run, type, message, second) inside the delay is dropped."""
+    """Run events with their id; a repeat of (run, type, message, second) inside the delay is dropped.
+
+    Rows more than the delay behind are dropped too: take them out with ``split_late`` first where they count."""
     return with_event_id(events.withWatermark("created_at", delay)).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -66,35 +68,44 @@ class StaleRuns(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "status string, updated_ms bigint, seq bigint")
+        self.last = handle.getValueState("last", "status string, updated_ms bigint, seq bigint, recovered boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = self.last.get() if self.last.exists() else None
-        before = best[1] if best else None
+        held = tuple(self.last.get()) if self.last.exists() else None
+        best = held
         for frame in rows:
             row = frame.sort_values(["updated_ms", "seq"]).iloc[-1]
-            found = (row["status"], int(row["updated_ms"]), int(row["seq"]))
-            if best is None or found[1:] >= tuple(best[1:]):
+            found = (row["status"], int(row["updated_ms"]), int(row["seq"]), False)
+            # an older row that comes late changes nothing, a recovery included
+            if best is None or found[1:3] > best[1:3]:
                 best = found
-        if before is not None and before != best[1]:
-            self.handle.deleteTimer(before + self.patience_ms)
-        self.last.update(tuple(best))
-        if best[0] == "running":
-            self.handle.registerTimer(best[1] + self.patience_ms)
-        yield pd.DataFrame({"run_id": [key[0]], "status": [best[0]], "updated_ms": [best[1]], "seq": [best[2]], "recovered": [False]})
+        if best != held:
+            if held is not None and held[0] == "running":
+                self.handle.deleteTimer(held[1] + self.patience_ms)
+            self.last.update(best)
+            if best[0] == "running":
+                self.handle.registerTimer(best[1] + self.patience_ms)
+        yield self.row(key, best)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, at, seq = self.last.get()
+        status, at, seq, _ = self.last.get()
         if status == "running" and at + self.patience_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.update(("partial_error", at, seq))
-            yield pd.DataFrame({"run_id": [key[0]], "status": ["partial_error"], "updated_ms": [at], "seq": [seq], "recovered": [True]})
+            gone = ("partial_error", at, seq, True)
+            self.last.update(gone)
+            yield self.row(key, gone)
+
+    def row(self, key, state: tuple) -> pd.DataFrame:
+        status, at, seq, recovered = state
+        return pd.DataFrame({"run_id": [key[0]], "status": [status], "updated_ms": [at], "seq": [seq], "recovered": [recovered]})
 
     def close(self) -> None:
         pass
 
 
 def recover_stale(updates: DataFrame, patience_seconds: int, delay: str = "1 minute") -> DataFrame:
-    """Status rows of runs, with ``recovered`` rows for those that went stale. Update mode, RocksDB state."""
+    """Status rows of runs, with ``recovered`` rows for those that went stale. Update mode, RocksDB state.
+
+    Rows more than the delay behind are dropped: take them out with ``split_late`` first where they count."""
 
     def last_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -112,23 +123,49 @@ def recover_stale(updates: DataFrame, patience_seconds: int, delay: str = "1 min
 
 
 def flag_late_results(updates: DataFrame) -> DataFrame:
-    """Write every update with ``rejected``: results that come after their run was cancelled.
+    """Every update with ``rejected``: a result whose run was cancelled before it (smaller ``seq``).
 
-    Each batch adds its cancellations to a small log, one folder per batch, and joins
-    the batch with the log. A repeated batch overwrites its own folders. The join is
-    a plain one, so a run with very many results is split like any skewed join.
+    The stream only lands updates and, per batch, the first cancellation of each run, one folder
+    per batch; a repeated batch overwrites its own folders. The verdict is made when the rows are read,
+    by a plain join with the first cancellation over all batches, so a cancellation that arrives
+    after a result still rejects it, nothing is read again for each batch, and a run with very many
+    results is split like any skewed join.
     """
     folder = work_folder(updates.sparkSession, "cancel")
 
     def write(batch: DataFrame, number: int) -> None:
         stops = batch.filter("status = 'cancelled'").groupBy("run_id").agg(F.min("seq").alias("stopped"))
         stops.write.mode("overwrite").parquet(f"{folder}/stops/batch={number}")
-        log = batch.sparkSession.read.schema(stops.schema.add("batch", "long")).parquet(f"{folder}/stops")
-        known = log.filter(F.col("batch") <= number).groupBy("run_id").agg(F.min("stopped").alias("stopped"))
-        late = F.coalesce(F.col("seq") > F.col("stopped"), F.lit(False)) & (F.col("status") != "cancelled")
-        flagged = batch.join(known, "run_id", "left").select("run_id", "seq", "status", late.alias("rejected"))
-        flagged.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        batch.select("run_id", "seq", "status").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    run_to_end(updates, "append", f"{folder}/state", write)
+    read = updates.sparkSession.read
+    rows = read.schema(updates.select("run_id", "seq", "status").schema).parquet(f"{folder}/out")
+    stops = read.schema(updates.select("run_id", F.col("seq").alias("stopped")).schema).parquet(f"{folder}/stops")
+    first = stops.groupBy("run_id").agg(F.min("stopped").alias("stopped"))
+    late = F.coalesce(F.col("seq") > F.col("stopped"), F.lit(False)) & (F.col("status") != "cancelled")
+    return rows.join(first, "run_id", "left").select("run_id", "seq", "status", late.alias("rejected"))
+
+
+def split_late(updates: DataFrame, delay_seconds: int, at: str = "updated_at") -> tuple[DataFrame, DataFrame]:
+    """(rows in time, rejects) of a stream, as written tables with the ``batch`` that brought each row.
+
+    A row is late if it is more than the delay behind the newest time of all earlier batches, which is
+    what a watermark would drop without a trace; here it stays readable. A row without a time is in time.
+    A batch keeps its newest time in a folder of its own, so a repeated batch finds the same limit.
+    """
+    folder = work_folder(updates.sparkSession, "late")
+    mark = updates.select(F.col(at).alias("newest")).schema.add("batch", "long")
+
+    def write(batch: DataFrame, number: int) -> None:
+        read = batch.sparkSession.read.schema(mark)
+        newest = read.parquet(f"{folder}/marks").filter(F.col("batch") < number).agg(F.max("newest")).first()[0] if number else None
+        batch.agg(F.max(at).alias("newest")).write.mode("overwrite").parquet(f"{folder}/marks/batch={number}")
+        late = F.lit(False) if newest is None else F.coalesce(F.col(at) < F.lit(newest) - F.make_dt_interval(secs=F.lit(delay_seconds)), F.lit(False))
+        split = batch.withColumn("_late", late)
+        split.filter("NOT _late").drop("_late").write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        split.filter("_late").drop("_late").write.mode("overwrite").parquet(f"{folder}/rejects/batch={number}")
 
     run_to_end(updates, "append", f"{folder}/state", write)
-    schema = updates.select("run_id", "seq", "status", F.lit(False).alias("rejected")).schema
-    return updates.sparkSession.read.schema(schema).parquet(f"{folder}/out")
+    load = updates.sparkSession.read.schema(updates.schema.add("batch", "long"))
+    return load.parquet(f"{folder}/rows"), load.parquet(f"{folder}/rejects")

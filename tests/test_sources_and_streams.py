@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomcite.plans import catalog
 from loomcite.sources.feeds import CROSSREF_SCHEMA, OPENALEX_SCHEMA, atom_works, crossref_works, openalex_works, quarantine, read_atom_feed, read_feeds, read_json_feed, union_feeds
 from loomcite.sources.importer import import_buckets, member_lists
-from loomcite.streaming.run_log import recover_stale, ROCKSDB
+from loomcite.streaming.run_log import ROCKSDB, flag_late_results, recover_stale, split_late
 from loomcite.streaming.sinks import drain
 
 
@@ -77,6 +77,45 @@ def test_stale_runs_recover_in_the_stream(spark, tmp_path):
     assert got == {1: ("partial_error", True), 2: ("complete", False), 3: ("running", False)}
 
 
+def _arriving(spark, folder, batches):
+    """A stream of (run_id, status, updated_at, seq) that takes one of the given lists per micro-batch."""
+    schema = "run_id bigint, status string, at string, seq bigint"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.select("run_id", "status", F.to_timestamp("at").alias("updated_at"), "seq")
+
+
+def test_a_late_older_update_does_not_undo_a_recovery(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    hour = "2024-01-01 {:02d}:00:00".format
+    batches = [
+        [(1, "running", hour(4), 1)], [(2, "running", hour(9), 2)], [(1, "running", hour(3), 4), (3, "running", hour(9), 3)],
+        [(2, "running", hour(10), 5)], [(4, "running", hour(11), 6)], [(4, "complete", hour(11), 7)],
+    ]
+    out = drain(recover_stale(_arriving(spark, str(tmp_path / "in"), batches), 3600, "7 hours"), "update", ["run_id"], "recovered")
+    assert {r.run_id: (r.status, r.recovered) for r in out.collect()} == {
+        1: ("running", False), 2: ("running", False), 3: ("running", False), 4: ("complete", False)}
+    out = drain(recover_stale(_arriving(spark, str(tmp_path / "again"), batches), 3600, "2 hours"), "update", ["run_id"], "recovered")
+    found = {r.run_id: (r.status, r.recovered) for r in out.collect()}
+    assert found[1] == ("partial_error", True) and found[2] == ("running", False) and found[4] == ("complete", False)
+
+
+def test_results_are_rejected_by_a_cancellation_that_arrives_later(spark, tmp_path):
+    at = "2024-01-01 00:00:00"
+    batches = [[(1, "complete", at, 5), (1, "complete", at, 2), (2, "complete", at, 9)], [(1, "cancelled", at, 3)], [(1, "cancelled", at, 7), (1, "complete", at, 4), (None, "complete", at, 8)]]
+    rows = flag_late_results(_arriving(spark, str(tmp_path / "in"), batches)).collect()
+    assert sorted((r.seq, r.rejected) for r in rows) == [(2, False), (3, False), (4, True), (5, True), (7, False), (8, False), (9, False)]
+
+
+def test_late_rows_are_kept_as_rejects(spark, tmp_path):
+    day = "2024-01-{:02d} 00:00:00".format
+    batches = [[(1, "running", day(5), 1), (1, "running", day(1), 2)], [(2, "running", day(4), 3), (2, "running", day(3), 4), (3, "running", None, 5)], [(1, "running", day(9), 6)], [(1, "running", day(7), 7)]]
+    in_time, late = split_late(_arriving(spark, str(tmp_path / "in"), batches), 86400)
+    assert sorted((r.batch, r.seq) for r in in_time.collect()) == [(0, 1), (0, 2), (1, 3), (1, 5), (2, 6)]
+    assert sorted((r.batch, r.seq) for r in late.collect()) == [(1, 4), (3, 7)]
+
+
 def test_catalog_names():
     assert set(catalog.oracles()) <= set(catalog.queries())
     assert len(catalog.queries()) > 100
