@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from loomcite.operators.budget import first_breach, guard, guard_long
 from loomcite.operators.derivation import expand_symbols, normalize_nodes, verdicts, violations
+from loomcite.operators import lineage
 from loomcite.operators.lineage import closure, depths, visible_graph
 from loomcite.operators.membership import delete_deep, deleted_counts, sort_key
 from loomcite.operators.principles import principle_map, relations
 from loomcite.operators.retention import retained
 from loomcite.operators.runs import stale_runs
+from loomcite.session import durable
 
 NODES = "derivation_id int, position int, symbol string, node_type string, expression string, summary string, supports array<string>, risks array<string>"
 EDGES = "derivation_id int, position int, source string, target string, relation string"
@@ -175,3 +177,17 @@ def test_principle_map_has_every_pair_that_shares_enough(spark):
                     expected[p, n] = shared
         found = {(r.prior_id, r.new_id): r.n_shared for r in principle_map(frame(prior), frame(new), least)[1].collect()}
         assert found == expected
+
+
+def test_closure_writes_no_row_for_a_last_node(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(lineage, "durable", lambda df: written.append(durable(df)) or written[-1])
+    starts = spark.range(20).select(F.col("id").alias("origin"), (F.col("id") * 4).alias("node"))
+    uses = spark.range(20).select((F.col("id") * 4).alias("node"), (F.col("id") % 5 * 4 + 1).alias("next"))
+    source = spark.range(5).select((F.col("id") * 4 + 1).alias("node"), F.explode(F.sequence(F.lit(0), F.lit(2999))).alias("s")).select("node", (F.col("s") * 4 + 2).cast("bigint").alias("next"))
+    # a start that leads nowhere, and a last node that is reached by two ways
+    starts = starts.unionByName(spark.createDataFrame([(99, 3)], starts.schema))
+    steps = uses.unionByName(source).unionByName(spark.createDataFrame([(0, 2)], uses.schema))
+    rows = {(r.origin, r.node): r.hops for r in closure(starts, steps).collect()}
+    assert len(rows) == 20 * 3002 + 1 and rows[99, 3] == 0 and rows[0, 2] == 1 and rows[1, 2] == rows[0, 6] == 2 and rows[7, 9] == 1
+    assert max(df.count() for df in written if "origin" in df.columns) <= 41
