@@ -191,3 +191,18 @@ def test_closure_writes_no_row_for_a_last_node(spark, monkeypatch):
     rows = {(r.origin, r.node): r.hops for r in closure(starts, steps).collect()}
     assert len(rows) == 20 * 3002 + 1 and rows[99, 3] == 0 and rows[0, 2] == 1 and rows[1, 2] == rows[0, 6] == 2 and rows[7, 9] == 1
     assert max(df.count() for df in written if "origin" in df.columns) <= 41
+
+
+def test_relations_shuffle_no_pair(spark):
+    rows = [(i, ["h1", "h2"] if i % 2 else [], ["d"], [f"t{i % 3}", "d"]) for i in range(30)]
+    df = spark.createDataFrame(rows, "principle_id int, relation_hints array<string>, domain_tags array<string>, tradeoffs array<string>")
+    out = relations(df, df.filter("principle_id % 7 = 0"))
+    expected = {}
+    for a in range(30):
+        for b in range(a + 1, 30):
+            if a % 7 == 0 or b % 7 == 0:
+                hints = a % 2 and b % 2
+                expected[a, b] = ("h1" if hints else "shares_structure", 2 * hints + 2 + (a % 3 == b % 3))
+    got = [(r.source_id, r.target_id, r.relation_type, r.n_shared) for r in out.collect()]
+    assert len(got) == len(expected) and {(a, b): (t, n) for a, b, t, n in got} == expected
+    assert "source_id" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
