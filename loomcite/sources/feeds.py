@@ -145,12 +145,13 @@ def read_feeds(feeds: Sequence[tuple[str, Callable[[], DataFrame]]]) -> tuple[Da
 
     A feed is read and written before it counts, so one that fails on its path, on its schema or on a
     later line is left out whole and named among the outcomes. ``seq`` is the exact order of arrival: feed by
-    feed, and within a feed as its files have the rows.
+    feed, and within a feed by the names of its files and as each file has the rows; Spark reads the largest file first.
     """
     read, outcomes = [], []
     for place, (name, load) in enumerate(feeds):
         try:
-            rows = durable(load().withColumns({"feed": F.lit(name), "_feed": F.lit(place), "_line": F.monotonically_increasing_id()}))
+            at = {"_file": F.input_file_name(), "_block": F.input_file_block_start(), "_line": F.monotonically_increasing_id()}
+            rows = durable(load().withColumns({"feed": F.lit(name), "_feed": F.lit(place), **at}))
             outcomes.append((name, rows.count(), None))
             read.append(rows)
         except (PySparkException, Py4JJavaError) as failure:
@@ -162,7 +163,7 @@ def read_feeds(feeds: Sequence[tuple[str, Callable[[], DataFrame]]]) -> tuple[Da
         raise ValueError("no feed could be read")
     spark = read[0].sparkSession
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read).withColumn("_all", F.lit(0))
-    rows = ordinal(every, ["_all"], ["_feed", "_line"], "seq").drop("_all", "_feed", "_line")
+    rows = ordinal(every, ["_all"], ["_feed", "_file", "_block", "_line"], "seq").drop("_all", "_feed", "_file", "_block", "_line")
     return rows, spark.createDataFrame(outcomes, "feed string, n_rows bigint, error string")
 
 

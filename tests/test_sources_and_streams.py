@@ -141,3 +141,12 @@ def test_feeds_arrive_in_order_and_broken_ones_are_named(spark, tmp_path):
     assert [(r.feed, r.n_rows, r.error is None) for r in outcomes.collect()] == [("c", 1, True), ("b", None, False), ("missing", None, False), ("a", 2, True)]
     with pytest.raises(ZeroDivisionError):
         read_feeds([("bug", lambda: 1 // 0)])
+
+
+def test_a_feed_of_several_files_keeps_their_order(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    for part, n in enumerate((1, 40, 3)):
+        (tmp_path / "f" / f"part-{part}.json").write_text("\n".join(json.dumps({"title": f"{part} {i}"}) for i in range(n)))
+    rows, _ = read_feeds([("f", lambda: spark.read.schema("title string").json(str(tmp_path / "f")))])
+    assert [r.title for r in rows.orderBy("seq").collect()] == [f"{part} {i}" for part, n in enumerate((1, 40, 3)) for i in range(n)]
+    assert sorted(rows.columns) == ["feed", "seq", "title"]
