@@ -63,6 +63,15 @@ def test_import_buckets(spark):
     assert [r.record_id for r in member_lists(old, {"works": "work", "ideas": "idea"}).collect()] == ["a", "b"]
 
 
+def test_imported_works_that_share_a_short_id_are_both_members(spark):
+    """The SHA-1 of these titles agrees in the twelve digits that an id keeps."""
+    titles = ["title 3791947", "title 33564793", "Title 33564793!"]
+    rows = [("source_works", f"O{k}", json.dumps({"title": t}), k) for k, t in enumerate(titles)]
+    out = import_buckets(spark.createDataFrame(rows, "bucket string, id string, payload string, seq int"))
+    assert len({r.work_id for r in out["works"].collect()}) == 1
+    assert out["memberships"].count() == 2
+
+
 def test_stale_runs_recover_in_the_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = "run_id bigint, status string, at string, seq bigint"
