@@ -110,3 +110,13 @@ def test_payload_summary_label_key_quality(one):
     assert one(label(L("user_note"), {}, L(""))) == "User Note"
     assert one(canonical_key(L("T"), L("T m"), F.array(L("W-1"), L("W-2")))) == "t t m w 1 w 2"
     assert one(quality(L("x" * 450), L(1), [payload["failure_modes"]])) == 0.49
+
+
+def test_strip_trims_the_whole_class_of_white_space_without_a_pattern(spark):
+    codes = spark.range(1, 0xD800).select(F.char(F.lit(65)).alias("a"), F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    both = codes.select(
+        t.strip(F.concat("c", "c", "a", "c", "a", "c")).alias("trimmed"), F.concat("a", "c", "a").alias("kept"), F.concat("c", "c", "a", "c", "a", "c").alias("all"),
+        F.col("c").rlike(f"^{t.SPACE_CLASS}$").alias("space"))
+    assert both.filter(F.col("trimmed") != F.when(F.col("space"), F.col("kept")).otherwise(F.col("all"))).count() == 0
+    assert both.filter("space").count() == 25 + 4
+    assert "regexp_replace" not in codes.select(t.strip("c"))._jdf.queryExecution().optimizedPlan().toString()
