@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.runs import with_event_id
 from .sinks import run_to_end, work_folder
 
-# the state processor below travels to the workers with the job
+# the state function below travels to the workers with the job
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -56,54 +56,47 @@ def accepted_jobs(runs: DataFrame) -> DataFrame:
     )
 
 
-class StaleRuns(StatefulProcessor):
-    """Keeps the last update of a run; a running run without one for too long becomes ``partial_error``.
+#: Groups of runs that share a call and a state row.
+GROUPS = 2048
+GROUP_STATE = "runs array<bigint>, status array<string>, updated_ms array<bigint>, seq array<bigint>, recovered array<boolean>"
+RUN_COLUMNS = ["run_id", "status", "updated_ms", "seq", "recovered"]
 
-    Event-time timers fire when the watermark passes last update + patience. State is
-    one row per run, so a run with very many updates streams through it batch by batch.
+
+def stale_runs(patience_ms: int):
+    """Keeps the last update of every run; a running run without one for too long becomes ``partial_error``.
+
+    Runs are dealt into ``GROUPS`` groups by their hash, as a call and a state row per run cost milliseconds each. A
+    group times out when the watermark reaches the first of last update + patience among its running
+    runs. A run with very many updates streams through it batch by batch.
     """
 
-    def __init__(self, patience_ms: int):
-        self.patience_ms = patience_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "status string, updated_ms bigint, seq bigint, recovered boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = tuple(self.last.get()) if self.last.exists() else None
-        best = held
-        for frame in rows:
-            row = frame.sort_values(["updated_ms", "seq"]).iloc[-1]
-            found = (row["status"], int(row["updated_ms"]), int(row["seq"]), False)
-            # an older row that comes late changes nothing, a recovery included
-            if best is None or found[1:3] > best[1:3]:
-                best = found
-        if best != held:
-            if held is not None and held[0] == "running":
-                self.handle.deleteTimer(held[1] + self.patience_ms)
-            self.last.update(best)
-            if best[0] == "running":
-                self.handle.registerTimer(best[1] + self.patience_ms)
-        yield self.row(key, best)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, at, seq, _ = self.last.get()
-        if status == "running" and at + self.patience_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            gone = ("partial_error", at, seq, True)
-            self.last.update(gone)
-            yield self.row(key, gone)
-
-    def row(self, key, state: tuple) -> pd.DataFrame:
-        status, at, seq, recovered = state
-        return pd.DataFrame({"run_id": [key[0]], "status": [status], "updated_ms": [at], "seq": [seq], "recovered": [recovered]})
-
-    def close(self) -> None:
-        pass
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = {run: (status, at, seq, gone) for run, status, at, seq, gone in zip(*state.get)} if state.exists else {}
+        told = set()
+        for frame in () if state.hasTimedOut else frames:
+            for run, status, at, seq in zip(*(frame[c].tolist() for c in RUN_COLUMNS[:4])):
+                run = None if run is None or run != run else int(run)
+                told.add(run)
+                # an older row that comes late changes nothing, a recovery included
+                if run not in last or (at, seq) > last[run][1:3]:
+                    last[run] = (status, at, seq, False)
+        due = {run: at + patience_ms for run, (status, at, _, _) in last.items() if status == "running"}
+        for run, at in due.items():
+            if at <= state.getCurrentWatermarkMs():
+                last[run] = ("partial_error", *last[run][1:3], True)
+                told.add(run)
+        state.update(tuple(map(list, zip(*((run, *of) for run, of in last.items())))))
+        waits = [at for run, at in due.items() if last[run][0] == "running"]
+        if waits:
+            # a timeout fires once the watermark is beyond it, a run is stale once the watermark is there
+            state.setTimeoutTimestamp(min(waits) - 1)
+        yield pd.DataFrame([(run, *last[run]) for run in told], columns=RUN_COLUMNS)
+
+    return fold
 
 
 def recover_stale(updates: DataFrame, patience_seconds: int, delay: str = "1 minute") -> DataFrame:
-    """Status rows of runs, with ``recovered`` rows for those that went stale. Update mode, RocksDB state.
+    """Status rows of runs, with ``recovered`` rows for those that went stale. Update mode.
 
     Rows more than the delay behind are dropped: take them out with ``split_late`` first where they count."""
 
@@ -114,12 +107,9 @@ def recover_stale(updates: DataFrame, patience_seconds: int, delay: str = "1 min
     rows = updates.select("run_id", "updated_at", "status", F.unix_millis("updated_at").alias("updated_ms"), "seq")
     # only the last update of a run in each Arrow batch travels, so a hot run is thinned before the shuffle
     last = rows.mapInPandas(last_of, rows.schema).withWatermark("updated_at", delay)
-    return last.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=StaleRuns(patience_seconds * 1000),
-        outputStructType="run_id bigint, status string, updated_ms bigint, seq bigint, recovered boolean",
-        outputMode="Update",
-        timeMode="EventTime",
-    )
+    return last.withColumn("_group", F.pmod(F.xxhash64("run_id"), F.lit(GROUPS))).groupBy("_group").applyInPandasWithState(
+        stale_runs(patience_seconds * 1000), "run_id bigint, status string, updated_ms bigint, seq bigint, recovered boolean",
+        GROUP_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def flag_late_results(updates: DataFrame) -> DataFrame:

@@ -159,3 +159,15 @@ def test_a_feed_of_several_files_keeps_their_order(spark, tmp_path):
     rows, _ = read_feeds([("f", lambda: spark.read.schema("title string").json(str(tmp_path / "f")))])
     assert [r.title for r in rows.orderBy("seq").collect()] == [f"{part} {i}" for part, n in enumerate((1, 40, 3)) for i in range(n)]
     assert sorted(rows.columns) == ["feed", "seq", "title"]
+
+
+def test_runs_that_share_a_state_row_are_told_apart(spark, tmp_path, monkeypatch):
+    from loomcite.streaming import run_log
+
+    monkeypatch.setattr(run_log, "GROUPS", 2)
+    hour = "2024-01-01 {:02d}:00:00".format
+    first = [(k, "running", hour(k % 4), k) for k in range(40)]
+    later = [(k, "complete", hour(5), 100 + k) for k in range(0, 40, 5)] + [(99, "running", hour(5), 200)]
+    out = drain(recover_stale(_arriving(spark, str(tmp_path / "in"), [first, later]), 3 * 3600, "1 minute"), "update", ["run_id"], "recovered")
+    expected = {99: ("running", False)} | {k: ("partial_error", True) if k % 4 < 2 else ("running", False) for k in range(40)} | {k: ("complete", False) for k in range(0, 40, 5)}
+    assert {r.run_id: (r.status, r.recovered) for r in out.collect()} == expected
