@@ -62,3 +62,33 @@ def test_a_word_of_a_pattern_ends_at_letters_beyond_ascii(spark):
     catalogue = spark.createDataFrame([("imagenet", "ImageNet")], "name_key string, official_name string")
     found = benchmark_records(works, "abstract", catalogue)
     assert sorted((r.metric, r.split) for r in found.collect()) == [("map", "dev"), ("map", "test")]
+
+
+def test_texts_are_walked_in_pieces_of_bounded_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    from loomcite.operators import mentions as module
+
+    monkeypatch.setattr(module, "WALK_BYTES", 40)
+    said = ["a b c d", "x" * 90, "", None, "b c"] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(range(45)), pa.array(said)], names=["k", "said"])
+    pieces = list(module._pieces([batch, batch.slice(0, 0)]))
+    assert [k for p in pieces for k in p.column("k").to_pylist()] == list(range(45))
+    assert all(p.num_rows == 1 or sum(len(s or "") for s in p.column("said").to_pylist()) <= 40 for p in pieces)
+    trie = module.NameTrie(["b c", "a b c", "c"])
+    found = [r for out in module._scan(trie, "k", True)([batch]) for r in out.to_pylist()]
+    assert [(r["k"], r["start"], r["name_key"]) for r in found] == [x for k in range(0, 45, 5) for x in ((k, 0, "a b c"), (k + 4, 0, "b c"))]
+
+
+def test_names_within_others_are_found_without_a_shuffle(spark):
+    from loomcite.operators.mentions import names_within
+
+    names = ["a b", "b", "a b c d e f g", "g", "c d e f g h", "zz"]
+    texts = [(1, "A b, a-b"), (2, "a b c d e f g h"), (3, "ab bb"), (4, None), (5, "")]
+    docs, catalogue = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(n,) for n in names], "name_key string")
+    expected = {(1, "a b"), (1, "b")} | {(2, n) for n in names[:5]}
+    for bytes_ in (1 << 20, 4):
+        rows = names_within(docs, "id", "text", catalogue, bytes_)
+        got = [tuple(r) for r in rows.collect()]
+        assert len(got) == len(expected) and set(got) == expected
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
