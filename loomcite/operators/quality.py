@@ -84,6 +84,21 @@ def grounding(concepts: DataFrame, works: DataFrame, text: str, work_text: str)
     return rows.withColumn("grounded", (F.col("share") >= GROUNDING_SHARE) & (F.col("n_shared") >= GROUNDING_TOKENS))
 
 
+def grounded_sentences(texts: DataFrame, works: DataFrame, said: str, work_text: str) -> DataFrame:
+    """(work_id, pos, n_shared, share, grounded) of every sentence of the array ``said``, as ``grounding`` tells it.
+
+    A text and its work meet once, and their common words are found once; a sentence is held against these only.
+    """
+    right = works.select("work_id", F.array_distinct(tokenize(work_text)).alias("_w"))
+    left = texts.select("work_id", F.transform(said, lambda s: F.array_distinct(tokenize(s))).alias("_c"))
+    none = F.array().cast("array<string>")
+    rows = left.join(right, "work_id", "left").withColumn("_both", F.array_intersect(F.array_distinct(F.flatten("_c")), F.coalesce("_w", none)))
+    counts = F.transform("_c", lambda c: F.struct(F.size(c).alias("n"), F.size(F.array_intersect(c, F.col("_both"))).alias("n_shared")))
+    rows = rows.select("work_id", F.posexplode(counts).alias("pos", "_s")).select("work_id", "pos", "_s.n", "_s.n_shared")
+    rows = rows.withColumn("share", F.when(F.col("n") > 0, F.col("n_shared") / F.col("n")).otherwise(F.lit(0.0))).drop("n")
+    return rows.withColumn("grounded", (F.col("share") >= GROUNDING_SHARE) & (F.col("n_shared") >= GROUNDING_TOKENS))
+
+
 def scrub_numbers(text: Column | str, evidence: Column | str) -> Column:
     """Replace numbers and ranges that the evidence does not contain; other numbers stay, whatever digits they share."""
     numbers = lambda c: F.transform(F.regexp_extract_all(text_of(c), F.lit(NUMBER), F.lit(0)), lambda v: F.trim(v))

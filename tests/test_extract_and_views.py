@@ -137,3 +137,17 @@ def test_supported_number_around_an_unsupported_one_stays(one):
     from loomcite.operators.quality import NUMBER_STANDIN, scrub_numbers
 
     assert one(scrub_numbers(F.lit("It cuts 5 steps and 15% cost"), F.lit("down 15%"))) == f"It cuts {NUMBER_STANDIN} steps and 15% cost"
+
+
+def test_sentences_are_grounded_as_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    from loomcite.operators.quality import grounded_sentences, grounding
+
+    said = [(1, ["tree search helps", "", "the of", "search search tree"]), (2, []), (3, ["nothing known here"]), (4, ["alone without work"])]
+    works_ = spark.createDataFrame([(1, "Tree search again"), (3, None), (2, "x")], "work_id int, body string")
+    texts = spark.createDataFrame(said, "work_id int, said array<string>")
+    one = grounding(texts.select("work_id", F.posexplode("said").alias("pos", "text")), works_, "text", "body")
+    rows = grounded_sentences(texts, works_, "said", "body")
+    assert sorted(map(tuple, rows.select(*rows.columns).collect())) == sorted(map(tuple, one.select(*rows.columns).collect()))
+    assert rows.count() == 6 and rows.filter("grounded").count() == 2
