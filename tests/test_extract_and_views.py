@@ -151,3 +151,16 @@ def test_sentences_are_grounded_as_one_by_one(spark):
     rows = grounded_sentences(texts, works_, "said", "body")
     assert sorted(map(tuple, rows.select(*rows.columns).collect())) == sorted(map(tuple, one.select(*rows.columns).collect()))
     assert rows.count() == 6 and rows.filter("grounded").count() == 2
+
+
+def test_bundle_counts_are_dealt_by_the_size_of_the_input(spark, tmp_path):
+    from loomcite.operators.views import bundle_counts
+    from loomcite.plans.registry import pieces
+
+    rows = spark.range(4000).selectExpr("id % 700 as idea_id", "concat('s', id % 3) as section", "'p' as payload")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    n = pieces(spark, str(tmp_path), "lineitem", 1 << 10)
+    assert n > spark.sparkContext.defaultParallelism == pieces(spark, str(tmp_path), "lineitem")
+    dealt = bundle_counts(rows, 37)
+    assert dealt.rdd.getNumPartitions() == 37
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, bundle_counts(rows).collect()))
