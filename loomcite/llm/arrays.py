@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+#: Letters that are hashed at once, or one word.
+LETTERS = 1 << 18
 U = np.uint64
 ODD = (U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 
@@ -85,15 +87,22 @@ class Words:
         self.end = np.flatnonzero(inside[:-1] & ~after) + 1
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.first = np.searchsorted(self.start, offsets)
-        values = (BYTE_VALUES[LOWER] if lower else BYTE_VALUES)[data[inside[:-1]]]
+        letters, table = data[inside[:-1]], BYTE_VALUES[LOWER] if lower else BYTE_VALUES
         sizes = self.end - self.start
-        at = np.cumsum(sizes) - sizes
-        place = np.arange(len(values)) - np.repeat(at, sizes)
+        ends = np.cumsum(sizes)
         longest = int(sizes.max()) if len(sizes) else 0
         powers = POWERS if longest <= len(POWERS) else _powers(longest)
-        values = values * powers[place]
         self.data, self.lower = data, lower
-        self.hash = mix(np.add.reduceat(values, at) + sizes.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
+        sums = np.zeros(len(sizes), np.uint64)
+        k = 0
+        while k < len(sizes):  # 8 bytes a letter in each array, so not for all words at once
+            a = ends[k] - sizes[k]
+            stop = max(k + 1, int(np.searchsorted(ends, a + LETTERS, "right")))
+            at = ends[k:stop] - sizes[k:stop] - a
+            place = np.arange(ends[stop - 1] - a) - np.repeat(at, sizes[k:stop])
+            sums[k:stop] = np.add.reduceat(table[letters[a : ends[stop - 1]]] * powers[place], at)
+            k = stop
+        self.hash = mix(sums + sizes.astype(np.uint64))
 
     def __len__(self) -> int:
         return len(self.hash)

@@ -41,6 +41,8 @@ SMALL_BUCKET = 32
 #: A large bucket is compared in tiles of about so many nodes, or in so many tiles.
 TILE, TILES = 512, 64
 CHUNK = 1 << 15
+#: Slots, as a power of two, of the marks that say which rows are wanted: 2 MB of bits whatever the input.
+MARK_BITS = 24
 
 
 def _gamma_table(n: int = 1 << 16) -> np.ndarray:
@@ -178,12 +180,24 @@ def _verify(similarity: float):
     return make
 
 
+def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``uid`` is among ``ids``, and a few others whose hash meets theirs.
+
+    At most 2 ** (MARK_BITS - 6) words of marks are sent to the rows, which stay where they are; callers join by ``uid`` later.
+    """
+    slot = f"pmod(xxhash64(uid), {1 << MARK_BITS}L)"
+    word, bit = F.expr(f"shiftright({slot}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({slot} & 63 AS int))")
+    marks = ids.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("marks"))
+    return rows.select("*", word).join(F.broadcast(marks), "word").filter(F.col("marks").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def links(pairs: DataFrame, signs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_AGREEING) -> DataFrame:
     """The pairs (a, b) of uids that are similar enough, written."""
     side = lambda s: signs.select(F.col("uid").alias(s), F.col("signature").alias(f"signature_{s}"))
     agreeing = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
     likely = durable(pairs.join(side("a"), "a").join(side("b"), "b").filter(agreeing >= least).select("a", "b"))
-    full = lambda s: signs.select(F.col("uid").alias(s), F.col("runs").alias(f"runs_{s}"), F.col("weights").alias(f"weights_{s}"))
+    wanted = picked(signs, likely.select(F.col("a").alias("uid")).unionByName(likely.select(F.col("b").alias("uid"))))
+    full = lambda s: wanted.select(F.col("uid").alias(s), F.col("runs").alias(f"runs_{s}"), F.col("weights").alias(f"weights_{s}"))
     return durable(likely.join(full("b"), "b").join(full("a"), "a").mapInArrow(_verify(similarity), "a bigint, b bigint"))
 
 
@@ -300,7 +314,7 @@ def _remaining(seated: DataFrame, classes: DataFrame, signs: DataFrame, similari
     n_open = open_nodes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_open"))
     seats = large.select("bucket", "band", "uid", "size").join(n_open, "bucket").join(open_nodes, ["bucket", "uid"], "left").join(classes, "uid", "left")
     seats = durable(seats.select("bucket", "band", "uid", "size", "n_open", F.coalesce("top", "uid").alias("top"), F.coalesce("is_open", F.lit(False)).alias("is_open")))
-    seats = seats.join(signs.select("uid", "signature", "runs", "weights"), "uid")
+    seats = seats.join(picked(signs.select("uid", "signature", "runs", "weights"), seats.select("uid")), "uid")
     tiles = lambda n: F.least(F.ceil(F.col(n) / TILE), F.lit(TILES)).cast("int")
     place = lambda n: F.pmod(F.xxhash64("uid", "bucket"), tiles(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), tiles(n) - 1)
@@ -315,7 +329,7 @@ def linked(signs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     nodes = durable(signs.filter("node is not null").groupBy("node").agg(F.min("uid").alias("uid")))
     seated = _seated(signs.join(nodes.select("uid"), "uid", "left_semi").select("uid", "bands"))
     # only nodes that share a bucket are ever compared
-    signs = durable(signs.join(seated.select("uid").distinct(), "uid", "left_semi").select("uid", "signature", "runs", "weights"))
+    signs = durable(picked(signs.select("uid", "signature", "runs", "weights"), seated.select("uid")))
     main = seated.groupBy("uid").agg(F.max(F.struct("rank", (-F.col("centre")).alias("centre"))).alias("best")).select("uid", (-F.col("best.centre")).alias("centre"))
     tried = durable(main.filter("uid <> centre").select(*_pair("uid", "centre")).distinct())
     found = links(tried, signs, similarity)

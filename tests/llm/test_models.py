@@ -172,6 +172,25 @@ def test_no_node_of_a_large_bucket_is_skipped(spark, pairs):
     assert classes_of(spark, [2] * pairs) == [2] * pairs
 
 
+def test_contents_are_picked_without_a_shuffle(spark, monkeypatch):
+    written, write = [], neardup.durable
+    monkeypatch.setattr(neardup, "durable", lambda df: (written.append(df), write(df))[1])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert classes_of(spark, [1] * 60 + [2, 2, 3]) == [2, 2, 3]
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in written if "weights" in df.columns]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plans and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+
+
+def test_picked_rows_hold_all_that_are_asked_for(spark):
+    rows, ids = spark.range(20_000).withColumnRenamed("id", "uid"), spark.range(0, 20_000, 7).withColumnRenamed("id", "uid")
+    found = [r.uid for r in neardup.picked(rows, ids).collect()]
+    assert set(range(0, 20_000, 7)) <= set(found) and len(found) == len(set(found)) < 3000
+
+
 def test_samples_agree_like_weighted_jaccard():
     rng = np.random.default_rng(1)
     runs = np.sort(rng.integers(0, 2**63, 80, dtype=np.uint64))
