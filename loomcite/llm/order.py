@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, durable
-from .arrays import ODD, U, mix, planes, slices, unplanes
+from .arrays import ODD, U, mix, slices
 from .wordbpe import word_encoder
 
 STRIDE = 512
@@ -55,11 +55,26 @@ def feistel(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def packed_ids(ids: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """High bytes, then the low bytes in order of their high byte, as these say much about each other."""
+    high = (ids >> 8).astype(np.uint8)
+    parts = [press.compress(high.tobytes()), press.compress(ids.astype(np.uint8)[np.argsort(high, kind="stable")].tobytes())]
+    return len(parts[0]).to_bytes(4, "little") + b"".join(parts)
+
+
+def unpacked_ids(data: bytes, n: int, expand: zstandard.ZstdDecompressor) -> np.ndarray:
+    cut = 4 + int.from_bytes(data[:4], "little")
+    high, low = (np.frombuffer(expand.decompress(x, max_output_size=max(n, 1)), np.uint8) for x in (data[4:cut], data[cut:]))
+    out = high.astype(np.uint16) << 8
+    out[np.argsort(high, kind="stable")] |= low
+    return out
+
+
 def sequences(docs: DataFrame, vocabulary: str, stride: int = STRIDE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Written bundles of sequences: part (of the writing task), turn (of the bundle in it), n, doc_ids, pieces, lengths, ids (compressed)."""
 
     def make(batches):
-        encoder, part_id, press = word_encoder(vocabulary), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=6)
+        encoder, part_id, press = word_encoder(vocabulary), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
         ahead = 0  # sequences of the task before this bundle
         for turn, part in enumerate(slices(batches, "text")):
             ids, counts = encoder.encode(part.column("text"))
@@ -76,7 +91,7 @@ def sequences(docs: DataFrame, vocabulary: str, stride: int = STRIDE, doc_id: st
             listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), x)
             yield pa.RecordBatch.from_arrays([
                 pa.array([part_id]), pa.array([turn]), pa.array([len(doc)]), pa.array([ahead]), listed(part.column("doc_id").take(pa.array(doc))),
-                listed(pa.array(piece.astype(np.int32))), listed(pa.array(length.astype(np.int32))), pa.array([press.compress(planes(stream))], pa.binary()),
+                listed(pa.array(piece.astype(np.int32))), listed(pa.array(length.astype(np.int32))), pa.array([packed_ids(stream, press)], pa.binary()),
             ], names=["part", "turn", "n", "ahead", "doc_ids", "pieces", "lengths", "ids"])
             ahead += len(doc)
 
@@ -103,7 +118,7 @@ def _dealt(total: int, per_shard: int, key: int):
         for batch in batches:
             for row in batch.to_pylist():
                 length = np.array(row["lengths"], dtype=np.int64)
-                ids = unplanes(expand.decompress(row["ids"], max_output_size=2 * int(length.sum())), np.uint16)
+                ids = unpacked_ids(row["ids"], int(length.sum()), expand)
                 slot = feistel(row["first"] + np.arange(len(length)), total, key)
                 order = np.argsort(slot, kind="stable")
                 begin = np.cumsum(length) - length
@@ -114,7 +129,7 @@ def _dealt(total: int, per_shard: int, key: int):
                 ends = np.r_[0, np.cumsum(size)]
                 about = [pa.array(np.asarray(row["doc_ids"], dtype=object)[order].tolist(), pa.int64()), pa.array(np.array(row["pieces"], np.int32)[order]), pa.array(size.astype(np.int32)), pa.array(slot[order])]
                 listed = lambda x: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), x)
-                blobs = [press.compress(planes(flat[ends[a] : ends[b]])) for a, b in zip(cut[:-1], cut[1:])]
+                blobs = [packed_ids(flat[ends[a] : ends[b]], press) for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), *map(listed, about), pa.array(blobs, pa.binary())], names=["shard", "doc_ids", "pieces", "lengths", "slots", "ids"])
 
     return make
@@ -127,7 +142,7 @@ def _writer(folder: str, total: int, stride: int, per_shard: int):
         length = np.concatenate([np.array(x, np.int64) for x in table.column("lengths").to_pylist()])
         slot = np.concatenate([np.array(x, np.int64) for x in table.column("slots").to_pylist()])
         sizes = [sum(x) for x in table.column("lengths").to_pylist()]
-        flat = np.concatenate([unplanes(expand.decompress(b, max_output_size=2 * n), np.uint16) for b, n in zip(table.column("ids").to_pylist(), sizes)])
+        flat = np.concatenate([unpacked_ids(b, n, expand) for b, n in zip(table.column("ids").to_pylist(), sizes)])
         rows = min(per_shard, total - shard * per_shard)
         out = np.full((rows, stride), PAD, dtype="<u2")
         place = np.repeat((slot - shard * per_shard) * stride - (np.cumsum(length) - length), length) + np.arange(len(flat))

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from loomcite.llm import arrays, decontam, lm, order, packing, rules, tokencount
@@ -137,6 +138,16 @@ def test_shards_hold_each_sequence_at_its_slot(docs, odd_texts, tmp_path):
     assert Counter((r.doc_id, r.piece, tuple(ids.tolist())) for r, ids in zip(rows, back)) == expected
 
 
+def test_packed_ids_come_back_and_take_less_than_their_planes():
+    press, expand = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    rng = np.random.default_rng(4)
+    drawn = rng.zipf(1.3, 40_000)
+    ids = (drawn[drawn < 49_152] * 7 % 49_152).astype(np.uint16)
+    for n in (0, 1, 300, len(ids)):
+        assert order.unpacked_ids(order.packed_ids(ids[:n], press), n, expand).tolist() == ids[:n].tolist()
+    assert len(order.packed_ids(ids, press)) < 0.95 * len(press.compress(arrays.planes(ids)))
+
+
 def test_token_counts_are_the_library_ones(docs, odd_texts):
     model = tokencount.piece_counter(PIECES).model
     rows = tokencount.counted(docs, PIECES).collect()
