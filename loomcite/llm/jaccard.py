@@ -10,7 +10,8 @@ bucket and are verified by their runs. Nothing but equal chunks brings two sets
 bucket is dropped or cut.
 
 Equal sets are one node. The nodes of a bucket meet in pairs if it has at most ``PAIRED``; a pair whose
-compact sketches differ in more bits than linked sets can is dropped where it is met. The nodes of a larger bucket are
+compact sketches differ in more bits than linked sets can is dropped where it is met. Up to ``HELD`` nodes are compared
+whole in the task that has their bucket, and only links that join two classes leave it. The nodes of a still larger bucket are
 compared through a base set V, the runs that most of some of its nodes have: with D(i) the runs
 in which i and V differ and slack s(i) = |A(i)| - 19 |D(i)|, i and j link if and only if s(i) +
 s(j) + 38 |D(i) & D(j)| >= 0. So a node without a run of D in common with another can link with
@@ -43,6 +44,8 @@ RUN = 3
 LEAST = (9, 10)
 NEAR, FAR = LEAST[1] - LEAST[0], LEAST[1] + LEAST[0]
 PAIRED = 64
+#: A larger bucket is compared in one task, by sketches and then runs, up to so many nodes with so many runs in all.
+HELD, HELD_RUNS = 1024, 1 << 22
 #: A set's compact sketch has at least so many bits for each 32 of its runs, and twice as many at most.
 SKETCH_BITS = 64
 #: Ids that are broadcast to pick rows; of more, both sides are shuffled.
@@ -307,6 +310,51 @@ def _paired(seats: DataFrame, sketches: DataFrame) -> DataFrame:
     return small.repartition("bucket").sortWithinPartitions("bucket", "uid").mapInArrow(_pairs_in_order, "a bigint, b bigint").distinct()
 
 
+def _links_within(table: pa.Table) -> pa.Table:
+    """Links (a, b) that join the classes of a bucket's nodes: each pair of different classes goes by its sketches, then by its runs."""
+    table = table.sort_by("uid")
+    uid, size, sketches, packed = table.column("uid").to_numpy(), table.column("n").to_numpy(), table.column("sketch").to_pylist(), table.column("runs")
+    tops, over = np.unique(table.column("top").to_numpy(), return_inverse=True)
+    parent, runs, out = list(range(len(tops))), {}, []
+
+    def find(k):
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    def content(k):
+        if k not in runs:
+            runs[k] = unpack_sorted(packed[k].as_py())
+        return runs[k]
+
+    start, step = 0, 1  # what links with the first node is one class before the rest is met
+    while start < len(uid):
+        label = np.array([find(k) for k in over.tolist()])
+        i, j = np.nonzero(label[start : start + step, None] != label[None, :])
+        i += start
+        i, j = i[i < j], j[i < j]
+        likely = may_link(size, sketches, i, j)
+        for x, y in zip(i[likely].tolist(), j[likely].tolist()):
+            one, two = find(over[x]), find(over[y])
+            if one != two and linked_sets(content(x), content(y)):
+                parent[one] = two
+                out.append((uid[x], uid[y]))
+        start, step = start + step, 64
+    ends = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
+
+
+def _held(large: DataFrame, sketches: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links of the buckets that one task holds, written; members of the others)."""
+    sized = large.join(sketches.select("uid", "n", "sketch"), "uid")
+    whole = durable(sized.groupBy("bucket").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("weight")))
+    fits = (F.col("nodes") <= HELD) & (F.col("weight") <= HELD_RUNS)
+    some = sized.join(whole.filter(fits).select("bucket"), "bucket", "left_semi")
+    links_of = some.join(sets, "uid").select("bucket", "uid", "top", "n", "sketch", "runs").groupBy("bucket").applyInArrow(_links_within, "a bigint, b bigint")
+    rest = large.join(whole.filter(~fits).select("bucket"), "bucket", "left_semi").select("bucket", "uid")
+    return durable(links_of.distinct()), durable(rest)
+
+
 def _through_base(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs of every node with its bucket's node of greatest slack, members of the next buckets) for large buckets."""
     by_hash = Window.partitionBy("bucket").orderBy(F.xxhash64("uid"), "uid")
@@ -340,8 +388,11 @@ def linked(nodes: DataFrame, sets_of) -> tuple[DataFrame, DataFrame]:
     grouped = F.col("centre")  # buckets of one centre hold about the same nodes
     while True:
         pairs = durable(_paired(seats, sketches))
-        large = durable(seats.filter(F.col("size") > PAIRED).select(grouped.alias("bucket"), "uid").distinct())
+        large = durable(seats.filter(F.col("size") > PAIRED).select(grouped.alias("bucket"), "uid", "top").distinct())
         found = durable(found.unionByName(verified(pairs, sets)))
+        if not large.isEmpty():
+            within, large = _held(large, sketches, sets)
+            found = durable(found.unionByName(within))
         if large.isEmpty():
             return found, components(found)
         starred, members = _through_base(large, sets)

@@ -76,6 +76,19 @@ def test_groups_of_variants_with_and_without_their_base(spark, monkeypatch, pair
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("held", [0, 1024])
+def test_large_buckets_are_held_or_go_through_their_base(spark, monkeypatch, held):
+    """Groups that fit a task make no further buckets; with none that fits, the base set finds the same."""
+    monkeypatch.setattr(jaccard, "HELD", held)
+    calls, through = [], jaccard._through_base
+    monkeypatch.setattr(jaccard, "_through_base", lambda *a: (calls.append(1), through(*a))[1])
+    rng = random.Random(9)
+    base = prose(rng, 120).split()
+    rows = list(enumerate(edited(rng, base, rng.randint(1, 4)) for _ in range(110)))
+    assert run(spark, rows) == brute(rows)
+    assert bool(calls) == (held == 0)
+
+
 def test_short_texts_at_the_limit(spark):
     """Sets of 9 and 10 runs, 10 and 11, 19 and 21: links at exactly nine tenths, and just below."""
     rng = random.Random(1)
