@@ -1,8 +1,11 @@
+import math
 import random
 
 from pyspark.sql import functions as F
 
+from loomcite.functions.text import tokenize
 from loomcite.plans import concept_plans
+from loomcite.plans.standins import cited, sentence_events
 from loomcite.operators.concepts import canonical_method_name, fold_concepts, merge_aliases, merge_evidence_spans, merge_near_duplicates, merge_principle_lists, merge_principles, presented_variant, typed_families
 from loomcite.operators.evidence import repair_links
 from loomcite.operators.evidence import concept_links
@@ -218,3 +221,29 @@ def test_hybrid_retrieval_shuffles_no_text(spark, tmp_path):
     assert not exchanged(top) & {"text", "sentence", "label", "payload_json", "evidence_span", "canonical_key", "body"}
     assert "concept_id" in exchanged(top)
     assert top.count() == top.select("concept_id").distinct().count() > 0
+
+
+def scored_one_by_one(spark, folder):
+    """(links, level, lexical, score) of every concept, by the rules of the operator from the events one by one."""
+    rows = cited(sentence_events(spark, folder)).withColumns({"_l": tokenize(F.concat_ws(" ", "label", "concept_type")), "_p": tokenize("payload_json"), "_s": tokenize("evidence_span")})
+    terms, found, out = concept_plans.HYBRID_TERMS, {}, {}
+    for r in rows.collect():
+        found.setdefault(r.concept_id, []).append(r)
+    for key, events in found.items():
+        links = {r.evidence_id: r for r in events if r.evidence_id}
+        last, active = max(events, key=lambda r: r.seq), max(events, key=lambda r: (r.confidence, r.seq))
+        words = [*last._l, *active._p, *[w for r in links.values() for w in r._s]]
+        lexical = sum(1 + math.log(1 + words.count(t)) for t in terms if t in words) / math.sqrt(len(terms) + len(words))
+        level = int(last.validation_level[1]) if last.validation_level[0] == "L" else 0
+        out[key] = (len(links), last.validation_level, round(lexical, 9), round(4 * lexical + 0.08 * level + 0.08 * min(len(links), 4) + 0.2 * active.confidence, 9))
+    return out
+
+
+def test_reasons_and_scores_are_those_of_all_texts_of_a_concept(spark, tmp_path):
+    told_documents(spark, tmp_path)
+    expected = scored_one_by_one(spark, str(tmp_path))
+    scored = concept_plans._hybrid(spark, str(tmp_path))
+    assert {r.concept_id: (r.evidence_count, r.validation_level, round(r.lexical, 9), round(r.score, 9)) for r in scored.collect()} == expected
+    assert max(n for n, *_ in expected.values()) > 2
+    reasons = concept_plans.retrieval_reasons_query(spark, str(tmp_path))
+    assert "evidence_span" not in exchanged(reasons) and all(("evidence link" in r.reasons) == (expected[r.concept_id][0] > 0) for r in reasons.collect())
