@@ -247,3 +247,13 @@ def test_reasons_and_scores_are_those_of_all_texts_of_a_concept(spark, tmp_path)
     assert max(n for n, *_ in expected.values()) > 2
     reasons = concept_plans.retrieval_reasons_query(spark, str(tmp_path))
     assert "evidence_span" not in exchanged(reasons) and all(("evidence link" in r.reasons) == (expected[r.concept_id][0] > 0) for r in reasons.collect())
+
+
+def test_default_evidence_is_the_best_of_each_type(spark, tmp_path):
+    told_documents(spark, tmp_path)
+    expected = scored_one_by_one(spark, str(tmp_path))
+    shown = concept_plans.default_evidence_query(spark, str(tmp_path))
+    assert "evidence_span" not in exchanged(shown)
+    kind = {r.concept_id: r.concept_type for r in sentence_events(spark, str(tmp_path)).select("concept_id", "concept_type").collect()}
+    best = {t: sorted((k for k in expected if kind[k] == t), key=lambda k: (-expected[k][3], k))[:3] for t in ("principle", "existed_idea", "takeaway_message", "benchmark")}
+    assert [r.concept_id for r in shown.collect()] == [k for t in best for k in best[t]]
